@@ -57,14 +57,33 @@ def adjusted_skew(c: Column) -> Column:
     return F.skewness(c) * factor
 
 
-def skews(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """|skew| per column, zero where it is undefined; one bounded aggregate."""
+@dataclass(frozen=True)
+class Moments:
+    """Mean, population deviation (one if zero) and |skew| (zero if undefined)."""
+
+    mean: float
+    deviation: float
+    skew: float
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
+    """Moments of complete numeric columns in one bounded aggregate."""
     if not columns:
         return {}
-    row = df.agg(*[adjusted_skew(col(c)).alias(c) for c in columns]).first().asDict()
-    return {
-        c: 0.0 if row[c] is None or math.isnan(row[c]) else abs(row[c]) for c in columns
-    }
+    aggs: list[Column] = []
+    for i, c in enumerate(columns):
+        aggs += [
+            F.avg(col(c)).alias(f"m{i}"),
+            F.stddev_pop(col(c)).alias(f"d{i}"),
+            adjusted_skew(col(c)).alias(f"s{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    result = {}
+    for i, c in enumerate(columns):
+        skew = row[f"s{i}"]
+        undefined = skew is None or math.isnan(skew)
+        result[c] = Moments(row[f"m{i}"], row[f"d{i}"] or 1.0, 0.0 if undefined else abs(skew))
+    return result
 
 
 @dataclass(frozen=True)
@@ -79,10 +98,11 @@ def clip_bounds(
     low: float = CLIP_LOW,
     high: float = CLIP_HIGH,
     skew_threshold: float = SKEW_THRESHOLD,
+    known: Mapping[str, Moments] | None = None,
 ) -> dict[str, Clip]:
     """Bounds of the heavy-tailed columns; quantiles are only taken for those."""
-    sizes = skews(df, columns)
-    heavy = [c for c in columns if sizes[c] >= skew_threshold]
+    known = known or moments(df, columns)
+    heavy = [c for c in columns if known[c].skew >= skew_threshold]
     return {c: Clip(*q) for c, q in column_quantiles(df, heavy, [low, high]).items()}
 
 
@@ -95,16 +115,6 @@ def clip_value(value: Column, bounds: Clip) -> Column:
     return F.when(value.isNotNull(), inside)
 
 
-def means_and_deviations(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation; a zero deviation scales by one."""
-    if not columns:
-        return {}
-    aggs = [F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]
-    aggs += [F.stddev_pop(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"m{i}"], row[f"d{i}"] or 1.0) for i, c in enumerate(columns)}
-
-
 # --- categories ---------------------------------------------------------------------
 
 
@@ -130,7 +140,7 @@ def sort_key(df: DataFrame, name: str):
 
 
 def most_frequent(counts: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
-    """(column, value): the most frequent value, the smallest one on a tie.
+    """(column, value, categories): the most frequent value, the smallest one on a tie.
 
     ``numeric`` names the columns whose values compare as numbers. Ordering the whole
     struct makes it one bounded aggregate, with no sort and no value map.
@@ -139,12 +149,9 @@ def most_frequent(counts: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
     if numeric:
         number = F.when(F.col("column").isin(*numeric), F.col("value").try_cast("double"))
     best = F.min_by("value", F.struct(-F.col("rows"), number, F.col("value")))
-    return counts.groupBy("column").agg(best.alias("value"))
-
-
-def category_sizes(counts: DataFrame) -> dict[str, int]:
-    rows = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["column"]: r["n"] for r in rows}
+    return counts.groupBy("column").agg(
+        best.alias("value"), F.count(F.lit(1)).alias("categories")
+    )
 
 
 def code_table(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -215,18 +222,19 @@ def fit_encoder(
     state.fills = medians(df, profile.numeric)
     state.numeric = [c for c in profile.numeric if c in state.fills]
     filled = imputed(df.select(*[col(c) for c in state.numeric]), state.fills)
-    bounds = clip_bounds(filled, state.numeric)
+    known = moments(filled, state.numeric)
+    bounds = clip_bounds(filled, state.numeric, known=known)
     state.clips = {c: [b.low, b.high] for c, b in bounds.items()}
-    moments = means_and_deviations(clipped(filled, bounds), state.numeric)
-    state.scales = {c: list(pair) for c, pair in moments.items()}
+    known.update(moments(clipped(filled, bounds), list(bounds)))
+    state.scales = {c: [known[c].mean, known[c].deviation] for c in state.numeric}
 
     coded = list(dict.fromkeys([*state.boolean, *state.ordinal, *state.categorical]))
     if coded:
         counts = category_counts(df, coded)
         numeric = [c for c in coded if isinstance(df.schema[c].dataType, T.NumericType)]
-        state.modes = {r["column"]: r["value"] for r in most_frequent(counts, numeric).collect()}
-        sizes = category_sizes(counts)
-        state.sizes = {c: sizes.get(c, 0) for c in coded}
+        modes = {r["column"]: r for r in most_frequent(counts, numeric).collect()}
+        state.modes = {c: r["value"] for c, r in modes.items()}
+        state.sizes = {c: modes[c]["categories"] if c in modes else 0 for c in coded}
         short = [c for c in (*state.boolean, *state.categorical) if state.sizes[c] <= inline]
         lists: dict[str, list[str]] = {c: [] for c in short}
         if short:

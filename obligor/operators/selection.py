@@ -51,9 +51,18 @@ class _Bracket:
     ranks: tuple[int, ...]
 
 
-def group_sizes(values: DataFrame) -> dict[str, int]:
-    """Rows per group ``g`` of a (g, v) table. Groups are columns or classes: few."""
-    return {r["g"]: r["n"] for r in values.groupBy("g").agg(F.count("v").alias("n")).collect()}
+class Extent(NamedTuple):
+    rows: int
+    low: Any
+    high: Any
+
+
+def group_extents(values: DataFrame) -> dict[str, Extent]:
+    """Size and range per group ``g`` of a (g, v) table. Groups are columns or classes: few."""
+    rows = values.groupBy("g").agg(
+        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    return {r["g"]: Extent(r["n"], r["low"], r["high"]) for r in rows.collect()}
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,6 +76,7 @@ def order_statistics(
     ranks: Mapping[str, Sequence[int]],
     exact_rows: int = EXACT_ROWS,
     bins: int = BINS,
+    extents: Mapping[str, Extent] | None = None,
 ) -> dict[tuple[str, int], Hit]:
     """Exact value at each zero-based ascending rank of each group.
 
@@ -77,16 +87,13 @@ def order_statistics(
     if not wanted:
         return {}
     spark = values.sparkSession
-    extents = values.groupBy("g").agg(
-        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
+    extents = extents or group_extents(values)
     brackets = []
-    for row in extents.collect():
-        targets = wanted.get(row["g"], ())
-        if targets and targets[-1] >= row["n"]:
-            raise ValueError(f"Rank {targets[-1]} asked of group '{row['g']}' of {row['n']} rows.")
-        if targets:
-            brackets.append(_Bracket(row["g"], row["low"], row["high"], 0, row["n"], targets))
+    for group, targets in wanted.items():
+        rows, low, high = extents.get(group, Extent(0, None, None))
+        if targets[-1] >= rows:
+            raise ValueError(f"Rank {targets[-1]} asked of group '{group}' of {rows} rows.")
+        brackets.append(_Bracket(group, low, high, 0, rows, targets))
 
     found: dict[tuple[str, int], Hit] = {}
     while True:
@@ -176,17 +183,17 @@ def _count_by_value(
 def quantiles(
     values: DataFrame,
     probabilities: Sequence[float],
-    sizes: Mapping[str, int] | None = None,
     **limits: int,
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of every group of a (g, v) table."""
-    sizes = sizes or group_sizes(values)
+    extents = group_extents(values)
+    sizes = {g: e.rows for g, e in extents.items()}
     spots = {g: [p * (n - 1) for p in probabilities] for g, n in sizes.items() if n}
     ranks = {
         g: [r for s in at for r in (math.floor(s), min(math.floor(s) + 1, sizes[g] - 1))]
         for g, at in spots.items()
     }
-    hits = order_statistics(values, ranks, **limits)
+    hits = order_statistics(values, ranks, extents=extents, **limits)
     result = {}
     for g, at in spots.items():
         row = []
