@@ -115,12 +115,12 @@ ORACLES["s4_table_sink"] = ORACLES["g12_lift_gain"].replace(
 )
 
 ORACLES["s7_policy_bands"] = on_applicants(
-    f"""SELECT CAST(band_order AS INTEGER) AS band_order, risk_band, count(*) AS applications,
-       {r6('avg(pd_score)', 'avg_pd')}
-FROM a JOIN (VALUES (0, 'Low', 0.0, 0.2), (1, 'Medium', 0.2, 0.35), (2, 'High', 0.35, 0.55),
-                    (3, 'Very High', 0.55, 1.0)) b(band_order, risk_band, lo, hi)
-  ON pd_score >= lo::DOUBLE AND pd_score < hi::DOUBLE
-GROUP BY 1, 2"""
+    f"""SELECT CAST(band_order AS INTEGER) AS band_order, risk_band, min_pd, max_pd, applications,
+       {r6('mean_pd', 'avg_pd')}
+FROM (VALUES (0, 'Low', 0.0::DOUBLE, 0.2::DOUBLE), (1, 'Medium', 0.2, 0.35), (2, 'High', 0.35, 0.55),
+             (3, 'Very High', 0.55, 1.0)) b(band_order, risk_band, min_pd, max_pd)
+JOIN (SELECT {BAND.format(p='pd_score')} AS risk_band, count(*) AS applications,
+             avg(pd_score) AS mean_pd FROM a GROUP BY 1) USING (risk_band)"""
 )
 
 # --- names, types, profiles ---------------------------------------------------------

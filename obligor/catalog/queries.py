@@ -27,7 +27,7 @@ from obligor.operators import (
 )
 from obligor.plans import reporting, scoring, training
 from obligor.plans.applicants import ID, applicants, class_weights_by_id, features_only, table
-from obligor.session import pin, scratch_path
+from obligor.session import pin, scratch_path, small_table
 from obligor.sources import bundles, policy, readers, sinks
 from obligor.sources.datasets import DatasetConfig, get_dataset_config, register_dataset, registered
 from obligor.streaming.scoring import read_applicant_stream, score_stream
@@ -164,7 +164,7 @@ def s5_metrics_sink(spark, sf):
 
 @query
 def s7_policy_bands(spark, sf):
-    """Policy document on disk, read back as bands and joined to the scores by range."""
+    """Policy document on disk, read back and applied; its bands joined to the counts."""
     path = scratch_path(spark, "policy")
     rule = policy.default_policy()
     bands = [{"name": b.name, "min_pd": b.min_pd, "max_pd": b.max_pd} for b in rule.bands]
@@ -174,15 +174,12 @@ def s7_policy_bands(spark, sf):
         " risk_bands array<struct<name string, min_pd double, max_pd double>>",
     )
     document.coalesce(1).write.json(path)
-    table_of_bands = policy.band_table(spark, policy.load_policy(spark, path))
+    loaded = policy.load_policy(spark, path)
     scores = applicants(spark, sf).select("pd_score")
-    inside = (F.col("pd_score") >= F.col("min_pd")) & (F.col("pd_score") < F.col("max_pd"))
-    return rounded(
-        scores.join(F.broadcast(table_of_bands), inside)
-        .groupBy("band_order", "risk_band")
-        .agg(F.count(F.lit(1)).alias("applications"), F.avg("pd_score").alias("avg_pd")),
-        "avg_pd",
+    counts = scores.groupBy(decisions.risk_band(F.col("pd_score"), loaded).alias("risk_band")).agg(
+        F.count(F.lit(1)).alias("applications"), F.avg("pd_score").alias("avg_pd")
     )
+    return rounded(policy.band_table(spark, loaded).join(counts, "risk_band"), "avg_pd")
 
 
 # --- names, types, profiles ---------------------------------------------------------
@@ -274,7 +271,7 @@ def p6_ordinal_mappings(spark, sf):
     a = view(spark, sf, "risk_grade", "product_type", "is_urgent", "outcome")
     orders = profile.infer_ordinal_mappings(a, {"outcome": ["O", "P", "F"]})
     rows = [(c, i, str(v)) for c, values in orders.items() for i, v in enumerate(values)]
-    known = spark.createDataFrame(rows, "column_name string, position int, label string")
+    known = small_table(spark, rows, "column_name string, position int, label string")
     counts = profile.value_counts(a, list(orders)).withColumnsRenamed(
         {"column": "column_name", "value": "label", "rows": "row_count"}
     )
@@ -308,7 +305,7 @@ def p7_schema_profile(spark, sf):
     found = profile.profile_schema(df, ID)[0]
     roles = [(c, r) for r in profile.TYPE_ORDER for c in getattr(found, r)]
     rates = profile.missing_summary(df, PROFILED)
-    listed = spark.createDataFrame(roles, "column string, role string")
+    listed = small_table(spark, roles, "column string, role string")
     return rounded(
         listed.join(rates, "column").withColumnRenamed("column", "column_name"), "missing_rate"
     )
@@ -458,7 +455,7 @@ def e2_clip_bounds(spark, sf):
         (c, known[c].skew, *((bounds[c].low, bounds[c].high) if c in bounds else (None, None)))
         for c in columns
     ]
-    out = spark.createDataFrame(rows, "column_name string, skew double, low double, high double")
+    out = small_table(spark, rows, "column_name string, skew double, low double, high double")
     return rounded(out, "skew", "low", "high", digits=4)
 
 
@@ -955,7 +952,7 @@ def m11_progress(spark, sf):
             (done, total, training.seconds_left(done, total, seconds) > 0)
         ),
     )
-    return spark.createDataFrame(steps, "done int, total int, time_left boolean")
+    return small_table(spark, steps, "done int, total int, time_left boolean")
 
 
 @query

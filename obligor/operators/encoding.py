@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from obligor.operators.profile import SchemaProfile
 from obligor.operators.running import dense_index
 from obligor.operators.selection import column_quantiles
-from obligor.session import col, scratch_path
+from obligor.session import col, pin, scratch_path, small_table
 
 # Clipping quantiles and the skew from which a column is clipped.
 CLIP_LOW = 0.01
@@ -230,7 +230,7 @@ def fit_encoder(
 
     coded = list(dict.fromkeys([*state.boolean, *state.ordinal, *state.categorical]))
     if coded:
-        counts = category_counts(df, coded)
+        counts = pin(category_counts(df, coded), "categories")
         numeric = [c for c in coded if isinstance(df.schema[c].dataType, T.NumericType)]
         modes = {r["column"]: r for r in most_frequent(counts, numeric).collect()}
         state.modes = {c: r["value"] for c, r in modes.items()}
@@ -371,8 +371,9 @@ def vector_stages(spark, state: EncoderState) -> list:
     if state.categorical:
         names = [f"cat__{c}" for c in state.categorical]
         hot = [f"hot__{c}" for c in state.categorical]
-        largest = spark.createDataFrame(
-            [tuple(float(state.sizes[c]) for c in state.categorical)],
+        largest = small_table(
+        spark,
+        [tuple(float(state.sizes[c]) for c in state.categorical)],
             T.StructType([T.StructField(n, T.DoubleType()) for n in names]),
         )
         stages.append(OneHotEncoder(inputCols=names, outputCols=hot, dropLast=True).fit(largest))
@@ -405,7 +406,7 @@ REPORT_SCHEMA = "section string, position int, column string"
 
 
 def report_frame(spark, rows: Sequence[tuple[str, int, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rows), REPORT_SCHEMA)
+    return small_table(spark, list(rows), REPORT_SCHEMA)
 
 
 def encoding_counts(report: DataFrame) -> DataFrame:
@@ -424,7 +425,8 @@ def encoding_counts(report: DataFrame) -> DataFrame:
             for x in pair
         ]
     )
-    names = report.sparkSession.createDataFrame(
+    names = small_table(
+        report.sparkSession,
         [(k,) for k in ("numeric", "boolean", "ordinal", "one_hot", "date")], "kind string"
     )
     counted = (

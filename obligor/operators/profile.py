@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from obligor.functions.dates import parse_mixed
 from obligor.functions.names import matches_any
 from obligor.functions.numeric import is_number
-from obligor.session import col
+from obligor.session import col, small_table
 
 # Thresholds, tokens and value orders of the profiling rules.
 MAX_NULL_RATE = 0.98
@@ -230,12 +230,17 @@ def profile_schema(
     configured: Mapping[str, Sequence[Any]] | None = None,
     facts: Sequence[ColumnFacts] | None = None,
     normalize: bool = False,
+    dates: Sequence[str] | None = None,
 ) -> tuple[SchemaProfile, dict[str, list[Any]]]:
-    """Column roles and value orders of every column but the id."""
+    """Column roles and value orders of every column but the id.
+
+    ``dates`` names the date columns where they are known already.
+    """
     columns = [c for c in df.columns if c != id_col]
     facts = list(facts if facts is not None else column_facts(df, columns))
     orders = infer_ordinal_mappings(df, configured, facts, normalize)
-    dates = date_columns(df, [f.name for f in facts if not f.dropped], id_col)
+    if dates is None:
+        dates = date_columns(df, [f.name for f in facts if not f.dropped], id_col)
     return roles(facts, orders, dates), orders
 
 
@@ -269,7 +274,7 @@ def unique_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counted = value_counts(df, columns).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_values")
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    names = small_table(df.sparkSession, [(c,) for c in columns], "column string")
     return names.join(counted, "column", "left").select(
         "column", F.coalesce("unique_values", F.lit(0)).alias("unique_values")
     )
@@ -279,7 +284,8 @@ def detect_columns(df: DataFrame, id_col: str) -> DataFrame:
     """(column, detected_type, unique_values) for every column but the id."""
     columns = [c for c in df.columns if c != id_col]
     found = profile_schema(df, id_col)[0].detected()
-    kinds = df.sparkSession.createDataFrame(
+    kinds = small_table(
+        df.sparkSession,
         [(c, found.get(c, "categorical")) for c in columns], "column string, detected_type string"
     )
     return kinds.join(unique_counts(df, columns), "column")
@@ -302,7 +308,8 @@ def top_missing(df: DataFrame, columns: Sequence[str] | None = None, k: int = 20
 def ordinal_values(df: DataFrame, name: str) -> DataFrame:
     """(position, label) of the known order that the values of a column fit."""
     window = Window.orderBy("labels_at", "position")
-    sets = df.sparkSession.createDataFrame(
+    sets = small_table(
+        df.sparkSession,
         [
             (k, i, label)
             for k, labels in enumerate(ORDERED_VALUE_SETS)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obligor.operators.running import WINDOW_ROWS, running_totals
-from obligor.session import col, pin
+from obligor.session import col, pin, small_table
 
 
 def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -103,7 +103,7 @@ def roc_points(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> D
     points = curve(df, y, score, keys)
     start = points.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold")) if keys else None
     if start is None:
-        start = df.sparkSession.createDataFrame([(float("inf"),)], "threshold double")
+        start = small_table(df.sparkSession, [(float("inf"),)], "threshold double")
     start = start.select(*keys, "threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(
         points.select(
@@ -121,7 +121,7 @@ def pr_points(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> Da
     nothing = F.lit(None).cast("double").alias("threshold")
     end = points.groupBy(*keys).agg(nothing) if keys else None
     if end is None:
-        end = df.sparkSession.createDataFrame([(None,)], "threshold double")
+        end = small_table(df.sparkSession, [(None,)], "threshold double")
     end = end.select(*keys, "threshold", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.select(
         *keys,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from obligor.session import col
+from obligor.session import col, small_table
 
 BINS = 512
 EXACT_ROWS = 500_000
@@ -131,7 +131,7 @@ def _bracketed(
             T.StructField("high", kind),
         ]
     )
-    table = spark.createDataFrame([(x.group, i, x.low, x.high) for i, x in enumerate(brackets)], schema)
+    table = small_table(spark, [(x.group, i, x.low, x.high) for i, x in enumerate(brackets)], schema)
     return values.join(F.broadcast(table), "g").where("v >= low and v <= high")
 
 
@@ -165,7 +165,8 @@ def _count_by_value(
 ) -> dict[tuple[str, int], Hit]:
     counts = _bracketed(spark, values, brackets).groupBy("b", "v").agg(F.count("v").alias("n"))
     running = Window.partitionBy("b").orderBy("v")
-    starts = spark.createDataFrame(
+    starts = small_table(
+        spark,
         [(i, x.below, rank) for i, x in enumerate(brackets) for rank in x.ranks],
         "b int, start long, rank long",
     )
@@ -238,7 +239,7 @@ def rank_cuts(
                 T.StructField("run", T.StringType()),
             ]
         )
-        table = spark.createDataFrame([(g, v, tag) for (g, v), tag in numbered.items()], schema)
+        table = small_table(spark, [(g, v, tag) for (g, v), tag in numbered.items()], schema)
         tied = rows.join(F.broadcast(table), ["g", "v"])
         wanted: dict[str, list[int]] = {}
         for (g, rank), hit in hits.items():

@@ -16,6 +16,10 @@ from obligor.operators.selection import Cut, after_cut, numeric_id, rank_cuts
 from obligor.session import col
 
 
+# Far above any usable number of classes; only guards the driver.
+MAX_CLASSES = 10_000
+
+
 def shuffle_key(id_col: str, seed: int) -> Column:
     """Pseudo-random order of any id type."""
     return F.xxhash64(F.lit(seed), col(id_col))
@@ -39,7 +43,11 @@ def largest_remainder(counts: Mapping[int, int], draws: int) -> dict[int, int]:
 
 
 def class_sizes(df: DataFrame, target: str) -> dict[int, int]:
-    rows = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    """Rows per class code; refuses a column that is no class label before listing it."""
+    counts = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES or any(r["y"] is None for r in rows):
+        raise ValueError(f"'{target}' holds NULLs or more than {MAX_CLASSES} classes.")
     return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: r["y"])}
 
 
@@ -61,16 +69,19 @@ def quotas_of_test_part(sizes: Mapping[int, int], test_size: float) -> dict[int,
     return {c: sizes[c] - train[c] for c in sizes}
 
 
-def stratified_split(
+def split_column(
     df: DataFrame,
     target: str,
     id_col: str,
     test_size: float = 0.2,
     seed: int = 42,
     key: Column | None = None,
-    output: str = "split",
-) -> DataFrame:
-    """Add ``split``: exact class-proportional 'test' and 'train' parts."""
+) -> Column:
+    """'test' or 'train' as an expression over the id and target columns.
+
+    Only these two columns of ``df`` are read; the expression then fits any table that
+    has them.
+    """
     key = shuffle_key(id_col, seed) if key is None else key
     quotas = quotas_of_test_part(class_sizes(df, target), test_size)
     ranks = {str(c): [q - 1] for c, q in quotas.items() if q}
@@ -80,7 +91,20 @@ def stratified_split(
     for (group, _), cut in cuts.items():
         mine = col(target).cast("string") == group
         part = F.when(mine & ~after_cut(key, row_id, cut), "test").otherwise(part)
-    return df.withColumn(output, part)
+    return part
+
+
+def stratified_split(
+    df: DataFrame,
+    target: str,
+    id_col: str,
+    test_size: float = 0.2,
+    seed: int = 42,
+    key: Column | None = None,
+    output: str = "split",
+) -> DataFrame:
+    """Add ``split``: exact class-proportional 'test' and 'train' parts."""
+    return df.withColumn(output, split_column(df, target, id_col, test_size, seed, key))
 
 
 def fold_sizes(sizes: Mapping[int, int], k: int) -> dict[int, list[int]]:
@@ -92,16 +116,15 @@ def fold_sizes(sizes: Mapping[int, int], k: int) -> dict[int, list[int]]:
     return result
 
 
-def stratified_folds(
+def fold_column(
     df: DataFrame,
     target: str,
     id_col: str,
     k: int = 5,
     seed: int = 42,
     key: Column | None = None,
-    output: str = "fold",
-) -> DataFrame:
-    """Add ``fold`` in 0..k-1 with exact counts per class and fold."""
+) -> Column:
+    """Fold number in 0..k-1 as an expression over the id and target columns."""
     key = shuffle_key(id_col, seed) if key is None else key
     sizes = class_sizes(df, target)
     if k < 2 or k > max(sizes.values()):
@@ -111,16 +134,27 @@ def stratified_folds(
     ranks = {str(c): [e - 1 for e in stops[:-1] if e] for c, stops in ends.items()}
     cuts = rank_cuts(_keyed(df, target, id_col, key), ranks)
     row_id = numeric_id(df, id_col)
-    fold = None
+    fold = F.lit(None).cast("int")
     for c, stops in ends.items():
         place = F.lit(0)
-        for f, end in enumerate(stops[:-1]):
+        for end in stops[:-1]:
             cut: Cut | None = cuts.get((str(c), end - 1)) if end else None
-            passed = after_cut(key, row_id, cut).cast("int") if cut else F.lit(1)
-            place = place + passed
-        mine = col(target) == c
-        fold = F.when(mine, place) if fold is None else fold.when(mine, place)
-    return df.withColumn(output, fold.cast("int"))
+            place = place + (after_cut(key, row_id, cut).cast("int") if cut else F.lit(1))
+        fold = F.when(col(target) == c, place).otherwise(fold)
+    return fold
+
+
+def stratified_folds(
+    df: DataFrame,
+    target: str,
+    id_col: str,
+    k: int = 5,
+    seed: int = 42,
+    key: Column | None = None,
+    output: str = "fold",
+) -> DataFrame:
+    """Add ``fold`` in 0..k-1 with exact counts per class and fold."""
+    return df.withColumn(output, fold_column(df, target, id_col, k, seed, key))
 
 
 def fixed_sample(df: DataFrame, id_col: str, size: int = 50, seed: int = 42) -> DataFrame:

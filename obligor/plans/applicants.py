@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obligor.session import spread
+
 ID = "application_id"
 
 
@@ -20,7 +22,7 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     Line items are summed per order before the join, so the join sees one row per
     order on both sides; customer sizes decide the join strategy at run time.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")

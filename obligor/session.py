@@ -7,9 +7,23 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_ARROW = {
+    "string": pa.string(),
+    "boolean": pa.bool_(),
+    "tinyint": pa.int8(),
+    "smallint": pa.int16(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "float": pa.float32(),
+    "double": pa.float64(),
+}
 
 _local_roots: dict[str, str] = {}
 
@@ -24,6 +38,8 @@ def get_spark(app: str = "obligor", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording a Python stack per expression dominates the making of wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -69,6 +85,29 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan of fewer splits than cores one partition per core.
+
+    A large table has many splits and stays as it is; a single small file would
+    otherwise keep everything up to the next shuffle in one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *[col(k) for k in keys])
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, which is broadcast without a job."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrays = [
+        pa.array([row[i] for row in rows], _ARROW[field.dataType.simpleString()])
+        for i, field in enumerate(schema.fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names))
+
+
 def col(name: str) -> Column:
     """Column reference that is safe for names with dots, spaces or backticks."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -9,6 +9,7 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from obligor.session import small_table
 
 
 @dataclass(frozen=True)
@@ -60,4 +61,4 @@ def band_table(spark: SparkSession, policy: DecisionPolicy | None = None) -> Dat
     """The bands as rows, for joins and reports; one row per band of the policy."""
     bands = (policy or default_policy()).bands
     rows = [(i, b.name, b.min_pd, b.max_pd) for i, b in enumerate(bands)]
-    return spark.createDataFrame(rows, BAND_SCHEMA)
+    return small_table(spark, rows, BAND_SCHEMA)
