@@ -867,8 +867,8 @@ def _candidate(name: str) -> Query:
 
     def run(spark, sf):
         prepared = training.prepare(training_rows(spark, sf), config(name))
-        state = encoding.fit_encoder(prepared.train, prepared.profile, prepared.orders)
-        model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, state)
+        fitted = training.fit_rows(prepared, prepared.train)
+        model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, fitted)
         scored = training.predictor(model)(prepared.test)
         return scored.select(ID, "default", F.col("probs")[1].alias("probability_default"))
 
@@ -888,8 +888,8 @@ def m4_boosted_trees_multiclass(spark, sf):
     a = training_rows(spark, sf)
     third = F.when(F.col("late_lines") >= 3, 2).otherwise(F.col("default"))
     prepared = training.prepare(a.withColumn("default", third), config("xgboost"))
-    state = encoding.fit_encoder(prepared.train, prepared.profile, prepared.orders)
-    model = training.fit_model(prepared, "xgboost", SMALL["xgboost"][0], prepared.train, state)
+    fitted = training.fit_rows(prepared, prepared.train)
+    model = training.fit_model(prepared, "xgboost", SMALL["xgboost"][0], prepared.train, fitted)
     return training.predictor(model)(prepared.test).select(ID, "default", "probs")
 
 
@@ -970,8 +970,8 @@ def m14_target_definition(spark, sf):
 
 def _bundle(spark, sf, name="logistic_regression"):
     prepared = training.prepare(training_rows(spark, sf), config(name))
-    state = encoding.fit_encoder(prepared.train, prepared.profile, prepared.orders)
-    model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, state)
+    fitted = training.fit_rows(prepared, prepared.train)
+    model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, fitted)
     kinds = {c: prepared.train.schema[c].dataType.simpleString() for c in prepared.features}
     bundle = bundles.ModelBundle(
         model, name, "applicants", kinds, "default=1", threshold=0.5, num_classes=2
@@ -1020,9 +1020,9 @@ def d4_score_stream(spark, sf):
         (F.col("value") > 10).cast("int").alias("default"),
     ).drop("props")
     prepared = training.prepare(rows, config("logistic_regression"))
-    state = encoding.fit_encoder(prepared.train, prepared.profile, prepared.orders)
+    fitted = training.fit_rows(prepared, prepared.train)
     params = SMALL["logistic_regression"][0]
-    model = training.fit_model(prepared, "logistic_regression", params, prepared.train, state)
+    model = training.fit_model(prepared, "logistic_regression", params, prepared.train, fitted)
     kinds = {c: prepared.train.schema[c].dataType.simpleString() for c in prepared.features}
     bundle = bundles.ModelBundle(model, "logistic_regression", "events", kinds, "value > 10", 0.5)
     stream = read_applicant_stream(spark, sf, events.schema, "events.parquet").select(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obligor.operators.profile import SchemaProfile
+from obligor.operators.profile import CHUNK, SchemaProfile
 from obligor.operators.running import dense_index
 from obligor.operators.selection import column_quantiles
 from obligor.session import col, pin, scratch_path, small_table
@@ -67,22 +67,22 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
-    """Moments of complete numeric columns in one bounded aggregate."""
-    if not columns:
-        return {}
-    aggs: list[Column] = []
-    for i, c in enumerate(columns):
-        aggs += [
-            F.avg(col(c)).alias(f"m{i}"),
-            F.stddev_pop(col(c)).alias(f"d{i}"),
-            adjusted_skew(col(c)).alias(f"s{i}"),
-        ]
-    row = df.agg(*aggs).first()
+    """Moments of complete numeric columns, in bounded aggregates over chunks of columns."""
     result = {}
-    for i, c in enumerate(columns):
-        skew = row[f"s{i}"]
-        undefined = skew is None or math.isnan(skew)
-        result[c] = Moments(row[f"m{i}"], row[f"d{i}"] or 1.0, 0.0 if undefined else abs(skew))
+    for at in range(0, len(columns), CHUNK):
+        part = list(columns)[at : at + CHUNK]
+        aggs: list[Column] = []
+        for i, c in enumerate(part):
+            aggs += [
+                F.avg(col(c)).alias(f"m{i}"),
+                F.stddev_pop(col(c)).alias(f"d{i}"),
+                adjusted_skew(col(c)).alias(f"s{i}"),
+            ]
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(part):
+            skew = row[f"s{i}"]
+            undefined = skew is None or math.isnan(skew)
+            result[c] = Moments(row[f"m{i}"], row[f"d{i}"] or 1.0, 0.0 if undefined else abs(skew))
     return result
 
 

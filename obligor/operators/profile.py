@@ -33,6 +33,7 @@ ORDERED_VALUE_SETS = (
 TYPE_ORDER = ("date", "boolean", "ordinal", "numeric", "categorical", "dropped")
 # Columns per aggregate, which bounds the size of one plan.
 CHUNK = 100
+SKETCH_GROUPS = 256
 
 
 @dataclass(frozen=True)
@@ -156,10 +157,10 @@ def date_shares(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame
 def date_columns(df: DataFrame, columns: Sequence[str], id_col: str) -> list[str]:
     """Clock-typed columns and text columns whose leading values mostly parse."""
     text = [c for c in columns if is_text(df.schema[c].dataType)]
-    parsed = set()
-    if text:
-        shares = date_shares(df, text, id_col).collect()
-        parsed = {r["column"] for r in shares if r["parsed"] / r["sampled"] >= DATE_SHARE}
+    parsed: set[str] = set()
+    for at in range(0, len(text), CHUNK):
+        shares = date_shares(df, text[at : at + CHUNK], id_col).collect()
+        parsed |= {r["column"] for r in shares if r["parsed"] / r["sampled"] >= DATE_SHARE}
     return [c for c in columns if c in parsed or _is_clock(df.schema[c].dataType)]
 
 
@@ -269,6 +270,24 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Estimated distinct values per column, to tell long value lists from short ones.
+
+    Sketches are merged in two steps, so that no task receives one from every split.
+    """
+    estimates: dict[str, int] = {}
+    for at in range(0, len(columns), CHUNK):
+        part = list(columns)[at : at + CHUNK]
+        sketches = [F.hll_sketch_agg(as_text(df, c)).alias(f"s{i}") for i, c in enumerate(part)]
+        merged = [
+            F.hll_sketch_estimate(F.hll_union_agg(f"s{i}")).alias(f"e{i}") for i in range(len(part))
+        ]
+        group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
+        row = df.groupBy(group).agg(*sketches).agg(*merged).first()
+        estimates.update({c: row[f"e{i}"] or 0 for i, c in enumerate(part)})
+    return estimates
+
+
 def unique_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, unique_values) with zero for an all-null column."""
     counted = value_counts(df, columns).groupBy("column").agg(

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -131,53 +131,60 @@ def _bracketed(
             T.StructField("high", kind),
         ]
     )
-    table = small_table(spark, [(x.group, i, x.low, x.high) for i, x in enumerate(brackets)], schema)
+    rows = [(x.group, i, x.low, x.high) for i, x in enumerate(brackets)]
+    table = small_table(spark, rows, schema)
     return values.join(F.broadcast(table), "g").where("v >= low and v <= high")
 
 
+def _holding(
+    spark: SparkSession, counts: DataFrame, order: str, brackets: Sequence[_Bracket]
+) -> list[Row]:
+    """Of (b, order, n, low, high) counts, the entries that hold a wanted rank.
+
+    Each comes with ``rank`` and ``below``. The window runs inside a bracket, over at
+    most the bins or the few rows that are left; at most one row per rank returns.
+    """
+    running = Window.partitionBy("b").orderBy(order)
+    wanted = small_table(
+        spark,
+        [(i, x.below, rank) for i, x in enumerate(brackets) for rank in x.ranks],
+        "b int, start bigint, rank bigint",
+    )
+    placed = counts.withColumn("through", F.sum("n").over(running))
+    return (
+        placed.join(F.broadcast(wanted), "b")
+        .where("rank - start < through and rank - start >= through - n")
+        .withColumn("below", F.expr("start + through - n"))
+        .collect()
+    )
+
+
 def _refine(
     spark: SparkSession, values: DataFrame, brackets: Sequence[_Bracket], bins: int
 ) -> list[_Bracket]:
+    """Replace each bracket by the bins of it that hold its ranks."""
     # Halving first keeps the width finite for any doubles.
     v, low, high = (F.col(c).cast("double") / 2 for c in ("v", "low", "high"))
     slot = F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
-    counted = (
+    counts = (
         _bracketed(spark, values, brackets)
         .groupBy("b", slot.alias("slot"))
         .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .collect()  # at most bins rows per bracket
     )
-    result = []
-    for i, bracket in enumerate(brackets):
-        below = bracket.below
-        for row in sorted((r for r in counted if r["b"] == i), key=lambda r: r["slot"]):
-            inside = tuple(r for r in bracket.ranks if below <= r < below + row["n"])
-            if inside:
-                result.append(
-                    _Bracket(bracket.group, row["low"], row["high"], below, row["n"], inside)
-                )
-            below += row["n"]
-    return result
+    inside: dict[tuple, list[int]] = {}
+    for r in _holding(spark, counts, "slot", brackets):
+        key = (brackets[r["b"]].group, r["low"], r["high"], r["below"], r["n"])
+        inside.setdefault(key, []).append(r["rank"])
+    return [_Bracket(*key, tuple(sorted(ranks))) for key, ranks in inside.items()]
 
 
 def _count_by_value(
     spark: SparkSession, values: DataFrame, brackets: Sequence[_Bracket]
 ) -> dict[tuple[str, int], Hit]:
     counts = _bracketed(spark, values, brackets).groupBy("b", "v").agg(F.count("v").alias("n"))
-    running = Window.partitionBy("b").orderBy("v")
-    starts = small_table(
-        spark,
-        [(i, x.below, rank) for i, x in enumerate(brackets) for rank in x.ranks],
-        "b int, start long, rank long",
-    )
-    placed = counts.withColumn("through", F.sum("n").over(running))
-    hits = (
-        placed.join(F.broadcast(starts), "b")
-        .where("rank - start < through and rank - start >= through - n")
-        .select("b", "rank", "v", "n", (F.col("start") + F.col("through") - F.col("n")).alias("below"))
-    )
     return {
-        (brackets[r["b"]].group, r["rank"]): Hit(r["v"], r["below"], r["n"]) for r in hits.collect()
+        (brackets[r["b"]].group, r["rank"]): Hit(r["v"], r["below"], r["n"])
+        for r in _holding(spark, counts, "v", brackets)
     }
 
 

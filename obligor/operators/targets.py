@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obligor.operators.profile import as_text, value_counts
+from obligor.operators.profile import as_text, distinct_estimates, value_counts
 from obligor.session import col
 
 # Class limits and the wording of the preview.
@@ -20,9 +20,15 @@ DEFAULT_FOLDS = 5
 def target_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, values) of the columns that can be a target, values in text order.
 
-    Columns with too many values are dropped by count before any list is built.
+    A sketch first rules out columns with far too many values, so that only short value
+    lists are shuffled; the limit itself is checked on exact counts.
     """
-    counts = value_counts(df, columns)
+    estimates = distinct_estimates(df, columns)
+    short = [c for c in columns if estimates[c] <= 2 * MAX_CLASSES]
+    if not short:
+        empty = "column string, classes bigint, values array<string>"
+        return df.sparkSession.createDataFrame([], empty)
+    counts = value_counts(df, short)
     fit = (
         counts.groupBy("column")
         .agg(F.count(F.lit(1)).alias("classes"))

@@ -122,7 +122,7 @@ def test_out_of_fold_covers_every_training_row_once(spark):
     assert all(abs(sum(r["probs"]) - 1) < 1e-9 for r in oof.collect())
     # The held-out rows never enter the statistics of their own fold.
     kept = prepared.train.where("fold <> 0").select(F.percentile("income", 0.5)).first()[0]
-    assert states[0].fills["income"] == kept
+    assert states[0].state.fills["income"] == kept
 
 
 def test_bundle_round_trip_and_scoring(spark, binary, tmp_path):
@@ -210,8 +210,8 @@ def test_multiclass_analysis(spark):
 def test_boosted_multiclass_probabilities(spark):
     rows = coded(multiclass_rows(spark), {"A": 0, "B": 1, "C": 2})
     prepared = training.prepare(rows, config("xgboost", folds=2))
-    state = training.fit_encoder(prepared.train, prepared.profile, prepared.orders)
-    model = training.fit_model(prepared, "xgboost", TINY["xgboost"][0], prepared.train, state)
+    fitted = training.fit_rows(prepared, prepared.train)
+    model = training.fit_model(prepared, "xgboost", TINY["xgboost"][0], prepared.train, fitted)
     probs = [r["probs"] for r in training.predictor(model)(prepared.test).collect()]
     assert all(len(p) == 3 and abs(sum(p) - 1) < 1e-9 for p in probs)
 
