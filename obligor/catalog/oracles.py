@@ -548,11 +548,7 @@ LEFT JOIN w_source w2 ON w2.v = d.source"""
 # --- splits -------------------------------------------------------------------------
 
 KEY = "((application_id % 2147483648) * 2654435761 + 42) % 4294967296"
-ORACLES["t1_stratified_split"] = on_applicants(
-    f"""SELECT application_id, keyed.y, CASE WHEN rn <= test_n THEN 'test' ELSE 'train' END AS split
-FROM (SELECT application_id, y, row_number() OVER (PARTITION BY y ORDER BY {KEY}, application_id) AS rn
-      FROM a) keyed
-JOIN quota USING (y)""",
+SPLIT = (
     """sizes AS (
   SELECT y, count(*) AS c, sum(count(*)) OVER () AS n,
          sum(count(*)) OVER () - ceil(0.2::DOUBLE * sum(count(*)) OVER ()) AS n_train
@@ -562,6 +558,14 @@ JOIN quota USING (y)""",
   SELECT y, c - (q + CASE WHEN row_number() OVER (ORDER BY rest DESC, y)
                             <= n_train - sum(q) OVER () THEN 1 ELSE 0 END) AS test_n
   FROM shares)""",
+    f"""parts AS (
+  SELECT keyed.*, CASE WHEN rn <= test_n THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT application_id, y, pd_score, age,
+               row_number() OVER (PARTITION BY y ORDER BY {KEY}, application_id) AS rn FROM a) keyed
+  JOIN quota USING (y))""",
+)
+ORACLES["t1_stratified_split"] = on_applicants(
+    "SELECT application_id, y, split FROM parts", *SPLIT
 )
 
 
@@ -590,6 +594,10 @@ ORACLES["t2_stratified_folds"] = on_applicants(
     *folds("y", 5),
 )
 
+ORACLES["t4_fixed_sample"] = on_applicants(
+    f"SELECT application_id, loan_amount FROM a ORDER BY {KEY}, application_id LIMIT 50"
+)
+
 # --- ranking metrics ----------------------------------------------------------------
 
 
@@ -703,6 +711,15 @@ ORACLES["g9_binary_metrics"] = on_applicants(
     *cut("a", "y", "pd_score", "(SELECT threshold FROM best)"),
 )
 
+HELD = "(SELECT application_id, y, pd_score * age / 80 AS pd_score FROM parts WHERE split = '{part}')"
+ORACLES["g18_rule_threshold"] = on_applicants(
+    f"""SELECT tp, fp, fn, tn, {r6('precision', 'precision')}, {r6('recall', 'recall')},
+       {r6('cut_metrics.f1', 'f1')}, {r6('best.threshold', 'threshold')} FROM cut_metrics, best""",
+    *SPLIT,
+    *grid(HELD.format(part="train")),
+    *cut(HELD.format(part="test"), "y", "pd_score", "(SELECT threshold FROM best)"),
+)
+
 MULTI = f"""m AS (
   SELECT application_id, {CODE} AS code,
          list_transform([1 + application_id % 7, 1 + application_id % 5, 1 + application_id % 3],
@@ -864,6 +881,10 @@ ORACLES["m14_target_definition"] = on_applicants(
 FROM a"""
 )
 
+ORACLES["s6_bundle_round_trip"] = on_applicants(
+    "SELECT CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS row_count, 0.0::DOUBLE AS largest_gap FROM a"
+)
+
 # --- explanations -------------------------------------------------------------------
 
 _COMPARED = ("loan_amount", "income", "age", "late_lines", "payment_lines", "credit_limit")
@@ -898,6 +919,23 @@ SELECT 'importance', CAST(row_number() OVER (ORDER BY importance_mean DESC, feat
     IMPORTANCE,
 )
 
+DEPENDENCE = """
+grids AS (
+  SELECT 'loan_amount' AS feature,
+         lo + i * ((hi - lo) / 99) AS grid_value
+  FROM (SELECT quantile_cont(loan_amount, 0.05) AS lo, quantile_cont(loan_amount, 0.95) AS hi FROM a),
+       range(0, 100) r(i)
+  UNION ALL SELECT DISTINCT 'late_lines', late_lines::DOUBLE FROM a
+  UNION ALL SELECT DISTINCT 'age', age::DOUBLE FROM a),
+sums AS (
+  SELECT avg(loan_amount) AS l, avg(late_lines * age) AS xa, avg(late_lines) AS x, avg(age) AS g FROM a)"""
+ORACLES["x2_rule_dependence"] = on_applicants(
+    f"""SELECT feature, {r6('grid_value', 'grid_value')},
+       {r6("0.1 + CASE feature WHEN 'loan_amount' THEN grid_value ELSE l END / 1000000 + 0.05 * CASE feature WHEN 'loan_amount' THEN xa WHEN 'late_lines' THEN grid_value * g ELSE x * grid_value END / 80", 'average')}
+FROM grids, sums""",
+    DEPENDENCE,
+)
+
 # --- decisions ----------------------------------------------------------------------
 
 ORACLES["d1_risk_band"] = on_applicants(

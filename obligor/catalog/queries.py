@@ -602,7 +602,8 @@ def t2_stratified_folds(spark, sf):
 
 @query
 def t4_fixed_sample(spark, sf):
-    return splitting.fixed_sample(applicants(spark, sf).select(ID, "loan_amount"), ID)
+    a = applicants(spark, sf).select(ID, "loan_amount")
+    return splitting.fixed_sample(a, ID, key=splitting.portable_key(ID, SEED))
 
 
 # --- ranking metrics ----------------------------------------------------------------
@@ -923,6 +924,19 @@ def g18_honest_threshold(spark, sf):
     return thresholds.threshold_metrics(flat, "default", "pd", metrics["threshold"])
 
 
+@query
+def g18_rule_threshold(spark, sf):
+    """The same for a fixed score: cutoff from the training part, metrics on the test part."""
+    a = view(spark, sf, "y", "pd_score", "age")
+    riskier = a.withColumn("score", F.col("pd_score") * F.col("age") / 80)
+    parts = splitting.stratified_split(riskier, "y", ID, key=splitting.portable_key(ID, SEED))
+    learned = thresholds.best_threshold(parts.where("split = 'train'"), "y", "score").first()
+    held = thresholds.threshold_metrics(
+        parts.where("split = 'test'"), "y", "score", learned["threshold"]
+    )
+    return rounded(held, "threshold", "precision", "recall", "f1")
+
+
 def _experiment(spark, sf, *candidates, progress=None, **options):
     return training.train_experiment(
         training_rows(spark, sf), config(*candidates, **options), progress=progress
@@ -1080,6 +1094,20 @@ def x2_partial_dependence(spark, sf):
     )
 
 
+def rule_model(df):
+    """A model known in closed form, for checking explanations without any fitting."""
+    p = 0.1 + F.col("loan_amount") / 1000000 + 0.05 * F.col("late_lines") * F.col("age") / 80
+    return df.withColumn("probs", F.array(1 - p, p))
+
+
+@query
+def x2_rule_dependence(spark, sf):
+    """Partial dependence of the closed-form model, over all applicants."""
+    a = view(spark, sf, "loan_amount", "late_lines", "age")
+    out = explain.partial_dependence(a, rule_model, ["loan_amount", "late_lines", "age"])
+    return rounded(out, "grid_value", "average")
+
+
 @query
 def x3_shapley_summary(spark, sf):
     prepared, bundle = _bundle(spark, sf)

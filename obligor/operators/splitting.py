@@ -157,6 +157,9 @@ def stratified_folds(
     return df.withColumn(output, fold_column(df, target, id_col, k, seed, key))
 
 
-def fixed_sample(df: DataFrame, id_col: str, size: int = 50, seed: int = 42) -> DataFrame:
+def fixed_sample(
+    df: DataFrame, id_col: str, size: int = 50, seed: int = 42, key: Column | None = None
+) -> DataFrame:
     """The same ``size`` rows on every run: a bounded top-k by hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), col(id_col)), col(id_col)).limit(size)
+    key = shuffle_key(id_col, seed) if key is None else key
+    return df.orderBy(key, col(id_col)).limit(size)
