@@ -24,6 +24,8 @@ from obligor.session import col, small_table
 
 BINS = 512
 EXACT_ROWS = 500_000
+# Only guards the driver against a group column that holds values.
+MAX_GROUPS = 10_000
 
 
 class Hit(NamedTuple):
@@ -59,10 +61,15 @@ class Extent(NamedTuple):
 
 def group_extents(values: DataFrame) -> dict[str, Extent]:
     """Size and range per group ``g`` of a (g, v) table. Groups are columns or classes: few."""
-    rows = values.groupBy("g").agg(
-        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    rows = (
+        values.groupBy("g")
+        .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .limit(MAX_GROUPS + 1)
+        .collect()
     )
-    return {r["g"]: Extent(r["n"], r["low"], r["high"]) for r in rows.collect()}
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"More than {MAX_GROUPS} groups: this is no column or class label.")
+    return {r["g"]: Extent(r["n"], r["low"], r["high"]) for r in rows}
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -224,14 +231,17 @@ def column_quantiles(
 
 
 def rank_cuts(
-    rows: DataFrame, ranks: Mapping[str, Sequence[int]], **limits: int
+    rows: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    extents: Mapping[str, Extent] | None = None,
+    **limits: int,
 ) -> dict[tuple[str, int], Cut]:
     """Rows (g, v, id) at ascending (v, id) ranks, as cut points.
 
     A cut inside a run of equal values gets its id from a second selection over the
     ids of that run alone.
     """
-    hits = order_statistics(rows.select("g", "v"), ranks, **limits)
+    hits = order_statistics(rows.select("g", "v"), ranks, extents=extents, **limits)
     runs = {
         (g, hit.value) for (g, rank), hit in hits.items() if rank - hit.below < hit.ties - 1
     }

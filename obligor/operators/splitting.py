@@ -8,18 +8,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obligor.operators.selection import Cut, after_cut, numeric_id, rank_cuts
+from obligor.operators.selection import (
+    MAX_GROUPS,
+    Cut,
+    Extent,
+    after_cut,
+    group_extents,
+    numeric_id,
+    rank_cuts,
+)
 from obligor.session import col
 
 
-# Far above any usable number of classes; only guards the driver.
-MAX_CLASSES = 10_000
-
-
 def shuffle_key(id_col: str, seed: int) -> Column:
     """Pseudo-random order of any id type."""
     return F.xxhash64(F.lit(seed), col(id_col))
@@ -45,16 +50,51 @@ def largest_remainder(counts: Mapping[int, int], draws: int) -> dict[int, int]:
 def class_sizes(df: DataFrame, target: str) -> dict[int, int]:
     """Rows per class code; refuses a column that is no class label before listing it."""
     counts = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES or any(r["y"] is None for r in rows):
-        raise ValueError(f"'{target}' holds NULLs or more than {MAX_CLASSES} classes.")
+    rows = counts.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS or any(r["y"] is None for r in rows):
+        raise ValueError(f"'{target}' holds NULLs or more than {MAX_GROUPS} classes.")
     return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: r["y"])}
 
 
-def _keyed(df: DataFrame, target: str, id_col: str, key: Column) -> DataFrame:
-    return df.select(
-        col(target).cast("string").alias("g"), key.alias("v"), numeric_id(df, id_col).alias("id")
-    )
+class _Ordered:
+    """Rows in key order inside their class, and the class sizes, from one scan."""
+
+    def __init__(self, df: DataFrame, target: str, id_col: str, key: Column) -> None:
+        self.target, self.key, self.row_id = target, key, numeric_id(df, id_col)
+        self.rows = df.select(
+            col(target).cast("string").alias("g"), key.alias("v"), self.row_id.alias("id")
+        )
+        self.extents: dict[str, Extent] = group_extents(self.rows)
+        if None in self.extents:
+            raise ValueError(f"'{target}' holds NULLs.")
+        sizes = {int(g): extent.rows for g, extent in self.extents.items()}
+        self.sizes = dict(sorted(sizes.items()))
+
+    def cuts(self, ranks: Mapping[int, list[int]]) -> dict[tuple[int, int], Cut]:
+        """Cut after each given rank of each class; ranks below zero cut nothing off."""
+        usable = {str(c): [r for r in wanted if r >= 0] for c, wanted in ranks.items()}
+        found = rank_cuts(self.rows, usable, self.extents)
+        return {(int(g), rank): cut for (g, rank), cut in found.items()}
+
+    def test_part(self, quotas: Mapping[int, int], cuts: Mapping[tuple[int, int], Cut]) -> Column:
+        part = F.lit("train")
+        for c, quota in quotas.items():
+            if quota:
+                first = ~after_cut(self.key, self.row_id, cuts[c, quota - 1])
+                part = F.when((col(self.target) == c) & first, "test").otherwise(part)
+        return part
+
+    def fold(self, ends: Mapping[int, list[int]], cuts: Mapping[tuple[int, int], Cut]) -> Column:
+        """Number of fold ends passed; ``ends`` are ranks just behind a fold."""
+        fold = F.lit(None).cast("int")
+        for c, stops in ends.items():
+            place = F.lit(0)
+            for end in stops[:-1]:
+                cut = cuts.get((c, end - 1))
+                passed = after_cut(self.key, self.row_id, cut).cast("int") if cut else F.lit(1)
+                place = place + passed
+            fold = F.when(col(self.target) == c, place).otherwise(fold)
+        return fold
 
 
 def quotas_of_test_part(sizes: Mapping[int, int], test_size: float) -> dict[int, int]:
@@ -82,16 +122,28 @@ def split_column(
     Only these two columns of ``df`` are read; the expression then fits any table that
     has them.
     """
-    key = shuffle_key(id_col, seed) if key is None else key
-    quotas = quotas_of_test_part(class_sizes(df, target), test_size)
-    ranks = {str(c): [q - 1] for c, q in quotas.items() if q}
-    cuts = rank_cuts(_keyed(df, target, id_col, key), ranks)
-    row_id = numeric_id(df, id_col)
-    part = F.lit("train")
-    for (group, _), cut in cuts.items():
-        mine = col(target).cast("string") == group
-        part = F.when(mine & ~after_cut(key, row_id, cut), "test").otherwise(part)
-    return part
+    ordered = _Ordered(df, target, id_col, shuffle_key(id_col, seed) if key is None else key)
+    quotas = quotas_of_test_part(ordered.sizes, test_size)
+    return ordered.test_part(quotas, ordered.cuts({c: [q - 1] for c, q in quotas.items()}))
+
+
+def split_and_fold_columns(
+    df: DataFrame, target: str, id_col: str, test_size: float, k: int, seed: int = 42
+) -> tuple[Column, Column, dict[int, int]]:
+    """Split and fold expressions and the training rows per class.
+
+    Test rows come first in key order, so the fold ends of the training rows are ranks
+    of the same order and one selection serves both. Folds of test rows mean nothing.
+    """
+    ordered = _Ordered(df, target, id_col, shuffle_key(id_col, seed))
+    quotas = quotas_of_test_part(ordered.sizes, test_size)
+    train = {c: n - quotas[c] for c, n in ordered.sizes.items()}
+    ends = {
+        c: [quotas[c] + end for end in stops] for c, stops in fold_ends(train, k).items()
+    }
+    ranks = {c: [quotas[c] - 1, *(end - 1 for end in ends[c][:-1])] for c in train}
+    cuts = ordered.cuts(ranks)
+    return ordered.test_part(quotas, cuts), ordered.fold(ends, cuts), train
 
 
 def stratified_split(
@@ -116,6 +168,13 @@ def fold_sizes(sizes: Mapping[int, int], k: int) -> dict[int, list[int]]:
     return result
 
 
+def fold_ends(sizes: Mapping[int, int], k: int) -> dict[int, list[int]]:
+    """Rank just behind each fold of each class."""
+    if k < 2 or k > max(sizes.values()):
+        raise ValueError(f"{k} folds do not fit the class sizes {sizes}.")
+    return {c: list(accumulate(counts)) for c, counts in fold_sizes(sizes, k).items()}
+
+
 def fold_column(
     df: DataFrame,
     target: str,
@@ -125,23 +184,10 @@ def fold_column(
     key: Column | None = None,
 ) -> Column:
     """Fold number in 0..k-1 as an expression over the id and target columns."""
-    key = shuffle_key(id_col, seed) if key is None else key
-    sizes = class_sizes(df, target)
-    if k < 2 or k > max(sizes.values()):
-        raise ValueError(f"{k} folds do not fit the class sizes {sizes}.")
-    plan = fold_sizes(sizes, k)
-    ends = {c: [sum(counts[: f + 1]) for f in range(k)] for c, counts in plan.items()}
-    ranks = {str(c): [e - 1 for e in stops[:-1] if e] for c, stops in ends.items()}
-    cuts = rank_cuts(_keyed(df, target, id_col, key), ranks)
-    row_id = numeric_id(df, id_col)
-    fold = F.lit(None).cast("int")
-    for c, stops in ends.items():
-        place = F.lit(0)
-        for end in stops[:-1]:
-            cut: Cut | None = cuts.get((str(c), end - 1)) if end else None
-            place = place + (after_cut(key, row_id, cut).cast("int") if cut else F.lit(1))
-        fold = F.when(col(target) == c, place).otherwise(fold)
-    return fold
+    ordered = _Ordered(df, target, id_col, shuffle_key(id_col, seed) if key is None else key)
+    ends = fold_ends(ordered.sizes, k)
+    cuts = ordered.cuts({c: [end - 1 for end in stops[:-1]] for c, stops in ends.items()})
+    return ordered.fold(ends, cuts)
 
 
 def stratified_folds(
