@@ -62,12 +62,10 @@ ORACLES["decision_mix"] = on_applicants(
     f"""SELECT product_type, {BAND.format(p='pd_score')} AS risk_band,
        {DECISION.format(p='pd_score')} AS decision, count(*) AS applications,
        {r6('avg(pd_score)', 'avg_pd')},
-       {r6('avg(loan_amount / greatest(abs(income), CASE WHEN income IS NOT NULL THEN 1 END))', 'avg_debt_to_income')},
+       {r6('avg(CASE WHEN income IS NOT NULL THEN loan_amount / greatest(abs(income), 1) END)',
+           'avg_debt_to_income')},
        {r6('sum(loan_amount)', 'exposure', 2)}
 FROM a GROUP BY 1, 2, 3"""
-).replace(
-    "loan_amount / greatest(abs(income), CASE WHEN income IS NOT NULL THEN 1 END)",
-    "CASE WHEN income IS NOT NULL THEN loan_amount / greatest(abs(income), 1) END",
 )
 
 # --- sources and sinks --------------------------------------------------------------

@@ -27,7 +27,7 @@ def read_source(spark: SparkSession, config: DatasetConfig, schema: Any = None)
     """
     kind = config.source_type
     if kind not in (*FILE_FORMATS, "table"):
-        raise ValueError(f"Unsupported dataset source_type '{kind}'.")
+        raise ValueError(f"No reader for source type '{kind}' of '{config.name}'.")
     if config.path is None:
         raise ValueError(f"Dataset '{config.name}' has no path.")
     try:
@@ -42,7 +42,7 @@ def read_source(spark: SparkSession, config: DatasetConfig, schema: Any = None)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
             raise FileNotFoundError(
-                f"Dataset '{config.name}' was not found at {config.path}."
+                f"Nothing to read for '{config.name}' at {config.path}."
             ) from error
         raise
 
@@ -77,7 +77,7 @@ def prepare_target(
     With ``validate`` one aggregate counts the rows without a code and refuses them.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' is not present.")
+        raise ValueError(f"There is no column '{target}' to predict.")
     ignored = [name for name in ignored if name in df.columns and name != target]
     features = [c for c in df.columns if c != target and c not in ignored]
     if TARGET in features:
@@ -96,11 +96,5 @@ def load_credit_dataset(
     """Configured table with its ``default`` column."""
     config = get_dataset_config(name)
     frame = read_source(spark, config, schema)
-    if config.target_column not in frame.columns:
-        raise ValueError(
-            f"Target column '{config.target_column}' is not present in dataset '{name}'."
-        )
-    return (
-        prepare_target(frame, config.target_column, config.target_mapping, config.ignored_columns),
-        config,
-    )
+    target = config.target_column
+    return prepare_target(frame, target, config.target_mapping, config.ignored_columns), config

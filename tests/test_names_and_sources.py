@@ -54,7 +54,7 @@ def test_registry():
 
 
 def test_reader_errors(spark, tmp_path):
-    with pytest.raises(ValueError, match="source_type"):
+    with pytest.raises(ValueError, match="source type"):
         readers.read_source(spark, DatasetConfig("x", "X", "y", "openml", "p"))
     with pytest.raises(ValueError, match="no path"):
         readers.read_source(spark, DatasetConfig("x", "X", "y"))
@@ -92,7 +92,7 @@ def test_load_refuses_targets_without_a_code(spark, tmp_path):
     with pytest.raises(ValueError, match="10 rows"):
         readers.load_credit_dataset(spark, "part")
     register_dataset(DatasetConfig("none", "T", "missing", "csv", path))
-    with pytest.raises(ValueError, match="not present"):
+    with pytest.raises(ValueError, match="no column"):
         readers.load_credit_dataset(spark, "none")
 
 
