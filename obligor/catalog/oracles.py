@@ -31,8 +31,9 @@ a AS (
          1 AS constant,
          CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
          o.o_orderstatus AS outcome,
-         round(0.5::DOUBLE * ((o.o_orderkey * 37) % 101) / 100
-               + 0.5::DOUBLE * least(o.o_totalprice / 500000, 1.0::DOUBLE), 4) AS pd_score
+         floor((0.5::DOUBLE * ((o.o_orderkey * 37) % 101) / 100
+                + 0.5::DOUBLE * least(o.o_totalprice / 500000, 1.0::DOUBLE)) * 10000::DOUBLE
+               + 0.5::DOUBLE) / 10000::DOUBLE AS pd_score
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN n ON n.ck = o.o_custkey
   LEFT JOIN l ON l.l_orderkey = o.o_orderkey)"""
@@ -323,8 +324,8 @@ _FEATURES = {
     "f13_date_age_days": ("application_date_age_days", AGE_DAYS.format(d="application_date")),
 }
 for _name, (_alias, _expression) in _FEATURES.items():
-    # Nine digits where six would meet exact ties of cents over powers of two.
-    _digits = 9 if _name == "f1_loan_per_duration" else 6
+    # More digits where six would meet exact ties of cents over round numbers.
+    _digits = {"f1_loan_per_duration": 9, "f8_credit_utilization": 10}.get(_name, 6)
     ORACLES[_name] = on_applicants(
         f"SELECT application_id, {r6(_expression, _alias, _digits)} FROM a"
     )

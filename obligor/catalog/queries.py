@@ -377,7 +377,9 @@ def _feature_query(name: str, feature: str) -> Query:
         df = features_only(applicants(spark, sf))
         plan = features.plan_features(df, ID, dates=["application_date"])
         out = features.add_features(df, plan, AS_OF).select(ID, feature)
-        return rounded(out, feature, digits=9 if name == "f1_loan_per_duration" else 6)
+        # More digits where six would meet exact ties of cents over round numbers.
+        digits = {"f1_loan_per_duration": 9, "f8_credit_utilization": 10}.get(name, 6)
+        return rounded(out, feature, digits=digits)
 
     run.__name__ = name
     return run
