@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obligor.llm import bpe
+from obligor.llm import bpe, simhash
 
 #: The rank file and the pattern that the first operator encodes with.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,12 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
+    return simhash.near_duplicates(documents(spark, folder, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash": op3_simhash,
 }
