@@ -36,8 +36,8 @@ POSITION_BITS = 20
 NONE = np.int64(1) << 62
 #: Pre-tokens up to this many bytes are merged in groups.
 GROUPED_BYTES = 64
-#: Pre-tokens that a worker keeps, about 60 MB.
-REMEMBERED = 250_000
+#: Pre-tokens that a worker keeps, about 50 MB.
+REMEMBERED = 200_000
 #: Bytes of text split and merged together.
 CHUNK_BYTES = 2_000_000
 #: A private-use character: no letter, digit or space in any version of Unicode.
@@ -294,6 +294,14 @@ def share_ranks(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((f"{path} {pattern}", ranks, pattern, newer_characters()))
 
 
+def _encode_column(codec: BytePairCodec, column: pa.Array) -> list[bytes]:
+    texts = texts_of(column)
+    out: list[bytes] = []
+    for part in chunks(texts, CHUNK_BYTES):
+        out += codec.encode([text.decode("utf-8", "replace") for text in texts[part]])
+    return out
+
+
 def encoded(text: Column, vocabulary: Broadcast) -> Column:
     """Ids of a text as binary, four bytes each, little-endian."""
 
@@ -301,11 +309,7 @@ def encoded(text: Column, vocabulary: Broadcast) -> Column:
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(vocabulary)
         for column in columns:
-            texts = texts_of(column)
-            out: list[bytes] = []
-            for part in chunks(texts, CHUNK_BYTES):
-                out += codec.encode([t.decode("utf-8", "replace") for t in texts[part]])
-            yield pa.array(out, pa.binary())
+            yield pa.array(_encode_column(codec, column), pa.binary())
 
     return encode(text)
 
@@ -324,6 +328,20 @@ def decoded(ids: Column, vocabulary: Broadcast) -> Column:
     return decode(ids)
 
 
+def round_trip(text: Column, vocabulary: Broadcast) -> Column:
+    """Struct of a text's packed ids and the bytes decoded from them, by one worker."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(vocabulary)
+        for column in columns:
+            ids = _encode_column(codec, column)
+            back = pa.array([codec.decode(x) for x in ids], pa.binary())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), back], ["ids", "decoded"])
+
+    return both(text)
+
+
 def unpacked(ids: Column) -> Column:
     """Packed ids as an array of integers."""
 

@@ -12,7 +12,12 @@ from obligor.llm import bpe, simhash
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Texts handed to a Python worker at a time; Spark's own number suits rows of a few bytes.
+BATCH_ROWS = 500
+
+
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
@@ -22,9 +27,8 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     )
     docs = documents(spark, folder, "doc_id", "text")
-    ids = docs.select("doc_id", bpe.encoded(F.col("text"), vocabulary).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), vocabulary).alias("decoded"))
-    return both.select(
+    both = docs.select("doc_id", bpe.round_trip(F.col("text"), vocabulary).alias("both"))
+    return both.select("doc_id", "both.*").select(
         "doc_id",
         F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
