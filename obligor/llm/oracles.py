@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from obligor.llm.license_texts import LICENCES, SPELLINGS
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """The canonical form of a licence text, as an expression."""
+    lines = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t#*/;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
+    held = rf"(' ' || regexp_replace({lines}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ')"
+    for old, new in SPELLINGS:
+        held = f"replace({held}, ' {old} ', ' {new} ')"
+    return f"sha256(trim({held}))"
+
+
+_TEXTS = ", ".join(f"({_literal(name)}, {_literal(text)})" for name, text in LICENCES)
+
+ORACLES: dict[str, str] = {
+    "op5_license_scan": f"""
+WITH texts(license_id, text) AS (VALUES {_TEXTS}),
+known AS (
+  SELECT {_canonical("text")} AS digest, min(license_id) AS license_id FROM texts GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM lines JOIN known ON {_canonical("line")} = digest GROUP BY doc_id),
+docs AS (SELECT doc_id, {_canonical("text")} AS digest FROM documents)
+SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices
+FROM docs LEFT JOIN known USING (digest) LEFT JOIN named USING (doc_id)
+""",
+    "op10_nearest": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+      FROM scored)
+WHERE place <= 5
+""",
+}

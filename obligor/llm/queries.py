@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obligor.llm import bpe, simhash
+from obligor.llm import bpe, licenses, neighbours, sharding, simhash, token_counts
 
 #: The rank file and the pattern that the first operator encodes with.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary that tokens are counted by.
+COUNTED = "byte_bpe_50k.json"
 
 
 #: Texts handed to a Python worker at a time; Spark's own number suits rows of a few bytes.
@@ -41,7 +43,42 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder, "doc_id", "text"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence that each whole text is, and the licences that its lines name."""
+    return licenses.license_scan(documents(spark, folder, "doc_id", "text"))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it is over the limit."""
+    return token_counts.token_counts(
+        documents(spark, folder, "doc_id", "text"),
+        public_tokenizers.path(COUNTED),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op7_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of equal row counts along a curve over language, source and length."""
+    docs = documents(spark, folder, "doc_id", "text", "lang", "source", "n_chars")
+    cells = [
+        sharding.by_category(F.col("lang")),
+        sharding.by_category(F.col("source")),
+        sharding.by_magnitude(F.col("n_chars")),
+    ]
+    return sharding.hilbert_shards(docs, cells)
+
+
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
+    "op5_license_scan": op5_license_scan,
+    "op6_token_counts": op6_token_counts,
+    "op7_hilbert_shards": op7_hilbert_shards,
+    "op10_nearest": op10_nearest,
 }
