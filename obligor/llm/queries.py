@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obligor.llm import bpe, licenses, neighbours, sharding, simhash, token_counts
+from obligor.llm import (
+    bpe,
+    licenses,
+    neighbours,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 #: The rank file and the pattern that the first operator encodes with.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +52,17 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder, "doc_id", "text"))
 
 
+def labels_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance that each whole text is toxic, learnt from the labels outside the fold."""
+    docs = documents(spark, folder, "doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_labels(labels_of(spark, folder)))
+    return toxicity.scored(docs, model)
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence that each whole text is, and the licences that its lines name."""
     return licenses.license_scan(documents(spark, folder, "doc_id", "text"))
@@ -68,6 +88,12 @@ def op7_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.hilbert_shards(docs, cells)
 
 
+def op9_quality_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn by importance weights towards those labelled as good."""
+    docs = documents(spark, folder, "doc_id", "text")
+    return quality.sample(docs, quality.target_labels(labels_of(spark, folder)))
+
+
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
@@ -77,8 +103,10 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op9_quality_sample": op9_quality_sample,
     "op10_nearest": op10_nearest,
 }
