@@ -235,7 +235,7 @@ def fit(
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(base / (1 - base))))
     picked = labelled(labels, "toxic", rows)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    marked = docs.join(F.broadcast(picked), "doc_id")
+    marked = docs.join(F.broadcast(picked), "doc_id").withColumn("part", F.lit(0))
 
     def model(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"], kind="stable")
@@ -243,7 +243,7 @@ def fit(
         table, bias = train(texts, group["label"].to_numpy().astype(np.int64), share[0])
         return pd.DataFrame({"model": [table.astype("<f4").tobytes()], "bias": [bias]})
 
-    row = marked.groupBy(F.lit(0)).applyInPandas(model, "model binary, bias double").first()
+    row = marked.groupBy("part").applyInPandas(model, "model binary, bias double").first()
     if row is None:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share[0] / (1 - share[0]))))
     return ToxicityModel(np.frombuffer(row["model"], "<f4"), row["bias"])
