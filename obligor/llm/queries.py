@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from obligor.llm import (
     bpe,
+    decontamination,
     licenses,
     neighbours,
     quality,
@@ -88,6 +89,14 @@ def op7_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.hilbert_shards(docs, cells)
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, and how much of it."""
+    return decontamination.contaminated(
+        documents(spark, folder, "doc_id", "text"),
+        spark.read.parquet(f"{folder}/benchmark.parquet"),
+    )
+
+
 def op9_quality_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Documents drawn by importance weights towards those labelled as good."""
     docs = documents(spark, folder, "doc_id", "text")
@@ -107,6 +116,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_sample": op9_quality_sample,
     "op10_nearest": op10_nearest,
 }
