@@ -34,21 +34,19 @@ _PACKED = (
     " counts binary, terms binary, lengths binary, weights binary"
 )
 _NAMES = [part.split()[0] for part in _PACKED.split(", ")]
-_TYPES = [
-    pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7,
-]
+_TYPES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7]
 
 #: Facts of a document, its terms, and the weight of its terms in the corpus sums.
 Document = tuple[list[int], list[bytes], int]
 
 
 def planes(values: np.ndarray) -> bytes:
-    """32-bit integers with all low bytes first: small numbers then compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Integers with all low bytes first: small numbers and sorted ones then compress well."""
+    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 class _Block:
@@ -110,12 +108,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(
     df: DataFrame,
-    reader: Callable[[], Callable[[int | None, bytes], Document]],
+    reader: Callable[[], Callable[[list[int | None], list[bytes]], list[Document]]],
     block_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """Blocks of (doc_id, text) rows, written to the shared folder.
 
-    ``reader`` makes, once per task, the function that cuts one text into terms.
+    ``reader`` makes, once per task, the function that cuts a batch of texts into terms.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -132,9 +130,9 @@ def pack(
                 yield _batch(rows[start : start + 64])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, text in zip(doc_ids, texts_of(batch.column("text")), strict=True):
-                block.add(doc_id, read(doc_id, text))
+            doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
+            for doc_id, document in zip(doc_ids, read(doc_ids, texts), strict=True):
+                block.add(doc_id, document)
                 if len(block.number) > block_terms:
                     yield from close()
                     block, made = _Block(), made + 1
@@ -147,16 +145,16 @@ def pack(
 def judge(
     packed: DataFrame, value: Callable[[list[bytes], np.ndarray], np.ndarray]
 ) -> DataFrame:
-    """One value for each term of each block: (block, bucket, values, known, used).
+    """One value for each term of each block: (block, bucket, values, used, mass).
 
     ``value`` sees every distinct term of a bucket once, with its weight in the corpus.
-    ``known`` and ``used`` are the bucket's distinct terms and those with a weight.
+    ``used`` counts the bucket's distinct terms with a weight, ``mass`` sums the weights.
     """
 
     def run(table: pa.Table) -> pa.Table:
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
-        places, weights = [], []
+        places = []
         blobs = zip(
             table.column("terms").to_pylist(), table.column("lengths").to_pylist(), strict=True
         )
@@ -172,24 +170,22 @@ def judge(
             )
         total = np.zeros(len(number))
         for place, weight in zip(places, table.column("weights").to_pylist(), strict=True):
-            weights = unplaned(weight)
-            total[place] += weights
+            total[place] += unplaned(weight)
         values = value(list(number), total)
-        used = int((total > 0).sum())
-        n = table.num_rows
+        rest = [0] * (table.num_rows - 1)
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int64()),
                 "bucket": table.column("bucket").cast(pa.int32()),
                 "values": pa.array([planes(values[place]) for place in places], pa.binary()),
-                "known": pa.array([len(number)] + [0] * (n - 1), pa.int64()),
-                "used": pa.array([used] + [0] * (n - 1), pa.int64()),
+                "used": pa.array([int((total > 0).sum()), *rest], pa.int64()),
+                "mass": pa.array([int(total.sum()), *rest], pa.int64()),
             }
         )
 
     terms = packed.where("bucket >= 0").select("block", "bucket", "terms", "lengths", "weights")
     return terms.groupBy("bucket").applyInArrow(
-        run, "block long, bucket int, values binary, known long, used long"
+        run, "block long, bucket int, values binary, used long, mass long"
     )
 
 
@@ -231,8 +227,3 @@ def summed(
         .cogroup(judged.select("block", "bucket", "values").groupBy("block"))
         .applyInArrow(run, f"doc_id long, {schema}")
     )
-
-
-def total(judged: DataFrame, column: str) -> int:
-    """Sum over the buckets of ``known`` or ``used``."""
-    return judged.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]

@@ -10,6 +10,7 @@ from obligor.llm import (
     bpe,
     decontamination,
     licenses,
+    lm_scoring,
     neighbours,
     quality,
     sharding,
@@ -48,6 +49,11 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text, by words and by the mixed bit model."""
+    return lm_scoring.score(documents(spark, folder, "doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
     return simhash.near_duplicates(documents(spark, folder, "doc_id", "text"))
@@ -111,6 +117,7 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_lm_score": op2_lm_score,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,

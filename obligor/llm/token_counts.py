@@ -81,12 +81,12 @@ def token_counts(
     with open(path, encoding="utf-8") as file:
         shared = df.sparkSession.sparkContext.broadcast((file.read(), pattern, newer_characters()))
 
-    def reader() -> Callable[[int | None, bytes], blocks.Document]:
+    def reader() -> Callable[[list, list[bytes]], list[blocks.Document]]:
         setup, pattern, newer = shared.value
         counter, split = _counter(setup), Splitter(pattern, newer)
         entries, mark = counter.entries, counter.mark
 
-        def read(_: int | None, text: bytes) -> blocks.Document:
+        def cut(text: bytes) -> blocks.Document:
             whole = text.decode("utf-8", "replace")
             parts = mark.split(whole) if mark else [whole]
             tokens = len(parts) - 1
@@ -100,7 +100,7 @@ def token_counts(
                         tokens += known
             return [len(text), tokens], rest, 0
 
-        return read
+        return lambda _, texts: [cut(text) for text in texts]
 
     def count(terms: list[bytes], _: np.ndarray) -> np.ndarray:
         pieces = _counter(shared.value[0]).pieces
