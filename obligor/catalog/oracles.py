@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+from obligor.operators.explain import candidate_maps
+
 ID = "application_id"
 
 APPLICANTS = """
@@ -876,7 +880,7 @@ FROM m""",
 ORACLES["m14_target_definition"] = on_applicants(
     """SELECT CAST(count(*) - ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_train,
        CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_test,
-       'default_flag mapped to default=1 / non-default=0' AS target_definition, 6 AS features
+       'default_flag mapped to default=1 / non-default=0' AS target_definition, 16 AS features
 FROM a"""
 )
 
@@ -967,3 +971,151 @@ ORACLES["d6_loose_input"] = on_applicants(
     f"""SELECT application_id, CASE WHEN application_id % 4 <> 0 THEN age ELSE -1 END AS age,
        {r6('pd_score', 'pd_score')}, NULL::DOUBLE AS income FROM a"""
 )
+
+# --- training and scoring that SQL can follow ------------------------------------------
+
+MOSTLY = "CASE WHEN {f} = 'Y' THEN CAST(application_id % 4 > 0 AS INTEGER) ELSE CAST(application_id % 5 = 0 AS INTEGER) END"
+MARKED = f"b AS (SELECT * REPLACE ({MOSTLY.format(f='is_urgent')} AS y) FROM a)"
+MARKED_SPLIT = (MARKED, *[t.replace("FROM a ", "FROM b ").replace("FROM a)", "FROM b)") for t in SPLIT])
+RATES = """rates AS (
+  SELECT a.{f} AS f, avg(p.y::DOUBLE) AS p, sum(p.y)::DOUBLE AS pos, count(*) - sum(p.y)::DOUBLE AS neg
+  FROM parts p JOIN a USING (application_id) WHERE p.split = 'train' GROUP BY 1)"""
+TRAINED = "sums AS (SELECT sum(pos) AS pos, sum(neg) AS neg FROM rates)"
+
+
+def rate_query(feature: str, expression: str, digits: int) -> str:
+    return on_applicants(
+        f"""SELECT p.application_id, {r6(expression, 'pd', digits)}
+FROM parts p JOIN a USING (application_id) JOIN rates ON a.{feature} = rates.f, sums
+WHERE p.split = 'test'""",
+        *MARKED_SPLIT,
+        RATES.format(f=feature),
+        TRAINED,
+    )
+
+
+ORACLES["m1_category_rates"] = rate_query("product_type", "rates.p", 3)
+ORACLES["m2_balanced_rates"] = rate_query(
+    "product_type", "(rates.pos / sums.pos) / (rates.pos / sums.pos + rates.neg / sums.neg)", 3
+)
+ORACLES["m3_split_rates"] = rate_query("is_urgent", "rates.p", 9)
+ORACLES["m4_split_odds"] = rate_query("is_urgent", "1 / (1 + exp(-2 * (2 * rates.p - 1)))", 9)
+
+OUT_OF_FOLD = (
+    *MARKED_SPLIT,
+    "src AS (SELECT application_id, y FROM parts WHERE split = 'train')",
+    *folds("y", 5),
+    """flagged AS (SELECT f.*, a.is_urgent FROM folded f JOIN a USING (application_id))""",
+    """cells AS (SELECT fold, is_urgent, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM flagged GROUP BY 1, 2)""",
+    """others AS (
+  SELECT c.fold, c.is_urgent, (sum(o.pos)) / sum(o.n) AS p
+  FROM cells c JOIN cells o ON o.is_urgent = c.is_urgent AND o.fold <> c.fold GROUP BY 1, 2)""",
+    "oof AS (SELECT application_id, fold, y, p FROM flagged JOIN others USING (fold, is_urgent))",
+)
+ORACLES["t3_rates_out_of_fold"] = on_applicants(
+    f"SELECT application_id, CAST(fold AS INTEGER) AS fold, y AS \"default\", {r6('p', 'pd', 9)} FROM oof",
+    *OUT_OF_FOLD,
+)
+ORACLES["m6_rates_search"] = on_applicants(
+    f"""SELECT 0 AS param_set, {r6('avg(roc_auc)', 'mean_score', 9)} FROM rank_metrics
+UNION ALL SELECT 1, 0.5::DOUBLE""",
+    *OUT_OF_FOLD,
+    *curve("oof", "y", "p", "fold"),
+)
+ORACLES["m10_rates_experiment"] = on_applicants(
+    f"""SELECT 'random_forest' AS model, {r6('avg(roc_auc)', 'cv_roc_auc_mean', 9)},
+       {r6('(SELECT avg((y - p) * (y - p)) FROM oof)', 'cv_test_mse', 9)}, true AS champion FROM rank_metrics
+UNION ALL SELECT 'xgboost', {r6('avg(roc_auc)', 'x', 9)},
+       {r6('(SELECT avg((y - q) * (y - q)) FROM (SELECT y, 1 / (1 + exp(-2 * (2 * p - 1))) AS q FROM oof))', 'm', 9)}, false
+FROM rank_metrics""",
+    *OUT_OF_FOLD,
+    *curve("oof", "y", "p", "fold"),
+)
+ORACLES["m11_rates_progress"] = (
+    "SELECT CAST(done AS INTEGER) AS done, CAST(2 AS INTEGER) AS total, done < 2 AS time_left"
+    " FROM range(1, 3) t(done)"
+)
+ORACLES["m14_run_report"] = on_applicants(
+    """SELECT 'applicants' AS dataset, 'random_forest' AS champion, 'cv_roc_auc_mean' AS selection_metric,
+       CAST(5 AS INTEGER) AS cv_folds, count(*) FILTER (WHERE split = 'train') AS n_train,
+       count(*) FILTER (WHERE split = 'test') AS n_test, 'is_urgent' AS top_features, 'is_urgent' AS original
+FROM parts""",
+    *MARKED_SPLIT,
+)
+CONFIDENCE = """round(CASE WHEN {p} > 0.35 AND {p} <= 0.55
+         THEN least({p} - 0.35::DOUBLE, 0.55::DOUBLE - {p}) / ((0.55::DOUBLE - 0.35::DOUBLE) / 2)
+         ELSE least(abs({p} - 0.35::DOUBLE), abs({p} - 0.55::DOUBLE)) END, 4)"""
+ORACLES["d4_rates_scored"] = on_applicants(
+    f"""SELECT application_id, {r6('p', 'probability_default', 9)}, {DECISION.format(p='p')} AS decision,
+       {BAND.format(p='p')} AS risk_band, {CONFIDENCE.format(p='p')} AS prediction_confidence,
+       'random_forest' AS model_name
+FROM (SELECT application_id, CASE WHEN application_id % 10 > 0 THEN is_urgent ELSE mode END AS f
+      FROM a, (SELECT f AS mode FROM rates ORDER BY pos + neg DESC, f LIMIT 1))
+JOIN rates USING (f)""",
+    *MARKED_SPLIT,
+    RATES.format(f="is_urgent"),
+)
+ORACLES["d4_rates_streamed"] = (
+    "WITH e AS (SELECT event_id AS application_id, 0 AS pd_score, 0 AS age,"
+    " CASE WHEN event_id % 3 = 0 THEN 'Y' ELSE 'N' END AS flag FROM events),\n"
+    f"a AS (SELECT *, {MOSTLY.format(f='flag')} AS y FROM e),\n"
+    + ",\n".join([*SPLIT, RATES.format(f="flag")])
+    + f"""
+SELECT application_id, {r6('p', 'probability_default', 9)}, {DECISION.format(p='p')} AS decision
+FROM a JOIN rates ON a.flag = rates.f"""
+)
+
+_MAPS = ", ".join(
+    f"({i}, {step}::BIGINT, {shift}::BIGINT)"
+    for i, (step, shift) in enumerate(islice(candidate_maps(42), 60))
+)
+ORACLES["x1_rule_importance"] = on_applicants(
+    f"""SELECT feature, {r6('avg(base - roc_auc)', 'importance_mean')}, {r6('stddev_pop(base - roc_auc)', 'importance_std')}
+FROM rank_metrics, (SELECT roc_auc AS base FROM rank_metrics WHERE feature = '') WHERE feature <> '' GROUP BY feature""",
+    f"""numbered AS (SELECT a.*, row_number() OVER (ORDER BY {KEY}, application_id) - 1 AS i, count(*) OVER () AS n FROM a)""",
+    f"""maps AS (
+  SELECT row_number() OVER (ORDER BY pos) AS r, step, shift FROM (VALUES {_MAPS}) m(pos, step, shift)
+  WHERE gcd(step, (SELECT count(*) FROM a)) = 1 ORDER BY pos LIMIT 10)""",
+    """paired AS (
+  SELECT m.r, x.y, x.loan_amount AS xl, x.late_lines AS xt, x.age AS xa,
+         z.loan_amount AS zl, z.late_lines AS zt, z.age AS za
+  FROM numbered x, maps m JOIN numbered z ON z.i = (m.step * x.i + m.shift) % x.n)""",
+    """scored AS (
+  SELECT 'loan_amount' AS feature, r, y, 0.1::DOUBLE + zl / 1000000 + 0.05::DOUBLE * xt * xa / 80 AS p FROM paired
+  UNION ALL SELECT 'late_lines', r, y, 0.1::DOUBLE + xl / 1000000 + 0.05::DOUBLE * zt * xa / 80 FROM paired
+  UNION ALL SELECT 'age', r, y, 0.1::DOUBLE + xl / 1000000 + 0.05::DOUBLE * xt * za / 80 FROM paired
+  UNION ALL SELECT '', 0, y, 0.1::DOUBLE + loan_amount / 1000000 + 0.05::DOUBLE * late_lines * age / 80 FROM a)""",
+    *curve("scored", "y", "p", "feature, r"),
+)
+ORACLES["x3_rule_total"] = on_applicants(
+    f"SELECT application_id, {r6('p - avg(p) OVER ()', 'total')} FROM picked",
+    f"""picked AS (
+  SELECT application_id, 0.1::DOUBLE + loan_amount / 1000000 + 0.05::DOUBLE * late_lines * age / 80 AS p
+  FROM a ORDER BY {KEY}, application_id LIMIT 50)""",
+)
+ORACLES["s6_saved_codes"] = on_applicants(
+    """SELECT application_id, CASE WHEN application_id % 5 = 0 THEN n ELSE place END AS code
+FROM (SELECT application_id, row_number() OVER (ORDER BY application_id::VARCHAR) - 1 AS place, count(*) OVER () AS n FROM a)"""
+)
+
+# --- NaN is a missing value ----------------------------------------------------------
+
+ORACLES["p7_nan_profile"] = on_applicants(
+    f"""SELECT 'income' AS "column", {r6('avg(CAST(income IS NULL AS INTEGER))', 'missing_rate')} FROM a
+UNION ALL SELECT 'late_lines', {r6('avg(CAST(application_id % 7 = 0 AS INTEGER))', 'm')} FROM a
+UNION ALL SELECT 'application_id', 0.0::DOUBLE"""
+)
+ORACLES["e1_nan_median"] = on_applicants(
+    f"""SELECT 'income' AS feature, {r6('median(income)', 'median')} FROM a
+UNION ALL SELECT 'late_lines', {r6('median(late_lines)', 'm')} FROM a WHERE application_id % 7 <> 0"""
+)
+ORACLES["f9_nan_delinquency"] = on_applicants(
+    """SELECT application_id, CAST(CASE WHEN application_id % 7 <> 0 AND late_lines > 0 THEN 1 ELSE 0 END
+       + CASE WHEN income > 0 THEN 1 ELSE 0 END AS BIGINT) AS delinquency_count FROM a"""
+)
+ORACLES["d6_nan_text"] = on_applicants(
+    "SELECT application_id, CASE WHEN application_id % 4 < 2 THEN -1.0::DOUBLE ELSE 2.5::DOUBLE END AS x FROM a"
+)
+ORACLES["p4_date_layouts"] = on_applicants(
+    "SELECT application_id, strftime(application_date, '%Y-%m-%d') AS day FROM a"
+)

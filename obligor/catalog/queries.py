@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obligor.functions import decisions, names
-from obligor.functions.probabilities import top_class
+from obligor.functions.dates import parse_mixed
 from obligor.operators import (
     encoding,
     explain,
@@ -54,7 +54,8 @@ def view(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def scored_view(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "y", "pd_score")
+    """Not written here: a metric that needs several passes writes its two columns itself."""
+    return applicants(spark, sf).select(ID, "y", "pd_score")
 
 
 # --- flagship -----------------------------------------------------------------------
@@ -472,13 +473,14 @@ def e3_standard_scale(spark, sf):
     return a.select(ID, *scaled)
 
 
-def with_gaps(spark, sf):
+def with_gaps(spark, sf, *extra):
     """Categories with a missing value in every seventh row."""
     present = F.col(ID) % 7 != 0
-    return view(spark, sf, "is_urgent", "risk_grade", "product_type", "outcome").select(
+    return view(spark, sf, "is_urgent", "risk_grade", "product_type", "outcome", *extra).select(
         ID,
         *[F.when(present, F.col(c)).alias(c) for c in ("is_urgent", "risk_grade", "product_type")],
         "outcome",
+        *extra,
     )
 
 
@@ -532,7 +534,7 @@ def e7_category_codes(spark, sf):
 @query
 def e8_assembled_vector(spark, sf):
     """Assembled vectors as (slot, value) rows: numeric, boolean, ordinal, one-hot."""
-    df = with_gaps(spark, sf).drop("outcome").join(view(spark, sf, "loan_amount"), ID)
+    df = with_gaps(spark, sf, "loan_amount").drop("outcome")
     found = profile.SchemaProfile(
         numeric=["loan_amount"],
         boolean=["is_urgent"],
@@ -825,43 +827,24 @@ def m13_comparison(spark, sf):
 
 # --- training -----------------------------------------------------------------------
 
-# Small parameter sets: the whole table is used, the models are kept cheap.
-SMALL = {
-    "logistic_regression": [
-        {"C": 1.0, "class_weight": None, "max_iter": 25},
-        {"C": 0.1, "class_weight": "balanced", "max_iter": 25},
-    ],
-    "ridge_logistic_regression": [{"C": 0.5, "class_weight": "balanced", "max_iter": 25}],
-    "random_forest": [
-        {"n_estimators": 8, "max_depth": 4, "min_samples_leaf": 5, "class_weight": None}
-    ],
-    "xgboost": [
-        {"n_estimators": 4, "max_depth": 2, "learning_rate": 0.1, "subsample": 0.8, "colsample": 0.8}
-    ],
-}
-TRAINING_FEATURES = ("loan_amount", "income", "age", "late_lines", "risk_grade", "product_type")
-
-
 def training_rows(spark, sf):
-    """Binary target that the features can explain: many late lines on a large loan."""
-    a = applicants(spark, sf).select(ID, *TRAINING_FEATURES, "pd_score")
+    """All features, and a target they can explain: many late lines on a large loan."""
+    a = pin(features_only(applicants(spark, sf), "pd_score"), "training")
     risk = F.col("pd_score") + 0.2 * F.col("late_lines") + F.col("loan_amount") / 1000000
-    return a.select(ID, *TRAINING_FEATURES, (risk > 0.95).cast("int").alias("default"))
+    return a.withColumn("default", (risk > 0.95).cast("int")).drop("pd_score")
 
 
-def config(*candidates: str, folds: int = 3, **options) -> training.TrainConfig:
-    return training.TrainConfig(
-        id_col=ID,
-        folds=folds,
-        candidates=candidates,
-        space={c: SMALL[c] for c in candidates},
-        as_of=AS_OF,
-        **options,
-    )
+def config(*candidates: str, **options) -> training.TrainConfig:
+    return training.TrainConfig(id_col=ID, candidates=candidates, as_of=AS_OF, **options)
 
 
-def _fold_state(spark, sf, *candidates, folds=3):
-    prepared = training.prepare(training_rows(spark, sf), config(*candidates, folds=folds))
+def drawn(name: str) -> dict:
+    """The first parameter set of the random search."""
+    return config(name).params(name)[0]
+
+
+def _fold_state(spark, sf, *candidates):
+    prepared = training.prepare(training_rows(spark, sf), config(*candidates))
     return prepared, training.fit_states(prepared)
 
 
@@ -871,7 +854,7 @@ def _candidate(name: str) -> Query:
     def run(spark, sf):
         prepared = training.prepare(training_rows(spark, sf), config(name))
         fitted = training.fit_rows(prepared, prepared.train)
-        model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, fitted)
+        model = training.fit_model(prepared, name, drawn(name), prepared.train, fitted)
         scored = training.predictor(model)(prepared.test)
         return scored.select(ID, "default", F.col("probs")[1].alias("probability_default"))
 
@@ -892,7 +875,7 @@ def m4_boosted_trees_multiclass(spark, sf):
     third = F.when(F.col("late_lines") >= 3, 2).otherwise(F.col("default"))
     prepared = training.prepare(a.withColumn("default", third), config("xgboost"))
     fitted = training.fit_rows(prepared, prepared.train)
-    model = training.fit_model(prepared, "xgboost", SMALL["xgboost"][0], prepared.train, fitted)
+    model = training.fit_model(prepared, "xgboost", drawn("xgboost"), prepared.train, fitted)
     return training.predictor(model)(prepared.test).select(ID, "default", "probs")
 
 
@@ -900,18 +883,17 @@ def m4_boosted_trees_multiclass(spark, sf):
 def t3_out_of_fold(spark, sf):
     prepared, states = _fold_state(spark, sf, "logistic_regression")
     oof = training.out_of_fold(
-        prepared, "logistic_regression", SMALL["logistic_regression"][:1], states
+        prepared, "logistic_regression", [drawn("logistic_regression")], states
     )
     return oof.select(ID, "fold", "default", F.col("probs")[1].alias("probability_default"))
 
 
 @query
 def m6_random_search(spark, sf):
-    """Mean cross-validated score of every parameter set."""
+    """Mean cross-validated score of every parameter set drawn."""
     prepared, states = _fold_state(spark, sf, "logistic_regression")
-    oof = training.out_of_fold(
-        prepared, "logistic_regression", SMALL["logistic_regression"], states
-    )
+    params = prepared.config.params("logistic_regression")
+    oof = training.out_of_fold(prepared, "logistic_regression", params, states)
     return training.fold_scores(oof, 2).groupBy("param_set").agg(
         F.avg("roc_auc").alias("mean_score")
     )
@@ -941,14 +923,14 @@ def g18_rule_threshold(spark, sf):
 
 def _experiment(spark, sf, *candidates, progress=None, **options):
     return training.train_experiment(
-        training_rows(spark, sf), config(*candidates, **options), progress=progress
+        training_rows(spark, sf), config(*candidates, **options), progress=progress, explained=False
     )
 
 
 @query
 def m10_train_experiment(spark, sf):
     """All candidates compared; the long metrics table."""
-    result = _experiment(spark, sf, *training.CANDIDATES, folds=2)
+    result = _experiment(spark, sf, *training.CANDIDATES, iterations=1)
     return sinks.metrics_frame(spark, result.comparison).withColumn(
         "champion", F.lit(result.champion)
     )
@@ -963,7 +945,7 @@ def m11_progress(spark, sf):
         sf,
         "logistic_regression",
         "ridge_logistic_regression",
-        folds=2,
+        iterations=1,
         progress=lambda done, total, seconds: steps.append(
             (done, total, training.seconds_left(done, total, seconds) > 0)
         ),
@@ -987,7 +969,7 @@ def m14_target_definition(spark, sf):
 def _bundle(spark, sf, name="logistic_regression"):
     prepared = training.prepare(training_rows(spark, sf), config(name))
     fitted = training.fit_rows(prepared, prepared.train)
-    model = training.fit_model(prepared, name, SMALL[name][0], prepared.train, fitted)
+    model = training.fit_model(prepared, name, drawn(name), prepared.train, fitted)
     kinds = {c: prepared.train.schema[c].dataType.simpleString() for c in prepared.features}
     bundle = bundles.ModelBundle(
         model, name, "applicants", kinds, "default=1", threshold=0.5, num_classes=2
@@ -1037,7 +1019,7 @@ def d4_score_stream(spark, sf):
     ).drop("props")
     prepared = training.prepare(rows, config("logistic_regression"))
     fitted = training.fit_rows(prepared, prepared.train)
-    params = SMALL["logistic_regression"][0]
+    params = drawn("logistic_regression")
     model = training.fit_model(prepared, "logistic_regression", params, prepared.train, fitted)
     kinds = {c: prepared.train.schema[c].dataType.simpleString() for c in prepared.features}
     bundle = bundles.ModelBundle(model, "logistic_regression", "events", kinds, "value > 10", 0.5)
@@ -1051,30 +1033,300 @@ def d4_score_stream(spark, sf):
     return spark.read.parquet(sink)
 
 
+class _ClassesById:
+    """Stands in for a fitted model: class probabilities that follow from the id."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        weights = [(1 + F.col(ID) % m).cast("double") for m in (7, 5, 3)]
+        total = weights[0] + weights[1] + weights[2]
+        return df.withColumn("probs", F.array(*[w / total for w in weights]))
+
+
+def closed_form_bundle() -> bundles.ModelBundle:
+    kinds = {ID: "bigint", "outcome": "string"}
+    names = {"0": "F", "1": "O", "2": "P"}
+    return bundles.ModelBundle(
+        _ClassesById(), "by id", "applicants", kinds, "outcome", class_names=names, num_classes=3
+    )
+
+
 @query
 def d5_score_classes(spark, sf):
     """Label and confidence of the most probable of three classes."""
-    m = class_weights_by_id(applicants(spark, sf))
-    labels = F.create_map(F.lit(0), F.lit("F"), F.lit(1), F.lit("O"), F.lit(2), F.lit("P"))
-    return rounded(
-        m.select(
-            ID,
-            labels[top_class(F.col("probs"))].alias("predicted_label"),
-            F.array_max("probs").alias("confidence"),
+    a = applicants(spark, sf).select(ID, "outcome")
+    scored = scoring.score_classes(a, closed_form_bundle())
+    return rounded(scored.select(ID, "predicted_label", "confidence"), "confidence")
+
+
+@query
+def d5_label_probabilities(spark, sf):
+    a = applicants(spark, sf).select(ID, "outcome")
+    return rounded(scoring.class_probabilities(a, closed_form_bundle(), ID), "probability")
+
+
+# --- training and scoring that SQL can follow ------------------------------------------
+
+# One tree of one split, or one free weight per category: the fitted probability of a row
+# is then a rate of the rows it was fitted on.
+RATES = {
+    "logistic_regression": {"C": 1e9, "class_weight": None},
+    "ridge_logistic_regression": {"C": 1e9, "class_weight": "balanced"},
+    "random_forest": {
+        "n_estimators": 1,
+        "max_depth": 1,
+        "min_samples_leaf": 1,
+        "class_weight": None,
+        "bootstrap": False,
+    },
+    "xgboost": {
+        "n_estimators": 1,
+        "max_depth": 1,
+        "learning_rate": 0.1,
+        "subsample": 1.0,
+        "colsample": 1.0,
+    },
+}
+
+
+def mostly(flag: Column) -> Column:
+    """A target that is mostly 1 with the flag and mostly 0 without, so a split is kept."""
+    with_flag, without = (F.col(ID) % 4 > 0).cast("int"), (F.col(ID) % 5 == 0).cast("int")
+    return F.when(flag == "Y", with_flag).otherwise(without)
+
+
+def rate_rows(spark, sf, feature):
+    rows = view(spark, sf, "is_urgent", "product_type")
+    return rows.select(ID, feature, mostly(F.col("is_urgent")).alias("default"))
+
+
+def rate_config(*candidates: str, **options) -> training.TrainConfig:
+    options.setdefault("space", {c: [RATES[c]] for c in candidates})
+    return config(*candidates, portable=True, **options)
+
+
+def _rates(name: str, feature: str, digits: int) -> Query:
+    """A model whose probabilities are rates, fitted on the training rows."""
+
+    def run(spark, sf):
+        prepared = training.prepare(rate_rows(spark, sf, feature), rate_config(name))
+        fitted = training.fit_rows(prepared, prepared.train)
+        model = training.fit_model(prepared, name, RATES[name], prepared.train, fitted)
+        scored = training.predictor(model)(prepared.test)
+        return rounded(scored.select(ID, F.col("probs")[1].alias("pd")), "pd", digits=digits)
+
+    return run
+
+
+QUERIES["m1_category_rates"] = _rates("logistic_regression", "product_type", 3)
+QUERIES["m2_balanced_rates"] = _rates("ridge_logistic_regression", "product_type", 3)
+QUERIES["m3_split_rates"] = _rates("random_forest", "is_urgent", 9)
+QUERIES["m4_split_odds"] = _rates("xgboost", "is_urgent", 9)
+
+
+@query
+def t3_rates_out_of_fold(spark, sf):
+    """Each row gets the rate of the other folds."""
+    rows, settings = rate_rows(spark, sf, "is_urgent"), rate_config("random_forest")
+    prepared = training.prepare(rows, settings)
+    states = training.fit_states(prepared)
+    oof = training.out_of_fold(prepared, "random_forest", [RATES["random_forest"]], states)
+    return rounded(oof.select(ID, "fold", "default", F.col("probs")[1].alias("pd")), "pd", digits=9)
+
+
+@query
+def m6_rates_search(spark, sf):
+    """A split against no split: mean score over the folds."""
+    rows, settings = rate_rows(spark, sf, "is_urgent"), rate_config("random_forest")
+    prepared = training.prepare(rows, settings)
+    sets = [RATES["random_forest"], {**RATES["random_forest"], "min_samples_leaf": 10**9}]
+    oof = training.out_of_fold(prepared, "random_forest", sets, training.fit_states(prepared))
+    scores = training.fold_scores(oof, 2).groupBy("param_set").agg(F.avg("roc_auc").alias("mean_score"))
+    return rounded(scores, "mean_score", digits=9)
+
+
+def _rate_experiment(spark, sf, **options):
+    settings = rate_config("random_forest", "xgboost")
+    return training.train_experiment(rate_rows(spark, sf, "is_urgent"), settings, "applicants", **options)
+
+
+@query
+def m10_rates_experiment(spark, sf):
+    """Two candidates that rank alike: the first wins; errors are those out of fold."""
+    result = _rate_experiment(spark, sf, explained=False)
+    rows = [
+        (name, float(m["cv_roc_auc_mean"]), float(m["cv_test_mse"]), name == result.champion)
+        for name, m in result.comparison.items()
+    ]
+    frame = small_table(
+        spark, rows, "model string, cv_roc_auc_mean double, cv_test_mse double, champion boolean"
+    )
+    return rounded(frame, "cv_roc_auc_mean", "cv_test_mse", digits=9)
+
+
+@query
+def m11_rates_progress(spark, sf):
+    """One call per candidate; nothing is left after the last one."""
+    steps = []
+    _rate_experiment(
+        spark,
+        sf,
+        explained=False,
+        progress=lambda done, total, seconds: steps.append(
+            (done, total, training.seconds_left(done, total, seconds) > 0)
         ),
-        "confidence",
     )
+    return small_table(spark, steps, "done int, total int, time_left boolean")
 
 
 @query
-def d5_label_probabilities(spark, sf):
-    m = class_weights_by_id(applicants(spark, sf))
-    labels = F.array(F.lit("F"), F.lit("O"), F.lit("P"))
-    rows = m.select(ID, F.posexplode("probs"))
-    return rounded(
-        rows.select(ID, labels[F.col("pos")].alias("label"), F.col("col").alias("probability")),
-        "probability",
+def m14_run_report(spark, sf):
+    """Countable parts of what is kept beside a model, read back from a saved one."""
+    path = scratch_path(spark, "reported")
+    bundles.save_model_bundle(spark, _rate_experiment(spark, sf).bundle, path)
+    kept = bundles.load_model_bundle(spark, path).report
+    row = (
+        kept["dataset"],
+        kept["champion_model"],
+        kept["selection_metric"],
+        kept["cv_folds"],
+        kept["n_train"],
+        kept["n_test"],
+        ",".join(kept["top_features"]),
+        ",".join(kept["feature_engineering"]["original"]),
+    )
+    return small_table(
+        spark,
+        [row],
+        "dataset string, champion string, selection_metric string, cv_folds int, n_train bigint,"
+        " n_test bigint, top_features string, original string",
+    )
+
+
+def _rate_bundle(prepared, feature_types):
+    fitted = training.fit_rows(prepared, prepared.train)
+    model = training.fit_model(
+        prepared, "random_forest", RATES["random_forest"], prepared.train, fitted
+    )
+    return bundles.ModelBundle(model, "random_forest", "rates", feature_types, "default=1", 0.5)
+
+
+@query
+def d4_rates_scored(spark, sf):
+    """All applicants scored and decided, with an extra column and missing values as NaN."""
+    rows = rate_rows(spark, sf, "is_urgent")
+    prepared = training.prepare(rows, rate_config("random_forest"))
+    bundle = _rate_bundle(prepared, {"is_urgent": "string"})
+    loose = rows.select(
+        ID,
+        F.when(F.col(ID) % 10 > 0, F.col("is_urgent")).alias("is_urgent"),
+        F.lit(float("nan")).alias("extra"),
     )
+    scored = scoring.score(loose, bundle).drop("extra", "threshold", "is_urgent")
+    return rounded(scored, "probability_default", digits=9)
+
+
+@query
+def d4_rates_streamed(spark, sf):
+    """The same for events that arrive as a file stream."""
+    events = table(spark, sf, "events")
+    flag = F.when(F.col("event_id") % 3 == 0, "Y").otherwise("N").alias("flag")
+    rows = events.select(F.col("event_id").alias(ID), flag)
+    rows = rows.withColumn("default", mostly(F.col("flag")))
+    bundle = _rate_bundle(training.prepare(rows, rate_config("random_forest")), {"flag": "string"})
+    stream = read_applicant_stream(spark, sf, events.schema, "events.parquet").select(
+        F.col("event_id").alias(ID), flag
+    )
+    sink, state_dir = scratch_path(spark, "scored"), scratch_path(spark, "progress")
+    score_stream(stream, bundle, sink, state_dir).awaitTermination()
+    scored = spark.read.parquet(sink).select(ID, "probability_default", "decision")
+    return rounded(scored, "probability_default", digits=9)
+
+
+@query
+def x1_rule_importance(spark, sf):
+    """Permutation importance of the closed-form model, rows paired by plain arithmetic."""
+    a = view(spark, sf, "y", *RULE_FEATURES)
+    key = splitting.portable_key(ID, SEED)
+    out = explain.permutation_importance(a, rule_model, "y", list(RULE_FEATURES), ID, key=key)
+    return rounded(out, "importance_mean", "importance_std")
+
+
+@query
+def x3_rule_total(spark, sf):
+    """Shapley values of a row add up to its prediction less the mean of the sample."""
+    a = view(spark, sf, *RULE_FEATURES)
+    key = splitting.portable_key(ID, SEED)
+    values = explain.shapley_values(a, rule_model, list(RULE_FEATURES), ID, key=key)
+    return rounded(values.groupBy(ID).agg(F.sum("shapley").alias("total")), "total")
+
+
+@query
+def s6_saved_codes(spark, sf):
+    """A column of very many categories: the saved encoder knows them all by itself."""
+    a = view(spark, sf, "product_type").select(ID, F.col(ID).cast("string").alias("label"))
+    state = encoding.fit_encoder(a, profile.SchemaProfile(categorical=["label"]), {})
+    path = scratch_path(spark, "encoder")
+    encoding.TableEncoderModel(state=state.to_json(), scaled=False).write().overwrite().save(path)
+    unseen = a.withColumn("label", F.when(F.col(ID) % 5 == 0, "none").otherwise(F.col("label")))
+    coded = encoding.TableEncoderModel.load(path).transform(unseen)
+    return coded.select(ID, F.col("cat__label").cast("bigint").alias("code"))
+
+
+# --- NaN is a missing value ----------------------------------------------------------
+
+
+def nan_view(spark, sf):
+    """The applicant view with NaN instead of NULL in one column and in place of zeros."""
+    income = F.coalesce(F.col("income"), F.lit(float("nan"))).alias("income")
+    late = F.when(F.col(ID) % 7 == 0, float("nan")).otherwise(F.col("late_lines")).alias("late_lines")
+    return view(spark, sf, "income", "late_lines").select(ID, income, late)
+
+
+@query
+def p7_nan_profile(spark, sf):
+    return rounded(profile.missing_summary(nan_view(spark, sf)), "missing_rate")
+
+
+@query
+def e1_nan_median(spark, sf):
+    found = encoding.medians(nan_view(spark, sf), ["income", "late_lines"])
+    return rounded(small_table(spark, sorted(found.items()), "feature string, median double"), "median")
+
+
+@query
+def f9_nan_delinquency(spark, sf):
+    counted = features.delinquency_count([F.col("late_lines"), F.col("income")])
+    return nan_view(spark, sf).select(ID, counted.alias("delinquency_count"))
+
+
+@query
+def d6_nan_text(spark, sf):
+    """The text "nan" is a missing number (shown as -1)."""
+    text = F.when(F.col(ID) % 4 == 0, "nan").when(F.col(ID) % 4 == 1, "NaN").otherwise("2.5")
+    typed = decisions.loose_cast(view(spark, sf, "y").select(ID, text.alias("x")), {"x": "double"})
+    return typed.select(ID, F.coalesce("x", F.lit(-1.0)).alias("x"))
+
+
+@query
+def p4_date_layouts(spark, sf):
+    """One day in many layouts, all read back."""
+    a = view(spark, sf, "application_date")
+    day = F.date_trunc("day", "application_date")
+    shapes = [F.date_format(day, layout) for layout in WRITTEN_DATES]
+    text = F.element_at(F.array(*shapes), (F.col(ID) % len(shapes) + 1).cast("int"))
+    return a.select(ID, F.to_date(parse_mixed(text)).cast("string").alias("day"))
+
+
+WRITTEN_DATES = (
+    "yyyy-MM-dd",
+    "M/d/yy",
+    "d-MMM-yyyy",
+    "yyyy.MM.dd",
+    "MMM d yyyy",
+    "MM/dd/yyyy hh:mm:ss a",
+    "EEE, d MMM yyyy",
+    "yyyy/MM/dd HH:mm:ss.S",
+)
 
 
 # --- explanations -------------------------------------------------------------------
@@ -1084,7 +1336,7 @@ def d5_label_probabilities(spark, sf):
 def x1_permutation_importance(spark, sf):
     prepared, bundle = _bundle(spark, sf)
     return explain.permutation_importance(
-        prepared.test, training.predictor(bundle.model), "default", prepared.features, ID, repeats=3
+        prepared.test, training.predictor(bundle.model), "default", prepared.features, ID
     )
 
 
@@ -1096,6 +1348,9 @@ def x2_partial_dependence(spark, sf):
     )
 
 
+RULE_FEATURES = ("loan_amount", "late_lines", "age")
+
+
 def rule_model(df):
     """A model known in closed form, for checking explanations without any fitting."""
     p = 0.1 + F.col("loan_amount") / 1000000 + 0.05 * F.col("late_lines") * F.col("age") / 80

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obligor.functions.numeric import known
+from obligor.session import col
 from obligor.sources.policy import DecisionPolicy, default_policy
 
 
@@ -48,12 +50,15 @@ def with_decision(df: DataFrame, pd: Column, policy: DecisionPolicy | None = Non
     )
 
 
+def _cast(value: Column, kind: str) -> Column:
+    typed = value.try_cast(kind)
+    return known(typed) if kind in ("float", "double") else typed
+
+
 def loose_cast(df: DataFrame, fitted: dict[str, str]) -> DataFrame:
     """Bring loosely typed input to fitted types; what cannot be read becomes NULL."""
-    from obligor.session import col
-
     present = {
-        name: col(name).try_cast(kind) for name, kind in fitted.items() if name in df.columns
+        name: _cast(col(name), kind) for name, kind in fitted.items() if name in df.columns
     }
     absent = {name: F.lit(None).cast(kind) for name, kind in fitted.items() if name not in present}
     return df.withColumns({**present, **absent})

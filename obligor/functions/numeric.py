@@ -22,14 +22,21 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def is_floating(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.FloatType, T.DoubleType))
+
+
+def known(value: Column) -> Column:
+    """A floating value with NaN, which means missing, turned into NULL."""
+    return F.when(~F.isnan(value), value)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN means missing: make it NULL in every floating column (one projection)."""
-    floating = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-    ]
+    floating = [f.name for f in df.schema.fields if is_floating(f.dataType)]
     if not floating:
         return df
-    return df.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in floating})
+    return df.withColumns({c: known(col(c)) for c in floating})
 
 
 def floored_ratio(top: Column, bottom: Column) -> Column:

@@ -1,8 +1,8 @@
 """Imputation, clipping, scaling and category codes fitted on training rows.
 
 Statistics are gathered by a few distributed passes and then applied as literals, so
-transforming is a projection. Category lists short enough to inline become literals as
-well; longer ones stay a (column, value, code) table that is joined.
+transforming is a projection. Categories are looked up in a hash map that the fitted state
+carries, whatever their number up to ``MAX_CATEGORIES``.
 """
 
 from __future__ import annotations
@@ -11,29 +11,31 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obligor.functions.numeric import is_floating, known
 from obligor.operators.profile import CHUNK, SchemaProfile
 from obligor.operators.running import dense_index
 from obligor.operators.selection import column_quantiles
-from obligor.session import col, pin, scratch_path, small_table
+from obligor.session import col, pin, small_table
 
 # Clipping quantiles and the skew from which a column is clipped.
 CLIP_LOW = 0.01
 CLIP_HIGH = 0.99
 SKEW_THRESHOLD = 3.0
 UNKNOWN = -1
-# Category lists up to this length are held as literals.
-INLINE_CATEGORIES = 2_000
+# Categories of all columns that a model may hold; a column of free text is no category.
+MAX_CATEGORIES = 1_000_000
 
 
 # --- numeric statistics -------------------------------------------------------------
@@ -45,9 +47,11 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def imputed(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
-    return df.withColumns(
-        {c: F.coalesce(col(c).cast("double"), F.lit(float(v))) for c, v in fills.items()}
-    )
+    return df.withColumns({c: _filled(c, v) for c, v in fills.items()})
+
+
+def _filled(name: str, value: float) -> Column:
+    return F.coalesce(known(col(name).cast("double")), F.lit(float(value)))
 
 
 def adjusted_skew(c: Column) -> Column:
@@ -119,7 +123,8 @@ def clip_value(value: Column, bounds: Clip) -> Column:
 
 
 def category_text(df: DataFrame, name: str) -> Column:
-    return col(name).cast("string")
+    value = known(col(name)) if is_floating(df.schema[name].dataType) else col(name)
+    return value.cast("string")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,7 +196,6 @@ class EncoderState:
     values: dict[str, list[str]] = field(default_factory=dict)
     orders: dict[str, list[str]] = field(default_factory=dict)
     sizes: dict[str, int] = field(default_factory=dict)
-    code_path: str | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -209,7 +213,7 @@ def fit_encoder(
     df: DataFrame,
     profile: SchemaProfile,
     orders: Mapping[str, Sequence[Any]],
-    inline: int = INLINE_CATEGORIES,
+    max_categories: int = MAX_CATEGORIES,
 ) -> EncoderState:
     """Learn all statistics of the training rows ``df``."""
     state = EncoderState(
@@ -235,21 +239,20 @@ def fit_encoder(
         modes = {r["column"]: r for r in most_frequent(counts, numeric).collect()}
         state.modes = {c: r["value"] for c, r in modes.items()}
         state.sizes = {c: modes[c]["categories"] if c in modes else 0 for c in coded}
-        short = [c for c in (*state.boolean, *state.categorical) if state.sizes[c] <= inline]
-        lists: dict[str, list[str]] = {c: [] for c in short}
-        if short:
-            for row in counts.where(F.col("column").isin(*short)).collect():
+        listed = list(dict.fromkeys([*state.boolean, *state.categorical]))
+        held = sum(state.sizes[c] for c in listed)
+        if held > max_categories:
+            raise ValueError(f"{held} categories; a model holds {max_categories} at most.")
+        lists: dict[str, list[str]] = {c: [] for c in listed}
+        if listed:
+            for row in counts.where(F.col("column").isin(*listed)).toLocalIterator():
                 lists[row["column"]].append(row["value"])
         state.values = {c: sorted(v, key=sort_key(df, c)) for c, v in lists.items()}
-        long = [c for c in state.categorical if state.sizes[c] > inline]
-        if long:
-            state.code_path = scratch_path(df.sparkSession, "codes")
-            code_table(counts, long).write.partitionBy("column").parquet(state.code_path)
     return state
 
 
 def numeric_value(state: EncoderState, name: str, scaled: bool) -> Column:
-    value = F.coalesce(col(name).cast("double"), F.lit(float(state.fills[name])))
+    value = _filled(name, state.fills[name])
     if name in state.clips:
         value = clip_value(value, Clip(*state.clips[name]))
     if scaled:
@@ -258,17 +261,17 @@ def numeric_value(state: EncoderState, name: str, scaled: bool) -> Column:
     return value
 
 
-def _filled_text(state: EncoderState, name: str) -> Column:
-    return F.coalesce(col(name).cast("string"), F.lit(state.modes.get(name)))
+def _filled_text(df: DataFrame, state: EncoderState, name: str) -> Column:
+    return F.coalesce(category_text(df, name), F.lit(state.modes.get(name)))
 
 
 def _ordered_code(df: DataFrame, state: EncoderState, name: str, order: Sequence[str]) -> Column:
     """Code of an imputed value; numbers are compared as numbers, so 1 equals 1.0."""
     if isinstance(df.schema[name].dataType, T.NumericType):
         mode = state.modes.get(name)
-        value = F.coalesce(col(name).cast("double"), F.lit(float(mode) if mode else None))
+        value = F.coalesce(known(col(name).cast("double")), F.lit(float(mode) if mode else None))
         return code_of(value, [float(v) for v in order])
-    return code_of(_filled_text(state, name), order)
+    return code_of(_filled_text(df, state, name), order)
 
 
 def encode(df: DataFrame, state: EncoderState, scaled: bool) -> DataFrame:
@@ -277,16 +280,6 @@ def encode(df: DataFrame, state: EncoderState, scaled: bool) -> DataFrame:
     Names are prefixed by their branch. One-hot columns come out as a code ``cat__x``
     whose value equal to the number of categories means unknown.
     """
-    spark = df.sparkSession
-    joined = df
-    long = [c for c in state.categorical if c not in state.values]
-    for at, name in enumerate(long):
-        codes = spark.read.schema("column string, value string, code int").parquet(state.code_path)
-        codes = codes.where(F.col("column") == name).select(
-            F.col("value").alias(f"_value_{at}"), F.col("code").alias(f"_code_{at}")
-        )
-        joined = joined.withColumn(f"_text_{at}", _filled_text(state, name))
-        joined = joined.join(codes, F.col(f"_text_{at}") == F.col(f"_value_{at}"), "left")
     out: list[Column] = [col(c) for c in df.columns]
     out += [numeric_value(state, c, scaled).alias(f"num__{c}") for c in state.numeric]
     out += [
@@ -297,20 +290,32 @@ def encode(df: DataFrame, state: EncoderState, scaled: bool) -> DataFrame:
         _ordered_code(df, state, c, state.orders[c]).cast("double").alias(f"ord__{c}")
         for c in state.ordinal
     ]
-    for c in state.categorical:
-        unknown = F.lit(state.sizes[c])
-        if c in state.values:
-            code = code_of(_filled_text(state, c), state.values[c]) if state.values[c] else unknown
-            code = F.when(code >= 0, code).otherwise(unknown)
-        else:
-            code = F.coalesce(F.col(f"_code_{long.index(c)}"), unknown)
-        out.append(code.cast("double").alias(f"cat__{c}"))
-    return joined.select(*out)
+    texts = [f"_text_of_cat__{c}" for c in state.categorical]
+    out += [
+        _filled_text(df, state, c).alias(text) for c, text in zip(state.categorical, texts, strict=True)
+    ]
+    encoded = df.select(*out)
+    return _indexer(state).transform(encoded).drop(*texts) if texts else encoded
+
+
+@lru_cache(maxsize=8)
+def _indexer_of(labels: tuple[tuple[str, tuple[str, ...]], ...]) -> StringIndexerModel:
+    """Hash lookup of the position in each list; anything else gets the list's length."""
+    return StringIndexerModel.from_arrays_of_labels(
+        [list(values) for _, values in labels],
+        inputCols=[f"_text_of_cat__{c}" for c, _ in labels],
+        outputCols=[f"cat__{c}" for c, _ in labels],
+        handleInvalid="keep",
+    )
+
+
+def _indexer(state: EncoderState) -> StringIndexerModel:
+    return _indexer_of(tuple((c, tuple(state.values[c])) for c in state.categorical))
 
 
 def one_hot_columns(df: DataFrame, state: EncoderState, name: str) -> list[Column]:
-    """0/1 columns of an inlined categorical; unknown values are all zeros."""
-    value = _filled_text(state, name)
+    """0/1 columns of a categorical; unknown values are all zeros."""
+    value = _filled_text(df, state, name)
     return [(value == v).cast("int").alias(f"{name}_{v}") for v in state.values[name]]
 
 

@@ -7,10 +7,11 @@ array column ``probs``.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -33,15 +34,16 @@ SHAP_ROWS = 50
 SHAP_TOP = 12
 
 
-def _rotations(rows: int, repeats: int, seed: int) -> list[tuple[int, int]]:
-    """(step, shift) of one-to-one index maps i -> (step * i + shift) mod rows."""
+def candidate_maps(seed: int) -> Iterator[tuple[int, int]]:
+    """(step, shift) pairs in a fixed order, whatever the table."""
     draw = random.Random(seed)
-    maps = []
-    while len(maps) < repeats:
-        step = draw.randrange(1, 1 << 20)
-        if gcd(step, rows) == 1:
-            maps.append((step, draw.randrange(rows)))
-    return maps
+    while True:
+        yield draw.randrange(1, 1 << 20), draw.randrange(1 << 20)
+
+
+def _rotations(rows: int, repeats: int, seed: int) -> list[tuple[int, int]]:
+    """The first maps i -> (step * i + shift) mod rows that are one-to-one."""
+    return list(islice((m for m in candidate_maps(seed) if gcd(m[0], rows) == 1), repeats))
 
 
 def ranking_score(scored: DataFrame, y: str, num_classes: int, keys: Sequence[str]) -> DataFrame:
@@ -61,17 +63,19 @@ def permutation_importance(
     num_classes: int = 2,
     repeats: int = REPEATS,
     seed: int = 42,
+    key: Column | None = None,
 ) -> DataFrame:
     """(feature, importance_mean, importance_std), most important first.
 
-    Rows get a dense number in hash order. Each repeat pairs every row with a partner
+    Rows get a dense number in the order of ``key``, by default a hash of the id. Each repeat pairs every row with a partner
     through a one-to-one map of these numbers, in one equi-join for all repeats; a
     feature is then permuted by taking the partner's value. As every feature uses the
     partners of the repeat, the join does not grow with the number of features.
     """
+    key = F.xxhash64(F.lit(seed), col(id_col)) if key is None else key
     base = df.select(col(id_col), col(y), *[col(c) for c in features])
-    order = [F.xxhash64(F.lit(seed), col(id_col)), col(id_col)]
-    rows = pin(dense_index(base, order, "_i"), "ranked")
+    # dense_index has written the rows already; partner numbers are added as they are read.
+    rows = dense_index(base, [key, col(id_col)], "_i")
     n = rows.count()
     maps = F.array(
         *[
@@ -161,6 +165,7 @@ def shapley_values(
     rows: int = SHAP_ROWS,
     orders: int = 4,
     seed: int = 42,
+    key: Column | None = None,
 ) -> DataFrame:
     """(id, feature, shapley): sampled Shapley values of a fixed sample of rows.
 
@@ -170,7 +175,7 @@ def shapley_values(
     to its prediction minus the mean background prediction.
     """
     features = list(features)
-    sample = pin(fixed_sample(df, id_col, rows, seed).select(col(id_col), *map(col, features)))
+    sample = pin(fixed_sample(df, id_col, rows, seed, key).select(col(id_col), *map(col, features)))
     count = len(features)
     draw = random.Random(seed)
     places: list[list[int]] = []

@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 
 from obligor.functions.dates import parse_mixed, whole_days_between
 from obligor.functions.names import find_column, find_columns, matches_any, normalize_name
-from obligor.functions.numeric import finite, floored_ratio, numeric_columns, sum_of
+from obligor.functions.numeric import (
+    finite,
+    floored_ratio,
+    known,
+    nan_to_null,
+    numeric_columns,
+    sum_of,
+)
 from obligor.operators.profile import date_columns, is_text
 from obligor.session import col
 
@@ -112,7 +119,8 @@ def employment_stability(duration: Column, in_days: bool) -> Column:
 
 def delinquency_count(flags: Sequence[Column]) -> Column:
     """How many columns are above zero; a missing value counts as not delinquent."""
-    return sum_of([F.coalesce((c > 0).cast("bigint"), F.lit(0).cast("bigint")) for c in flags])
+    positive = [known(c.cast("double")) > 0 for c in flags]
+    return sum_of([F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")) for c in positive])
 
 
 def present_count(values: Sequence[Column]) -> Column:
@@ -203,6 +211,7 @@ class CreditFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         plan = FeaturePlan.from_json(self.getOrDefault(self.plan))
+        dataset = nan_to_null(dataset)
         return add_features(dataset, plan, self.getOrDefault(self.asOf) or None)
 
     def names_out(self, inputs: Sequence[str]) -> list[str]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql.window import Window
 
 from obligor.functions.dates import parse_mixed
 from obligor.functions.names import matches_any
-from obligor.functions.numeric import is_number
+from obligor.functions.numeric import is_floating, is_number, known, nan_to_null
 from obligor.session import col, small_table
 
 # Thresholds, tokens and value orders of the profiling rules.
@@ -92,6 +91,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
 
     "At most one distinct value" is min = max, so no distinct counting is needed.
     """
+    df = nan_to_null(df)
     names = list(columns if columns is not None else df.columns)
     facts: list[ColumnFacts] = []
     for at in range(0, len(names), CHUNK):
@@ -129,17 +129,17 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
 def first_values(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """(column, value) for the first 100 non-null values of each column in id order.
 
-    Each column is a bounded top-k over two columns of the scan.
+    One scan for all columns: ranks within (column, hash group) leave a bounded number of
+    rows per group, and ranks within the column are taken of those.
     """
-    parts = [
-        df.where(col(name).isNotNull())
-        .select(F.lit(name).alias("column"), col(name).alias("value"), col(id_col).alias("_id"))
-        .orderBy("_id")
-        .limit(DATE_SAMPLE)
-        .drop("_id")
-        for name in columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    wide = df.select(col(id_col).alias("_id"), *[col(name) for name in columns])
+    long = wide.unpivot(["_id"], [col(name) for name in columns], "column", "value")
+    group = F.pmod(F.xxhash64("_id"), F.lit(SKETCH_GROUPS))
+    rows = long.where("value is not null").withColumn("_group", group)
+    for keys in (["column", "_group"], ["column"]):
+        order = Window.partitionBy(*keys).orderBy("_id", "value")
+        rows = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= DATE_SAMPLE)
+    return rows.select("column", "value")
 
 
 def date_shares(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
@@ -237,6 +237,7 @@ def profile_schema(
 
     ``dates`` names the date columns where they are known already.
     """
+    df = nan_to_null(df)
     columns = [c for c in df.columns if c != id_col]
     facts = list(facts if facts is not None else column_facts(df, columns))
     orders = infer_ordinal_mappings(df, configured, facts, normalize)
@@ -248,8 +249,8 @@ def profile_schema(
 def as_text(df: DataFrame, name: str) -> Column:
     """Value as text; distinct values stay distinct and -0.0 equals 0.0."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return (col(name) + F.lit(0.0)).cast("string")
+    if is_floating(kind):
+        return (known(col(name)) + F.lit(0.0)).cast("string")
     if isinstance(kind, T.BooleanType):
         return F.initcap(col(name).cast("string"))
     return col(name).cast("string")
@@ -313,7 +314,7 @@ def detect_columns(df: DataFrame, id_col: str) -> DataFrame:
 def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, missing_rate), highest first."""
     names = list(columns if columns is not None else df.columns)
-    rates = df.agg(*[F.avg(col(c).isNull().cast("int")).alias(c) for c in names])
+    rates = nan_to_null(df).agg(*[F.avg(col(c).isNull().cast("int")).alias(c) for c in names])
     return rates.unpivot([], [col(c) for c in names], "column", "missing_rate").orderBy(
         F.desc("missing_rate"), "column"
     )

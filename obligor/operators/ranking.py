@@ -46,7 +46,8 @@ def curve(
         {"tp": F.col("pos_before") + F.col("pos"), "fp": F.col("neg_before") + F.col("neg")}
     )
     if keys:
-        return placed.join(totals, list(keys))
+        # One row per key: a curve's keys are models, folds, classes or (feature, repeat).
+        return placed.join(F.broadcast(totals), list(keys))
     total = totals.first()
     return placed.withColumns(
         {c: F.lit(total[c]).cast("bigint") for c in ("positives", "negatives")}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from obligor.functions.numeric import known
 from obligor.session import col, small_table
 
 BINS = 512
@@ -69,12 +70,15 @@ def group_extents(values: DataFrame) -> dict[str, Extent]:
     )
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"More than {MAX_GROUPS} groups: this is no column or class label.")
+    # NaN sorts above every number, so one would show as the largest value.
+    if any(isinstance(r["high"], float) and math.isnan(r["high"]) for r in rows):
+        raise ValueError("NaN has no rank; make it NULL first.")
     return {r["g"]: Extent(r["n"], r["low"], r["high"]) for r in rows}
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric columns as (g, v) rows without NULLs."""
-    wide = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    """Numeric columns as (g, v) rows without NULLs; NaN counts as missing."""
+    wide = df.select(*[known(col(c).cast("double")).alias(c) for c in columns])
     return wide.unpivot([], [col(c) for c in columns], "g", "v").where("v is not null")
 
 

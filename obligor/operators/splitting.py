@@ -128,14 +128,20 @@ def split_column(
 
 
 def split_and_fold_columns(
-    df: DataFrame, target: str, id_col: str, test_size: float, k: int, seed: int = 42
+    df: DataFrame,
+    target: str,
+    id_col: str,
+    test_size: float,
+    k: int,
+    seed: int = 42,
+    key: Column | None = None,
 ) -> tuple[Column, Column, dict[int, int]]:
     """Split and fold expressions and the training rows per class.
 
     Test rows come first in key order, so the fold ends of the training rows are ranks
     of the same order and one selection serves both. Folds of test rows mean nothing.
     """
-    ordered = _Ordered(df, target, id_col, shuffle_key(id_col, seed))
+    ordered = _Ordered(df, target, id_col, shuffle_key(id_col, seed) if key is None else key)
     quotas = quotas_of_test_part(ordered.sizes, test_size)
     train = {c: n - quotas[c] for c, n in ordered.sizes.items()}
     ends = {

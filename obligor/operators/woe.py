@@ -7,26 +7,36 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import (
+    DefaultParamsReader,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obligor.operators.encoding import category_text
 from obligor.session import col, scratch_path
 
 # Default smoothing and the category that stands for a missing value.
 SMOOTHING = 0.5
 MISSING = "nan"
+# Folder of the weight table inside a saved model.
+WEIGHTS = "weights"
 
 
-def category(name: str) -> Column:
-    return F.coalesce(col(name).cast("string"), F.lit(MISSING))
+def category(df: DataFrame, name: str) -> Column:
+    return F.coalesce(category_text(df, name), F.lit(MISSING))
 
 
 def woe_table(
     df: DataFrame, columns: Sequence[str], target: str, smoothing: float = SMOOTHING
 ) -> DataFrame:
     """(column, value, rows, bad, woe): log of smoothed good share over bad share."""
-    wide = df.select(*[category(c).alias(c) for c in columns], col(target).alias("_y"))
+    wide = df.select(*[category(df, c).alias(c) for c in columns], col(target).alias("_y"))
     counts = (
         wide.unpivot(["_y"], [col(c) for c in columns], "column", "value")
         .groupBy("column", "value")
@@ -50,7 +60,7 @@ def apply_woe(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFr
         weights = table.where(F.col("column") == name).select(
             F.col("value").alias(f"_value_{at}"), F.col("woe").alias(f"_woe_{at}")
         )
-        out = out.withColumn(f"_text_{at}", category(name)).join(
+        out = out.withColumn(f"_text_{at}", category(df, name)).join(
             weights, F.col(f"_text_{at}") == F.col(f"_value_{at}"), "left"
         )
     places = {c: at for at, c in enumerate(columns)}
@@ -73,8 +83,11 @@ class WeightOfEvidence(Estimator):
         return WeightOfEvidenceModel(columns=self.columns, path=path)
 
 
-class WeightOfEvidenceModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Holds the path of its weight table, which may have any number of categories."""
+class WeightOfEvidenceModel(Model, MLReadable, MLWritable):
+    """Names its weight table, which may have any number of categories.
+
+    Saving the stage copies the table into it, so a saved model needs no other folder.
+    """
 
     columns = Param(Params._dummy(), "columns", "encoded columns", TypeConverters.toListString)
     path = Param(Params._dummy(), "path", "weight table", TypeConverters.toString)
@@ -85,6 +98,27 @@ class WeightOfEvidenceModel(Model, DefaultParamsReadable, DefaultParamsWritable)
         self._setDefault(columns=[], path="")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
+    def weights(self) -> DataFrame:
+        return SparkSession.active().read.parquet(self.getOrDefault(self.path))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        table = dataset.sparkSession.read.parquet(self.getOrDefault(self.path))
-        return apply_woe(dataset, table, self.getOrDefault(self.columns))
+        return apply_woe(dataset, self.weights(), self.getOrDefault(self.columns))
+
+    def write(self) -> MLWriter:
+        return _WeightsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _WeightsReader(cls)
+
+
+class _WeightsWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.weights().write.parquet(f"{path}/{WEIGHTS}")
+
+
+class _WeightsReader(DefaultParamsReader):
+    def load(self, path: str) -> WeightOfEvidenceModel:
+        model = super().load(path)
+        return model._set(path=f"{path}/{WEIGHTS}")

@@ -6,16 +6,24 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from obligor.functions.numeric import nan_to_null
+from obligor.functions.probabilities import top_class
 from obligor.operators.encoding import report_frame
-from obligor.operators.lift import calibration_curve, lift_gain_table
+from obligor.operators.lift import (
+    calibration_curve,
+    lift_gain_table,
+    prediction_distribution,
+    residuals,
+)
 from obligor.operators.profile import (
     detect_columns,
     infer_ordinal_mappings,
     column_facts,
     top_missing,
 )
-from obligor.operators.ranking import roc_points
+from obligor.operators.ranking import pr_points, roc_points
 from obligor.operators.targets import (
     class_codes,
     encode_target,
@@ -23,19 +31,16 @@ from obligor.operators.targets import (
     target_candidates,
 )
 from obligor.operators.thresholds import confusion_matrix
-from obligor.functions.probabilities import top_class
 from obligor.plans.reporting import comparison_table, feature_report, leaderboard
 from obligor.plans.training import (
     TARGET,
     Experiment,
     Progress,
     TrainConfig,
-    importance_of,
     train_experiment,
 )
-from obligor.session import col, pin
+from obligor.session import col
 from obligor.sources.sinks import metrics_frame
-from pyspark.sql import functions as F
 
 
 @dataclass
@@ -58,6 +63,7 @@ class Analysis:
 
 
 def preview(df: DataFrame, id_col: str) -> Preview:
+    df = nan_to_null(df)
     columns = [c for c in df.columns if c != id_col]
     return Preview(detect_columns(df, id_col), target_candidates(df, columns))
 
@@ -71,6 +77,7 @@ def analyze(
     progress: Progress | None = None,
 ) -> Analysis:
     """Encode the target, train all candidates, pick the lowest cross-validated error."""
+    df = nan_to_null(df)
     codes: Mapping[str, int] = class_codes(df, target, positive)
     names = {code: label for label, code in codes.items()}
     limits = fold_limits(df, target).first()
@@ -94,7 +101,7 @@ def analyze(
     spark = df.sparkSession
     classes = experiment.prepared.num_classes
     metrics = metrics_frame(spark, experiment.comparison)
-    importance = pin(importance_of(experiment), "importance")
+    importance = experiment.importance
     raw = experiment.prepared.train.select(*[col(c) for c in experiment.prepared.features])
     report = feature_report(report_frame(spark, experiment.report), top_missing(raw), importance)
     scores = experiment.test_scores
@@ -104,10 +111,21 @@ def analyze(
             "roc_curve": roc_points(flat, TARGET, "pd"),
             "calibration_curve": calibration_curve(flat, TARGET, "pd"),
             "lift_gain": lift_gain_table(flat, TARGET, "pd", config.id_col),
+            "pr_curve": pr_points(flat, TARGET, "pd"),
+            "prediction_distribution": prediction_distribution(flat, TARGET, "pd"),
+            "residuals": residuals(flat, TARGET, "pd", config.id_col),
+            "confusion_matrix": confusion_matrix(
+                flat.withColumn("predicted", (F.col("pd") >= experiment.bundle.threshold).cast("int")),
+                TARGET,
+                "predicted",
+            ),
         }
     else:
         labelled = scores.withColumn("predicted", top_class(F.col("probs")))
         tables = {"confusion_matrix": confusion_matrix(labelled, TARGET, "predicted")}
+    tables["shapley"] = experiment.shapley
+    if experiment.dependence is not None:
+        tables["partial_dependence"] = experiment.dependence
     return Analysis(
         experiment,
         names,

@@ -26,8 +26,8 @@ SCALED = ("logistic_regression", "ridge_logistic_regression")
 SEARCH_ITERATIONS = 8
 MAX_ITERATIONS = 2000
 CLASS_WEIGHTS = (None, "balanced")
-# Depth that stands for an unlimited one: node statistics grow with 2 ** depth.
-UNLIMITED_DEPTH = 15
+# Spark's own limit of the depth of a tree, which stands for an unlimited one.
+DEEPEST = 30
 
 Draw = Callable[[random.Random], dict[str, Any]]
 
@@ -56,10 +56,19 @@ SPACES: dict[str, Draw] = {
 }
 
 
-def sample_params(name: str, n_iter: int = SEARCH_ITERATIONS, seed: int = 42) -> list[dict]:
-    """Parameter sets of the random search, the same for the same seed."""
+def sample_params(
+    name: str, n_iter: int = SEARCH_ITERATIONS, seed: int = 42, deepest: int = DEEPEST
+) -> list[dict]:
+    """Parameter sets of the random search, the same for the same seed.
+
+    ``deepest`` takes the place of an unlimited depth and is what the sets report.
+    """
     draw = random.Random(seed)
-    return [SPACES[name](draw) for _ in range(n_iter)]
+    drawn = [SPACES[name](draw) for _ in range(n_iter)]
+    return [
+        {k: deepest if k == "max_depth" and v is None else v for k, v in params.items()}
+        for params in drawn
+    ]
 
 
 def build_estimator(
@@ -86,8 +95,9 @@ def build_estimator(
             **common,
             weightCol="weight",
             numTrees=params["n_estimators"],
-            maxDepth=params["max_depth"] or UNLIMITED_DEPTH,
+            maxDepth=params["max_depth"] or DEEPEST,
             minInstancesPerNode=params["min_samples_leaf"],
+            bootstrap=params.get("bootstrap", True),
             featureSubsetStrategy="sqrt",
             seed=seed,
         )

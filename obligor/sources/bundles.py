@@ -26,6 +26,7 @@ class ModelBundle:
     class_names: dict[str, str] = field(default_factory=dict)
     num_classes: int = 2
     metrics: dict = field(default_factory=dict)
+    report: dict = field(default_factory=dict)
     saved_at: str | None = None
 
     @property

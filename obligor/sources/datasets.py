@@ -12,7 +12,8 @@ class DatasetConfig:
     """Where a table lives and which column is the target.
 
     ``source_type`` is any of ``csv``, ``parquet``, ``json``, ``orc`` (read from
-    ``path``) or ``table`` (a catalog name in ``path``).
+    ``path``) or ``table`` (a catalog name in ``path``). The tables known by name have no
+    ``path``: whoever holds a copy registers it with ``dataclasses.replace``.
     """
 
     name: str
@@ -31,7 +32,6 @@ BUILTIN = (
         name="german",
         display_name="UCI German Credit (credit-g)",
         target_column="class",
-        path="data/raw/german/credit-g.csv",
         target_mapping={"good": 0, "bad": 1},
         ordinal_mappings={
             "checking_status": ["no checking", "<0", "0<=X<200", ">=200"],
@@ -43,14 +43,12 @@ BUILTIN = (
         name="give_me_some_credit",
         display_name="Give Me Some Credit",
         target_column="SeriousDlqin2yrs",
-        path="data/raw/give_me_some_credit/cs-training.csv",
         ignored_columns=["Unnamed: 0"],
     ),
     DatasetConfig(
         name="home_credit",
         display_name="Home Credit Default Risk",
         target_column="TARGET",
-        path="data/raw/home_credit/application_train.csv",
         ignored_columns=["SK_ID_CURR"],
     ),
 )

@@ -195,15 +195,29 @@ def test_class_sizes_refuse_missing_codes(spark):
         splitting.class_sizes(spark.createDataFrame([(None,), (1,)], "y int"), "y")
 
 
-def test_long_category_lists_stay_a_table(spark):
+def test_long_category_lists_need_no_join(spark):
     from obligor.operators.profile import SchemaProfile
 
-    df = spark.range(300).select("id", F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("city"))
-    state = encoding.fit_encoder(df, SchemaProfile(categorical=["city"]), {}, inline=10)
-    assert state.code_path and "city" not in state.values
+    df = spark.range(6000).select("id", F.concat(F.lit("c"), (F.col("id") % 2500).cast("string")).alias("city"))
+    state = encoding.fit_encoder(df, SchemaProfile(categorical=["city"]), {})
     unseen = df.withColumn("city", F.when(F.col("id") == 0, "new").otherwise(F.col("city")))
-    out = encoding.encode(unseen, state, False).select("id", "city", "cat__city").collect()
-    order = sorted({f"c{i}" for i in range(40)})
-    for row in out:
-        want = order.index(row["city"]) if row["city"] in order else 40
-        assert row["cat__city"] == want
+    encoded = encoding.encode(unseen, state, False)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    order = {v: i for i, v in enumerate(sorted({f"c{i}" for i in range(2500)}))}
+    for row in encoded.select("id", "city", "cat__city").collect():
+        assert row["cat__city"] == order.get(row["city"], 2500)
+
+
+def test_too_many_categories_are_refused(spark):
+    from obligor.operators.profile import SchemaProfile
+
+    df = spark.range(50).select(F.col("id").cast("string").alias("city"))
+    with pytest.raises(ValueError, match="50 categories"):
+        encoding.fit_encoder(df, SchemaProfile(categorical=["city"]), {}, max_categories=49)
+
+
+def test_ranks_refuse_nan(spark):
+    df = spark.createDataFrame([("g", 1.0), ("g", float("nan"))], "g string, v double")
+    with pytest.raises(ValueError, match="NaN"):
+        selection.order_statistics(df, {"g": [0]})
+    assert selection.column_quantiles(df, ["v"], [0.5]) == {"v": [1.0]}

@@ -227,7 +227,7 @@ def test_binary_analysis_tables(spark):
         progress=lambda *s: steps.append(s),
     )
     assert result.experiment.prepared.config.selection == "cv_test_mse"
-    assert set(result.tables) == {"roc_curve", "calibration_curve", "lift_gain"}
+    assert {"roc_curve", "calibration_curve", "lift_gain", "confusion_matrix"} <= set(result.tables)
     assert result.tables["lift_gain"].agg(F.sum("applicants")).first()[0] == 16
     assert result.comparison.columns[1:] == [
         "roc_auc", "pr_auc", "ks_statistic", "gini", "precision", "recall", "f1", "threshold",
