@@ -19,17 +19,15 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obligor.llm.pretokens import Splitter, newer_characters
 from obligor.llm.words import chunks, texts_of
 
 POSITION_BITS = 20
@@ -40,9 +38,6 @@ GROUPED_BYTES = 64
 REMEMBERED = 200_000
 #: Bytes of text split and merged together.
 CHUNK_BYTES = 2_000_000
-#: A private-use character: no letter, digit or space in any version of Unicode.
-NO_LETTER = "\ue000"
-_CODE_POINTS = (*range(0xD800), *range(0xE000, 0x110000))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,30 +95,6 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-@lru_cache(maxsize=1)
-def newer_characters() -> str:
-    """Letters and digits of ``regex`` that the tokenizer library's older Unicode lacks.
-
-    A probe of the library: after a character it takes for a letter or digit, "!!" stays
-    in the same piece and is one token.
-    """
-    known = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, _CODE_POINTS))))
-    probe = tiktoken.Encoding(
-        "probe",
-        pat_str=r"[\p{L}\p{N}]!!|(?s:.)",
-        mergeable_ranks={**{bytes([b]): b for b in range(256)}, b"!!": 256},
-        special_tokens={},
-    )
-    ids = probe.encode_ordinary("".join(c + "!!" for c in known))
-    newer, at = [], 0
-    for c in known:
-        at += len(c.encode())
-        if ids[at] != 256:
-            newer.append(c)
-        at += 1 if ids[at] == 256 else 2
-    return "".join(newer)
-
-
 class BytePairCodec:
     """Vocabulary, pattern and the pre-tokens merged so far; one per worker process."""
 
@@ -135,9 +106,7 @@ class BytePairCodec:
         remembered: int = REMEMBERED,
     ):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
-        self.newer = frozenset(newer)
-        self.plain = dict.fromkeys(map(ord, newer), NO_LETTER)
+        self.split = Splitter(pattern, newer)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.size = max(ranks.values()) + 1
@@ -236,30 +205,15 @@ class BytePairCodec:
                     out[i] = ids
         return out
 
-    def _split_older(self, text: str) -> list[str]:
-        """Pre-tokens as the library's older Unicode cuts them."""
-        plain = text.translate(self.plain)
-        return [text[slice(*match.span())] for match in self.pattern.finditer(plain)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text."""
         if len(self.known) > self.remembered:
             self.known.clear()
-        split = [self.pattern.findall(text) for text in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        odd = [piece for piece in new if not self.newer.isdisjoint(piece)]
-        if odd:
-            split = [self._split_older(text) for text in texts]
-            new = set(chain.from_iterable(split)).difference(self.known)
-            odd = [piece for piece in new if not self.newer.isdisjoint(piece)]
-        pieces = list(new)
-        merged = self.merge([piece.encode() for piece in pieces])
-        self.known.update(zip(pieces, merged, strict=True))
+        split = [self.split(text) for text in texts]
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        self.known.update(zip(new, self.merge([piece.encode() for piece in new]), strict=True))
         ids_of = self.known.__getitem__
-        out = [b"".join(map(ids_of, pieces)) for pieces in split]
-        for piece in odd:  # what is remembered must stay a sign of the usual cut
-            del self.known[piece]
-        return out
+        return [b"".join(map(ids_of, pieces)) for pieces in split]
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
