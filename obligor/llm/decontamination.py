@@ -327,8 +327,8 @@ def contaminated(
 def _slice(items: DataFrame, slices: int, number: int) -> list[tuple[int, str]]:
     """About ``SLICE_ITEMS`` items, dealt by a hash; a whole benchmark never comes at once."""
     own: Column = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == number
-    rows = items.where(own).select("item_id", "text").collect()
-    return sorted((row["item_id"], row["text"]) for row in rows if row["text"] is not None)
+    rows = items.where(own).where("text IS NOT NULL").select("item_id", "text").collect()
+    return sorted(map(tuple, rows), key=lambda row: (row[0] is None, row[0] or 0, row[1]))
 
 
 def prepared(spark: SparkSession, docs: DataFrame, piece: Slice) -> Slice:

@@ -60,7 +60,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rolling = np.zeros(data.size, np.uint64)
     for n in range(1, max(GRAMS) + 1):
         ahead = np.zeros(data.size, np.uint64)
-        ahead[: data.size - n + 1] = data[n - 1 :]
+        ahead[: max(0, data.size - n + 1)] = data[n - 1 :]
         rolling = (rolling ^ (ahead + np.uint64(1))) * multiplier
         if n in GRAMS:
             inside = left >= n
