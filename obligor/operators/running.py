@@ -12,17 +12,17 @@ from pyspark.sql.window import Window
 from obligor.session import pin
 
 WINDOW_ROWS = 1_000_000
-MAX_CELLS = 8_192
 SAMPLE_PER_CELL = 100
 
 
 def cell_edges(table: DataFrame, order: str, rows: int, window_rows: int) -> list[float]:
     """Split points that spread ``order`` over cells of about ``window_rows`` rows.
 
+    Their number follows the rows: the driver holds one number per ``window_rows`` rows.
     They only balance the work: any split points give the same totals, so a sample
     is enough to choose them.
     """
-    cells = min(MAX_CELLS, -(-rows // window_rows))
+    cells = -(-rows // window_rows)
     if cells <= 1:
         return []
     share = min(1.0, SAMPLE_PER_CELL * cells / rows)

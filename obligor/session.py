@@ -85,18 +85,6 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of fewer splits than cores one partition per core.
-
-    A large table has many splits and stays as it is; a single small file would
-    otherwise keep everything up to the next shuffle in one task.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *[col(k) for k in keys])
-
-
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, which is broadcast without a job."""
     if isinstance(schema, str):
