@@ -40,13 +40,14 @@ _TYPES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7]
 Document = tuple[list[int], list[bytes], int]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers with all low bytes first: small numbers and sorted ones then compress well."""
-    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers of ``width`` bytes, all low bytes first: small numbers compress well so."""
+    return np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def unplaned(data: bytes, width: int = 4) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T)
+    return rows.view(f"<u{width}").ravel().astype(np.int64)
 
 
 class _Block:
@@ -97,7 +98,7 @@ class _Block:
                 own = [terms[i] for i in part.tolist()]
                 yield (
                     block, int(bucket[part[0]]), None, None, None, None, None, b"".join(own),
-                    planes(np.array([len(t) for t in own])), planes(weights[part]),
+                    planes(np.array([len(t) for t in own])), planes(weights[part], 8),
                 )
 
 
@@ -170,14 +171,14 @@ def judge(
             )
         total = np.zeros(len(number))
         for place, weight in zip(places, table.column("weights").to_pylist(), strict=True):
-            total[place] += unplaned(weight)
+            total[place] += unplaned(weight, 8)
         values = value(list(number), total)
         rest = [0] * (table.num_rows - 1)
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int64()),
                 "bucket": table.column("bucket").cast(pa.int32()),
-                "values": pa.array([planes(values[place]) for place in places], pa.binary()),
+                "values": pa.array([planes(values[place], 8) for place in places], pa.binary()),
                 "used": pa.array([int((total > 0).sum()), *rest], pa.int64()),
                 "mass": pa.array([int(total.sum()), *rest], pa.int64()),
             }
@@ -205,7 +206,7 @@ def summed(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = left.to_pylist()[0]
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("values").to_pylist(), strict=True))
-        values = np.concatenate([*(unplaned(v) for _, v in parts), np.empty(0, np.int64)])
+        values = np.concatenate([*(unplaned(v, 8) for _, v in parts), np.empty(0, np.int64)])
         ends = unplaned(docs["ends"])
         sizes = np.diff(ends, prepend=0)
         facts = np.frombuffer(docs["facts"], "<i8").reshape(ends.size, -1)

@@ -2,7 +2,7 @@
 
 A text is modelled as its tokens: lower-cased words with a blank between them and a line
 feed for the end. Every byte is eight binary choices. For each of the ``ORDERS`` + 1
-contexts (the last 0 to 6 bytes) a hashed slot of (context, bits so far) counts zeros and
+contexts (the last 0 to 5 bytes) a hashed slot of (context, bits so far) counts zeros and
 ones; each count pair is a log odds. Two gates, the longest context with a count and the
 place in the word, each with the bits so far, pick sets of weights; the sum of the log
 odds, weighted by both sets, is the mixed prediction. It is refined by a table, adapted to how often the bit came true for a like
@@ -42,7 +42,7 @@ from obligor.llm.blocks import planes, unplaned
 from obligor.llm.words import texts_of, words_of
 from obligor.session import pin
 
-ORDERS = 6
+ORDERS = 5
 #: Slots of the longer contexts; 2 bytes each.
 SLOT_BITS = 22
 ROUNDS = 2
@@ -52,10 +52,12 @@ RATE = 0.02
 PRIOR = 0.4
 #: Windows of one learning step, and of one scoring step.
 _STEP, _SCORED = 1024, 1 << 15
-#: Bytes of text turned into windows at a time, and windows merged before they are sent.
-_PART_BYTES, _HELD = 2_000_000, 4_000_000
+#: Bytes of text scored at a time, and windows merged before they are sent.
+_SCORED_BYTES, _HELD = 400_000, 1_200_000
+#: Distinct words of a block: rows of a few megabytes, which the JVM holds as one buffer each.
+_BLOCK_TERMS = 100_000
 #: Windows that a worker remembers: 12 bytes each.
-_MEMORY_BITS = 21
+_MEMORY_BITS = 20
 _PAD = b"\n" * ORDERS
 _CHUNK_BITS = 16
 _BINS, _REACH = 33, 8.0
@@ -69,18 +71,20 @@ def canonical(text: bytes) -> bytes:
     return b" ".join(words_of(text)) + b"\n"
 
 
-def window_parts(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def window_parts(
+    texts: Iterator[bytes], part_bytes: int = 2_000_000
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows of the texts and the number of the text each belongs to, in bounded parts."""
     held: list[bytes] = []
     owners: list[int] = []
     size = 0
     for i, text in enumerate(texts):
         whole = _PAD + canonical(text)
-        for at in range(0, len(whole) - ORDERS, _PART_BYTES):
-            held.append(whole[at : at + _PART_BYTES + ORDERS])
+        for at in range(0, len(whole) - ORDERS, part_bytes):
+            held.append(whole[at : at + part_bytes + ORDERS])
             owners.append(i)
             size += len(held[-1])
-            if size >= _PART_BYTES:
+            if size >= part_bytes:
                 yield _windows(held, owners)
                 held, owners, size = [], [], 0
     if held:
@@ -136,8 +140,8 @@ def count_windows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(bucket[part[0]])], pa.int32()),
-                        pa.array([planes(keys[part])], pa.binary()),
-                        pa.array([planes(counts[part])], pa.binary()),
+                        pa.array([planes(keys[part], 8)], pa.binary()),
+                        pa.array([planes(counts[part], 8)], pa.binary()),
                     ],
                     ["bucket", "keys", "counts"],
                 )
@@ -159,14 +163,14 @@ def count_windows(docs: DataFrame) -> DataFrame:
             yield from send(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unplaned(x) for x in table.column("keys").to_pylist()]).astype(np.uint64)
-        counts = np.concatenate([unplaned(x) for x in table.column("counts").to_pylist()])
+        keys = np.concatenate([unplaned(x, 8) for x in table.column("keys").to_pylist()]).astype(np.uint64)
+        counts = np.concatenate([unplaned(x, 8) for x in table.column("counts").to_pylist()])
         keys, counts = _summed(keys, counts)
         return pa.table(
             {
                 "bucket": table.column("bucket")[:1].cast(pa.int32()),
-                "keys": pa.array([planes(keys)], pa.binary()),
-                "counts": pa.array([planes(counts)], pa.binary()),
+                "keys": pa.array([planes(keys, 8)], pa.binary()),
+                "counts": pa.array([planes(counts, 8)], pa.binary()),
             }
         )
 
@@ -226,7 +230,7 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                keys, counts = unplaned(k).astype(np.uint64), unplaned(n)
+                keys, counts = unplaned(k, 8).astype(np.uint64), unplaned(n, 8)
                 byte = (keys & np.uint64(255)).astype(np.int64)
                 for order, context in enumerate(_contexts(keys)):
                     slots = np.concatenate(
@@ -245,7 +249,7 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
                                     pa.array([order], pa.int32()),
                                     pa.array([int(chunk[part[0]])], pa.int32()),
                                     pa.array([planes(slots[part].astype(np.int64))], pa.binary()),
-                                    pa.array([planes(sums[part])], pa.binary()),
+                                    pa.array([planes(sums[part], 8)], pa.binary()),
                                 ],
                                 ["context", "chunk", "slots", "sums"],
                             )
@@ -255,7 +259,7 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for slots, sums in zip(*(table.column(c).to_pylist() for c in ("slots", "sums")), strict=True):
-            total[unplaned(slots) % width] += unplaned(sums)
+            total[unplaned(slots) % width] += unplaned(sums, 8)
         codes = _codes(total).astype(np.uint16)
         return pa.table(
             {
@@ -384,7 +388,7 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
             visits, seen = np.zeros(2 * _GATES), np.zeros_like(own.seen)
             for batch in batches:
                 for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                    keys, counts = unplaned(k).astype(np.uint64), unplaned(n)
+                    keys, counts = unplaned(k, 8).astype(np.uint64), unplaned(n, 8)
                     # Neighbours in key order are alike: a fixed shuffle mixes them.
                     order = np.argsort(_mixed(keys))
                     more = own.learn(keys[order], counts[order], rate, state)
@@ -408,6 +412,7 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
         # A gate's weights count by how often a part came to it.
         mean = sums.reshape(weights.shape) / np.maximum(visits, 1)[:, None]
         mixer.weights = np.where(visits[:, None] > 0, mean, weights)
+    shared.unpersist()
     mixer.seen = Mixer(tables).seen + seen.reshape(mixer.seen.shape)
     return mixer
 
@@ -417,24 +422,28 @@ class Scorer:
 
     def __init__(self, mixer: Mixer):
         self.mixer = mixer
-        self.keys = np.zeros(1 << _MEMORY_BITS, np.uint64)
+        # No window has its top bit set.
+        self.keys = np.full(1 << _MEMORY_BITS, 1 << 63, np.uint64)
         self.scores = np.zeros(1 << _MEMORY_BITS, np.float32)
 
     def windows(self, keys: np.ndarray) -> np.ndarray:
         place = (_mixed(keys) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
-        out = self.scores[place].astype(np.float64)
         missed = np.flatnonzero(self.keys[place] != keys)
+        out = self.scores[place].astype(np.float64)
         if missed.size:
             new, _ = _summed(keys[missed])
             scores = self.mixer.score(new).astype(np.float32)
-            out[missed] = scores[np.searchsorted(new, keys[missed])]
             at = (_mixed(new) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
             self.keys[at], self.scores[at] = new, scores
+            out[missed] = self.scores[place[missed]]
+            # New windows that share a place: only one of them is remembered.
+            lost = missed[self.keys[place[missed]] != keys[missed]]
+            out[lost] = scores[np.searchsorted(new, keys[lost])]
         return out
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for keys, owner in window_parts(texts):
+        for keys, owner in window_parts(texts, _SCORED_BYTES):
             out += np.bincount(owner, self.windows(keys), minlength=len(texts))
         return out
 
@@ -484,7 +493,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         return read
 
-    packed = blocks.pack(rows, reader)
+    packed = blocks.pack(rows, reader, _BLOCK_TERMS)
     judged = pin(blocks.judge(packed, lambda terms, weights: weights.astype(np.int64)), "words")
     totals = judged.agg(F.sum("used").alias("used"), F.sum("mass").alias("mass")).first()
     ends = rows.where(fold != 2).count()
