@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obligor.llm import bpe, decontamination, quality, simhash, toxicity
-from obligor.llm.queries import BATCH_ROWS, RANKS, labels_of
+from obligor.llm.queries import RANKS, labels_of, set_up
 from obligor.session import pin
 
 ORACLE_SQL = None
@@ -68,8 +68,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _batched(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The same rows; Python workers get a bounded number of texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """The same rows, once the session suits long texts."""
+    set_up(spark)
     return docs
 
 

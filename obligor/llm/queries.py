@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +32,21 @@ COUNTED = "byte_bpe_50k.json"
 BATCH_ROWS = 500
 
 
-def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def set_up(spark: SparkSession) -> None:
+    """Small batches, and this package on the path of Python workers on the same machine.
+
+    On a cluster the package is installed or handed over with ``--py-files``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    own = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    held = environment.get("PYTHONPATH", "")
+    if own not in held.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, held]))
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    set_up(spark)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
@@ -111,6 +127,7 @@ def op9_quality_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
+    set_up(spark)
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
     return neighbours.nearest(rows, F.col("id") % 50 == 0)
 
