@@ -26,6 +26,7 @@ _ARROW = {
 }
 
 _local_roots: dict[str, str] = {}
+_scratch_paths: dict[str, list[str]] = {}
 
 
 def get_spark(app: str = "obligor", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,7 +71,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns how many there were.
+
+    Call it once results are stored: tables that were handed back may still read them.
+    """
+    paths = _scratch_paths.pop(spark.sparkContext.applicationId, [])
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    return len(paths)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:

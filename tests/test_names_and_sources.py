@@ -187,3 +187,16 @@ def test_scratch_comes_from_the_session(spark):
 def test_small_table_is_local(spark):
     out = small_table(spark, [("a", 1, None)], "s string, n bigint, x double")
     assert [tuple(r) for r in out.collect()] == [("a", 1, None)]
+
+
+def test_clear_scratch_deletes_what_was_written(spark, monkeypatch):
+    from pathlib import Path
+
+    from obligor import session
+
+    monkeypatch.setattr(session, "_scratch_paths", {})
+    kept = session.pin(spark.range(5).toDF("id"), "gone")
+    path = session._scratch_paths[spark.sparkContext.applicationId][0]
+    assert kept.count() == 5 and Path(path).exists()
+    assert session.clear_scratch(spark) == 1
+    assert not Path(path).exists() and session.clear_scratch(spark) == 0
