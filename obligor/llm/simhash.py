@@ -13,8 +13,9 @@ The work is a fixed share of all pairs of distinct fingerprints, as the method c
 exactly; rows that share a fingerprint are one point from the start.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer
-words than a shingle form one shingle; repeated rows share a class; a null ``doc_id`` is
-ignored when the smallest id of a class is chosen; an empty table gives an empty result.
+words than a shingle form one shingle; repeated rows share a class, and so do rows that share
+an id; a null ``doc_id`` is ignored when the smallest id of a class is chosen, and a class
+without any id has none; an empty table gives an empty result.
 Only the named columns are read, so other columns cannot clash.
 """
 
@@ -42,6 +43,8 @@ RADIUS = 4
 TILE_ROWS = 32_768
 #: Pairs whose exclusive-or is held at a time.
 _BLOCK_PAIRS = 1 << 18
+#: Ids are below this number; labels of prints without an id are not.
+NO_ID = 1 << 62
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -146,16 +149,17 @@ def _tiles(counts: dict[int, int], tile_rows: int, radius: int) -> list[tuple]:
     return out
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Forest edges (src, dst) that connect all distinct ``print`` values within the radius.
+def links(points: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Forest edges (src, dst) of the labels of all prints within the radius.
 
-    A row knows its tile and the tiles to meet from its population count alone: at most 65
-    counts come to the driver, and no table of tiles is joined.
+    ``points`` are rows (print, label), each print once. A row knows its tile and the tiles
+    to meet from its population count alone: at most 65 counts come to the driver, and no
+    table of tiles is joined.
     """
-    bits = prints.select("print", F.bit_count("print").cast("int").alias("bits"))
+    bits = points.select("print", "label", F.bit_count("print").cast("int").alias("bits"))
     tiles = _tiles(dict(bits.groupBy("bits").count().collect()), tile_rows, radius)
     if not tiles:
-        return prints.sparkSession.createDataFrame([], "src long, dst long")
+        return points.sparkSession.createDataFrame([], "src long, dst long")
 
     def of_bits(field: int) -> Column:
         pairs = [F.lit(x) for row in tiles for x in (row[0], row[field])]
@@ -163,11 +167,13 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
 
     placed = bits.select(
         "print",
+        "label",
         (of_bits(1) + F.pmod(F.xxhash64("print"), of_bits(2))).cast("int").alias("tile"),
         F.explode(F.sequence(of_bits(3), of_bits(4))).alias("partner"),
     )
     spread = placed.select(
         "print",
+        "label",
         F.least("tile", "partner").alias("low"),
         F.greatest("tile", "partner").alias("high"),
         (F.col("tile") > F.col("partner")).alias("second"),
@@ -175,13 +181,12 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
         values = group["print"].to_numpy().view(np.uint64)
+        labels = group["label"].to_numpy()
         second = group["second"].to_numpy()
-        same = group["low"].iat[0] == group["high"].iat[0]
-        left = values[~second]
-        right = left if same else values[second]
+        other = ~second if group["low"].iat[0] == group["high"].iat[0] else second
+        a, b = labels[~second], labels[other]
         joined = UnionFind()
-        a, b = left.view(np.int64), right.view(np.int64)
-        for i, j in tile_links(left, right, radius):
+        for i, j in tile_links(values[~second], values[other], radius):
             joined.join_all(a[i], b[j])
         src, dst = joined.edges()
         return pd.DataFrame({"src": src, "dst": dst})
@@ -190,15 +195,21 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(print, component_id) of distinct fingerprints, from rows (print, doc_id)."""
-    points = pin(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "prints")
-    forest = pin(links(points, radius, tile_rows), "print-links")
-    tops = roots(forest)
-    named = points.join(tops, points["print"] == tops["node"], "left").select(
-        "print", "first_id", F.coalesce("root", "print").alias("root")
+    """(print, component_id) of distinct fingerprints, from rows (print, doc_id).
+
+    A print is labelled by its smallest id, so the smallest label of a component is the
+    answer and no join meets a large component under one key. Without any id the label is
+    the print behind ``NO_ID``; prints that differ in the two bits lost are linked anyway
+    by a radius of two or more.
+    """
+    own = F.col("print").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    points = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
+    points = pin(points.select("print", F.coalesce("first_id", own).alias("label")), "prints")
+    tops = roots(pin(links(points, radius, tile_rows), "print-links"))
+    smallest = F.coalesce("root", "label")
+    return points.join(tops, points["label"] == tops["node"], "left").select(
+        "print", F.when(smallest < NO_ID, smallest).alias("component_id")
     )
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return named.join(smallest, "root").select("print", "component_id")
 
 
 def near_duplicates(
@@ -215,7 +226,7 @@ def near_duplicates(
     """
     rows = pin(
         df.select(
-            F.col(f"`{id_col}`").alias("doc_id"),
+            F.col(f"`{id_col}`").cast("long").alias("doc_id"),
             fingerprinted(F.col(f"`{text_col}`"), shingle_words).alias("print"),
         ),
         "fingerprints",
