@@ -48,6 +48,8 @@ KEPT_ENERGY = 0.999
 _OVERSAMPLED = 8
 _POWER_STEPS = 2
 _SVD_PARTS = 4
+#: Rank tried first.
+_RANK = 256
 _CHUNK_BYTES = 1_000_000
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -193,23 +195,27 @@ def randomised_svd(spark: SparkSession, piece: Slice) -> np.ndarray:
 
     def product(q: np.ndarray) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width, q.shape[1]))
+            total = np.zeros(q.shape, np.float32)
             for batch in batches:
                 a = np.stack([piece.vector(i) for i in batch.column(0).to_pylist()])
-                total += a.T @ (a @ q)
+                total += a.T @ (a @ q.astype(np.float64))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
         parts = places.mapInArrow(part, "part binary").collect()  # _SVD_PARTS matrices
-        return sum(np.frombuffer(row["part"]).reshape(width, -1) for row in parts)
+        total = np.zeros(q.shape)
+        for row in parts:
+            total += np.frombuffer(row["part"], np.float32).reshape(q.shape)
+        return total
 
     energy = sum(float(np.square(piece.weights[own]).sum()) for _, own in piece.passages)
-    rank = min(items, width, 64)
+    rank = min(items, width, _RANK)
     rng = np.random.default_rng(42)
     while True:
         q = rng.normal(size=(width, min(width, rank + _OVERSAMPLED)))
         for _ in range(_POWER_STEPS):
-            q, _ = np.linalg.qr(product(q))
-        values, inner = np.linalg.eigh(q.T @ product(q))
+            q, _ = np.linalg.qr(product(q.astype(np.float32)))
+        inner = q.T @ product(q.astype(np.float32))
+        values, inner = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(values)[::-1][:rank]
         if values[order].sum() >= KEPT_ENERGY * energy or rank >= min(items, width):
             return q @ inner[:, order]
