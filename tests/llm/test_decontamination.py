@@ -92,3 +92,51 @@ def test_query(spark, sf_dir):
             if b" %s " % b" ".join(d.plain_words(item.text.encode())) in whole:
                 want.add((doc.doc_id, item.item_id))
     assert want and got == want
+
+
+def test_verbatim_item_of_common_words_among_rare_ones(spark):
+    rng = random.Random(31)
+    common = [f"w{i}" for i in range(40)]
+    text = " ".join(rng.sample(common, 9))
+    rows = [(i, " ".join(rng.choices(common, k=60))) for i in range(300)]
+    rare = [f"r{i}" for i in range(200)]
+    rows.append((1000, " ".join([*rare[:100], text, *rare[100:]])))
+    assert (1000, 1) in hits(spark, rows, [(1, text)])
+
+
+def test_repeats_and_common_words_do_not_lengthen_a_passage(spark):
+    """The latent route alone: no run of the item is whole."""
+    rng = random.Random(32)
+    body = [f"q{i}" for i in range(10)]
+    filler = [f"f{i}" for i in range(6)]
+    changed = [w for i, q in enumerate(body) for w in ([q, "f0"] if i % 3 == 2 else [q])]
+    rows = [(i, " ".join(rng.choices(filler, k=64))) for i in range(2000)]
+    around = rng.choices(filler, k=200)
+    rows.append((5000, " ".join([*around[:100], *changed, *around[100:]])))
+    items = [(7, " ".join(body))]
+    piece = d.prepared(
+        spark,
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        d.Slice(items),
+    )
+    assert piece.others.min() < 0.1 < piece.others.max()
+    assert hits(spark, rows, items) == {(5000, 7)}
+
+
+def test_directions_keep_every_item(spark):
+    """One odd item among many that point almost the same way."""
+    rng = random.Random(33)
+    shared = [f"s{i}" for i in range(12)]
+    items = [(i, " ".join([*shared, f"x{i % 3}"])) for i in range(100)]
+    items.append((500, " ".join(f"z{i}" for i in range(8))))
+    rows = [(i, " ".join(rng.choices([f"z{i}" for i in range(8)], k=30))) for i in range(50)]
+    piece = d.Slice(items)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old, d._RANK = d._RANK, 1
+    try:
+        piece = d.prepared(spark, docs, piece)
+    finally:
+        d._RANK = old
+    for k in range(len(piece.passages)):
+        whole = (piece.vector(k) ** 2).sum()
+        assert (piece.latent[k] ** 2).sum() >= 0.99 * whole
