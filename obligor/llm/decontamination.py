@@ -22,8 +22,8 @@ Items are handled ``SLICE_ITEMS`` at a time, in blocks of a stated query set: wh
 broadcast then has a fixed size, and the rank of a slice may reach its number of items, so
 that its directions keep ``KEPT_ENERGY`` of every passage of its items.
 
-Defined results: null and empty texts match nothing, nor do items of fewer than
-``MIN_WORDS`` words, which say too little; equal items each get their own rows; repeated
+Defined results: null and empty texts match nothing; an item of fewer than ``MIN_WORDS`` words
+is found where all its words stand in order without a gap; equal items each get their own rows; repeated
 documents give repeated rows; an empty table on either side gives an empty result.
 """
 
@@ -46,7 +46,7 @@ from obligor.session import pin
 HALF_WORDS = 32
 MIN_COSINE = 0.15
 MIN_OVERLAP, MIN_ANSWER, SURE_OVERLAP = 0.6, 0.5, 0.8
-#: Items with fewer words are not looked for.
+#: Items with fewer words are looked for as they are.
 MIN_WORDS = 8
 #: Neighbouring words of an item that make a passage a candidate; at most ``MIN_WORDS``.
 RUN_WORDS = 6
@@ -182,7 +182,7 @@ class Slice:
         for item_id, text in rows:
             data = (text or "").encode()
             item = Item(item_id, plain_words(data), answer_of(data))
-            if len(item.words) >= MIN_WORDS:
+            if item.words:
                 self.items.append(item)
         own = {w: i for i, w in enumerate(sorted({w for x in self.items for w in x.words}))}
         self.number = Numbers(own)

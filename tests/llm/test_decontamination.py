@@ -124,10 +124,10 @@ def test_repeats_and_common_words_do_not_lengthen_a_passage(spark):
 
 
 def test_directions_keep_every_item(spark):
-    """One odd item among many that point almost the same way."""
+    """One odd item of frequent words among many that point the same way."""
     rng = random.Random(33)
     shared = [f"s{i}" for i in range(12)]
-    items = [(i, " ".join([*shared, f"x{i % 3}"])) for i in range(100)]
+    items = [(i, " ".join(shared)) for i in range(100)]
     items.append((500, " ".join(f"z{i}" for i in range(8))))
     rows = [(i, " ".join(rng.choices([f"z{i}" for i in range(8)], k=30))) for i in range(50)]
     piece = d.Slice(items)
@@ -140,3 +140,27 @@ def test_directions_keep_every_item(spark):
     for k in range(len(piece.passages)):
         whole = (piece.vector(k) ** 2).sum()
         assert (piece.latent[k] ** 2).sum() >= 0.99 * whole
+
+
+def test_short_items_are_found_whole(spark, words):
+    rng = random.Random(34)
+    short = "What is the capital city of France?"
+    items = [(1, short), (2, "Yes."), (3, "?!"), (4, short), (5, "of france today")]
+    filler = " ".join(rng.choices(words, k=90))
+    rows = [
+        (10, f"{filler} what is the Capital city, of FRANCE {filler}"),
+        (11, f"{filler} what is the capital of france"),
+        (12, f"oh yes {filler}"),
+        (13, "what is the capital city of"),
+        (14, "France? Yesterday"),
+        (15, short),
+        (15, short),
+        (None, None),
+    ]
+    want = {(10, 1), (10, 4), (12, 2), (15, 1), (15, 4)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = d.contaminated(df, frame(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == 7
+    assert {(r.overlap, r.answer_overlap) for r in found} == {(1.0, 1.0)}
+    long = (6, " ".join(f"n{i}" for i in range(20)))
+    assert hits(spark, [*rows, (16, long[1])], [*items, long]) == want | {(16, 6)}
