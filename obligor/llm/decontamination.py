@@ -368,11 +368,16 @@ def search(docs: DataFrame, piece: Slice) -> DataFrame:
         picked = wanted[half]
         half, word = half[picked], word[picked]
         owned = np.flatnonzero(np.diff(half, prepend=-1))
+        # Halves with most words first: the n-th words of all that have one are added at once.
+        counts = np.diff(owned, append=half.size)
+        order = np.argsort(-counts, kind="stable")
+        owned, counts = owned[order], counts[order]
         row = np.full(size + 1, owned.size)
         row[half[owned]] = np.arange(owned.size)
         latent = np.zeros((owned.size + 1, scaled.shape[1]), np.float32)
-        if owned.size:
-            latent[:-1] = np.add.reduceat(scaled[word], owned, axis=0)
+        for n in range(int(counts.max(initial=0))):
+            held = int(np.searchsorted(-counts, -n))
+            latent[:held] += scaled[word[owned[:held] + n]]
         single = latent[row[near]]
         pair = single + np.where(after[near][:, None], latent[row[near + 1]], 0)
         for vectors, square in ((single, energy), (pair, both)):
