@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-``canonical`` lower-cases a text, drops copyright lines, turns every run of punctuation
+``canonical`` lower-cases a text, drops copyright notices, turns every run of punctuation
 and white space into one blank, and settles on one of several equivalent spellings. Two
 texts with equal digests are the same licence. Whole texts are hash-joined to the digests
 of known texts (one row each, a fixed table); lines that are a known notice by themselves
@@ -21,8 +21,27 @@ from pyspark.sql import functions as F
 from obligor.llm.license_texts import LICENCES, SPELLINGS
 from obligor.session import small_table
 
-#: A line that opens with a copyright mark, behind comment signs, and what it says.
-COPYRIGHT_LINE = r"(?md)^[ \t#*/;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_YEAR = r"(?:19|20)\d\d"
+_MARK = r"(?:\(c\)|©)"
+#: Words that follow "copyright" in the body of a licence, where it begins no notice.
+_BODY = (
+    "holders?|owners?|owned|ownership|notices?|licen[cs]e[sd]?|laws?|and|or|in|to|on|of|is|as|for|"
+    "interests?|statements?|disclaimers?|treaty|treaties|rights?|protection|permission|claims?|act"
+)
+_OPENING = (
+    rf"copyright(?:[ \t:]*(?:{_MARK}|{_YEAR})|[ \t:]+(?!(?:{_BODY})\b)[\p{{L}}<\[\"])"
+    rf"|{_MARK}(?=[^\n]*\b{_YEAR}|(?:[ \t]*[^\s]+){{1,6}}[ \t]*$)"
+    r"|all rights reserved[ \t]*(?=[.!]|$)"
+)
+#: Where a sentence ends and text goes on; after a single letter only before longer text.
+_GOES_ON = (
+    r"(?:(?<![ \t]\p{L})[.!?][ \t]+(?!(?:and|or|its)\b)(?=(?:\S+[ \t]+){4}\S)"
+    r"|(?<=[ \t]\p{L})[.!?][ \t]+(?=(?:\S+[ \t]+){11}\S))"
+)
+#: A copyright notice at the start of a line, behind comment signs, to the end of its sentence.
+COPYRIGHT_NOTICE = (
+    rf"(?md)^[ \t#*/;%-]*(?:{_OPENING})[^\n]*?(?:$|{_GOES_ON}(?:all rights reserved[.!]?(?=\s))?)"
+)
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -38,7 +57,7 @@ def _spelled(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The words of a text that count, with single blanks."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_replace(F.regexp_replace(low, COPYRIGHT_LINE, " "), NOT_A_WORD, " ")
+    words = F.regexp_replace(F.regexp_replace(low, COPYRIGHT_NOTICE, " "), NOT_A_WORD, " ")
     return F.trim(_spelled(F.concat(F.lit(" "), words, F.lit(" "))))
 
 

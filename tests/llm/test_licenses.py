@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 
 import pytest
 
@@ -55,3 +56,36 @@ def test_plan_has_no_shuffle_and_no_python(odd):
 @pytest.mark.parametrize("pair", SPELLINGS)
 def test_spellings_are_settled(pair):
     assert pair[0] != pair[1] and pair[1] not in {old for old, _ in SPELLINGS}
+
+
+def test_wrapping_does_not_matter(spark):
+    texts, want = [], []
+    for name, text in LICENCES:
+        for width in [*range(30, 125), 100_000]:
+            texts.append("\n".join(textwrap.wrap(" ".join(text.split()), width, break_long_words=False)))
+            want.append(name)
+    got = scan(spark, texts)
+    assert [got[i].license_id for i in range(len(texts))] == want
+
+
+NOTICES = [
+    "Copyright (c) 2020 X.",
+    "Copyright (c) 1998-2020 Foo, Inc. All rights reserved.",
+    "Copyright 2020 Some Body.",
+    "(c) 2020 Some Body.",
+    "Copyright Some Body and others.",
+]
+
+
+def test_notice_and_licence_on_one_line(spark):
+    bodies = [(name, " ".join(text.split())) for name, text in LICENCES if len(text) > 200]
+    pairs = [(name, f"{notice} {body}") for name, body in bodies for notice in NOTICES]
+    got = scan(spark, [text for _, text in pairs])
+    assert [got[i].license_id for i in range(len(pairs))] == [name for name, _ in pairs]
+
+
+def test_notices_on_their_own_lines(spark):
+    mit = dict(LICENCES)["MIT"]
+    lines = [*NOTICES, "Copyright 2020 John Q. Public and the other authors of it", "Copyright (C) 2020 Foo Inc. and its affiliates and all other authors"]
+    got = scan(spark, [f"{line}\n\n{mit}" for line in lines])
+    assert [got[i].license_id for i in range(len(lines))] == ["MIT"] * len(lines)
