@@ -45,5 +45,50 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
       FROM scored)
 WHERE place <= 5
+""",
+    "op13_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(words) < 100,
+          100 * len(list_distinct(words)) < 80 * len(words),
+          100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text),
+          regexp_matches(text, '[#$%&*|]'),
+          coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM texts LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM docs GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+judged AS (
+  SELECT part, filter_order, step, n, n_good, n_toxic,
+         fails[ascii(filter_order[step]) - 64] AS own,
+         len(list_filter(range(1, step), lambda s: fails[ascii(filter_order[s]) - 64])) AS earlier,
+         len(list_filter(fails, lambda f: f)) AS failed
+  FROM counts, steps),
+audited AS (
+  SELECT part, filter_order, step,
+         coalesce(sum(n) FILTER (earlier = 0 AND NOT own), 0) AS kept,
+         coalesce(sum(n) FILTER (earlier = 0 AND own), 0) AS removed,
+         coalesce(sum(n) FILTER (earlier > 0 AND own), 0) AS redundant,
+         coalesce(sum(n) FILTER (own AND failed = 1), 0) AS unique_fails,
+         coalesce(sum(n_good) FILTER (earlier = 0 AND own), 0) AS good_lost,
+         coalesce(sum(n_toxic) FILTER (earlier = 0 AND own), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM audited
 """,
 }

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from obligor.llm import (
     bpe,
     decontamination,
+    filter_audit,
+    language_id,
     licenses,
     lm_scoring,
     neighbours,
+    periodic_runs,
     quality,
     sharding,
     simhash,
@@ -132,6 +135,39 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(rows, F.col("id") % 50 == 0)
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learnt from the rows outside the fold."""
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    return language_id.predicted(docs, language_id.fit(language_id.training_rows(docs)))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words, the longest of each text, and the text without repetitions."""
+    docs = documents(spark, folder, "doc_id", "text")
+    planted = periodic_runs.rewritten(F.col("doc_id"), F.col("text"))
+    found = docs.select("doc_id", periodic_runs.runs(planted).alias("of")).select("doc_id", "of.*")
+    longest = F.expr(
+        "array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"
+    )
+    listed = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.withColumn("most", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("most.start")).alias("start"),
+        F.col("most.length").alias("length"),
+        (-F.col("most.period")).alias("period"),
+        F.expr("1000 * most.length div -most.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each language, in every order of them."""
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    return filter_audit.audit(docs, labels_of(spark, folder), F.col("lang"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_lm_score": op2_lm_score,
@@ -143,4 +179,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_sample": op9_quality_sample,
     "op10_nearest": op10_nearest,
+    "op11_language_id": op11_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
