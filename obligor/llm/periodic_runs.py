@@ -24,6 +24,7 @@ by start, then period, and at most one run has a start and a length. Other colum
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,9 +224,11 @@ def find(texts: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
     """(start, length, period) of all runs of each text, and the text without repetitions."""
     split = [text.split() for text in texts]
     for part in _blocks(split):
-        known: dict[bytes, int] = {}
-        numbers = np.array([known.setdefault(w, len(known)) for words in split[part] for w in words], np.int64)
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
         sizes = np.array([len(words) for words in split[part]], np.int64)
+        each = (i for words in split[part] for i in map(number.__getitem__, words))
+        numbers = np.fromiter(each, np.int64, int(sizes.sum()))
         rows = block_runs(numbers, sizes)
         cuts = np.searchsorted(rows[:, 0], np.arange(sizes.size + 1))
         for k, words in enumerate(split[part]):
