@@ -6,16 +6,9 @@ import random
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import keyword_only
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +16,7 @@ from pyspark.sql import functions as F
 # Candidate order, scaling and the ranges parameters are drawn from.
 CANDIDATES = ("logistic_regression", "ridge_logistic_regression", "random_forest", "xgboost")
 SCALED = ("logistic_regression", "ridge_logistic_regression")
+BOOSTED = ("xgboost",)
 SEARCH_ITERATIONS = 8
 MAX_ITERATIONS = 2000
 CLASS_WEIGHTS = (None, "balanced")
@@ -74,7 +68,7 @@ def sample_params(
 def build_estimator(
     name: str, params: dict[str, Any], rows: int, num_classes: int = 2, seed: int = 42
 ) -> Estimator:
-    """Classifier over ``features``, ``default`` and ``weight``.
+    """Classifier of ``pyspark.ml`` over ``features``, ``default`` and ``weight``.
 
     ``rows`` is the sum of the training weights: C weighs the loss of all rows against
     the penalty, whereas ``regParam`` applies to the mean loss.
@@ -101,50 +95,13 @@ def build_estimator(
             featureSubsetStrategy="sqrt",
             seed=seed,
         )
-    if name == "xgboost":
-        boosted = GBTClassifier(
-            **common,
-            maxIter=params["n_estimators"],
-            maxDepth=params["max_depth"],
-            stepSize=params["learning_rate"],
-            subsamplingRate=params["subsample"],
-            featureSubsetStrategy=str(params["colsample"]),
-            seed=seed,
-        )
-        if num_classes == 2:
-            return boosted
-        return OneVsRest(classifier=boosted, featuresCol="features", labelCol="default")
     raise ValueError(f"Unknown candidate '{name}'. Known candidates: {', '.join(CANDIDATES)}")
 
 
-def gives_margins(name: str, num_classes: int) -> bool:
-    """One-vs-rest models only report a margin per class."""
-    return name == "xgboost" and num_classes > 2
-
-
 class ClassProbabilities(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Add the array ``probs`` and drop the vectors of the classifier.
-
-    From margins, each class gets the boosted-tree probability 1/(1+exp(-2m)); they are
-    then divided by their sum.
-    """
-
-    margins = Param(Params._dummy(), "margins", "input holds margins", TypeConverters.toBoolean)
-
-    @keyword_only
-    def __init__(self, *, margins: bool = False) -> None:
-        super().__init__()
-        self._setDefault(margins=False)
-        self._set(**self._input_kwargs)
+    """Add the array ``probs`` and drop the vectors of the classifier."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if self.getOrDefault(self.margins):
-            raw = vector_to_array(F.col("rawPrediction"))
-            odds = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-            scored = dataset.withColumn("_odds", odds)
-            total = F.aggregate("_odds", F.lit(0.0), lambda a, b: a + b)
-            probs = F.transform("_odds", lambda p: p / total)
-            return scored.withColumn("probs", probs).drop("_odds", *_VECTORS)
         return dataset.withColumn("probs", vector_to_array(F.col("probability"))).drop(*_VECTORS)
 
 

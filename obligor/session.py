@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,27 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    known = _scratch_paths.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Put this package on the path of Python workers of the same machine.
+
+    On a cluster the package is installed or handed over with ``--py-files``.
+    """
+    own = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    held = environment.get("PYTHONPATH", "")
+    if own not in held.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, held]))
+
+
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     """Write ``df`` once to the scratch area and read it back.
 
