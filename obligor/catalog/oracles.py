@@ -999,7 +999,31 @@ ORACLES["m2_balanced_rates"] = rate_query(
     "product_type", "(rates.pos / sums.pos) / (rates.pos / sums.pos + rates.neg / sums.neg)", 3
 )
 ORACLES["m3_split_rates"] = rate_query("is_urgent", "rates.p", 9)
-ORACLES["m4_split_odds"] = rate_query("is_urgent", "1 / (1 + exp(-2 * (2 * rates.p - 1)))", 9)
+# One round: the log odds of all rows, and a tenth of the Newton step of each side of the split.
+SHARE = "(sums.pos / (sums.pos + sums.neg))"
+STEP = f"""(rates.pos - (rates.pos + rates.neg) * {SHARE})
+  / ((rates.pos + rates.neg) * {SHARE} * (1 - {SHARE}) + 1)"""
+ORACLES["m4_split_odds"] = rate_query(
+    "is_urgent", f"1 / (1 + sums.neg / sums.pos * exp(-0.1::DOUBLE * {STEP}))", 9
+)
+THIRD = f"""b AS (SELECT * REPLACE (CASE WHEN is_urgent = 'Y' AND application_id % 3 = 0 THEN 2
+  ELSE {MOSTLY.format(f='is_urgent')} END AS y) FROM a)"""
+ORACLES["m4_split_classes"] = on_applicants(
+    f"""SELECT application_id, {r6('e0 / (e0 + e1 + e2)', 'p0', 9)}, {r6('e1 / (e0 + e1 + e2)', 'p1', 9)},
+       {r6('e2 / (e0 + e1 + e2)', 'p2', 9)}
+FROM (SELECT p.application_id, {', '.join(f'max(odds) FILTER (k = {k}) AS e{k}' for k in range(3))}
+      FROM parts p JOIN a USING (application_id) JOIN stepped USING (is_urgent)
+      WHERE p.split = 'test' GROUP BY 1)""",
+    THIRD,
+    *MARKED_SPLIT[1:],
+    """sides AS (
+  SELECT is_urgent, k, count(*)::DOUBLE AS n, sum((p.y = k)::INTEGER)::DOUBLE AS hits
+  FROM parts p JOIN a USING (application_id), range(3) classes(k) WHERE p.split = 'train' GROUP BY 1, 2)""",
+    "priors AS (SELECT k, sum(hits) / sum(n) AS share FROM sides GROUP BY k)",
+    """stepped AS (
+  SELECT is_urgent, k, share * exp(0.1::DOUBLE * (hits - n * share) / (2 * n * share * (1 - share) + 1)) AS odds
+  FROM sides JOIN priors USING (k))""",
+)
 
 OUT_OF_FOLD = (
     *MARKED_SPLIT,
@@ -1008,9 +1032,13 @@ OUT_OF_FOLD = (
     """flagged AS (SELECT f.*, a.is_urgent FROM folded f JOIN a USING (application_id))""",
     """cells AS (SELECT fold, is_urgent, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM flagged GROUP BY 1, 2)""",
     """others AS (
-  SELECT c.fold, c.is_urgent, (sum(o.pos)) / sum(o.n) AS p
+  SELECT c.fold, c.is_urgent, sum(o.pos) AS pos, sum(o.n) AS n, (sum(o.pos)) / sum(o.n) AS p
   FROM cells c JOIN cells o ON o.is_urgent = c.is_urgent AND o.fold <> c.fold GROUP BY 1, 2)""",
-    "oof AS (SELECT application_id, fold, y, p FROM flagged JOIN others USING (fold, is_urgent))",
+    "priors AS (SELECT fold, sum(pos) / sum(n) AS share FROM others GROUP BY fold)",
+    """oof AS (
+  SELECT application_id, fold, y, p,
+         1 / (1 + (1 - share) / share * exp(-0.1::DOUBLE * (pos - n * share) / (n * share * (1 - share) + 1))) AS q
+  FROM flagged JOIN others USING (fold, is_urgent) JOIN priors USING (fold))""",
 )
 ORACLES["t3_rates_out_of_fold"] = on_applicants(
     f"SELECT application_id, CAST(fold AS INTEGER) AS fold, y AS \"default\", {r6('p', 'pd', 9)} FROM oof",
@@ -1026,7 +1054,7 @@ ORACLES["m10_rates_experiment"] = on_applicants(
     f"""SELECT 'random_forest' AS model, {r6('avg(roc_auc)', 'cv_roc_auc_mean', 9)},
        {r6('(SELECT avg((y - p) * (y - p)) FROM oof)', 'cv_test_mse', 9)}, true AS champion FROM rank_metrics
 UNION ALL SELECT 'xgboost', {r6('avg(roc_auc)', 'x', 9)},
-       {r6('(SELECT avg((y - q) * (y - q)) FROM (SELECT y, 1 / (1 + exp(-2 * (2 * p - 1))) AS q FROM oof))', 'm', 9)}, false
+       {r6('(SELECT avg((y - q) * (y - q)) FROM oof)', 'm', 9)}, false
 FROM rank_metrics""",
     *OUT_OF_FOLD,
     *curve("oof", "y", "p", "fold"),

@@ -876,13 +876,12 @@ QUERIES["m4_boosted_trees"] = _candidate("xgboost")
 
 @query
 def m4_boosted_trees_multiclass(spark, sf):
-    """Three classes by one-vs-rest boosting; probabilities sum to one."""
+    """Three classes, one tree each a round; probabilities sum to one."""
     a = training_rows(spark, sf)
     third = F.when(F.col("late_lines") >= 3, 2).otherwise(F.col("default"))
     prepared = training.prepare(a.withColumn("default", third), config("xgboost"))
     fitted = training.fit_rows(prepared, prepared.train)
-    params = {**drawn("xgboost"), "n_estimators": SHORT_ROUNDS}
-    model = training.fit_model(prepared, "xgboost", params, prepared.train, fitted)
+    model = training.fit_model(prepared, "xgboost", drawn("xgboost"), prepared.train, fitted)
     return training.predictor(model)(prepared.test).select(ID, "default", "probs")
 
 
@@ -1135,6 +1134,21 @@ QUERIES["m3_split_rates"] = _rates("random_forest", "is_urgent", 9)
 QUERIES["m4_split_odds"] = _rates("xgboost", "is_urgent", 9)
 
 
+@query
+def m4_split_classes(spark, sf):
+    """One round for three classes: a leaf per class and side of the split."""
+    third = F.when((F.col("is_urgent") == "Y") & (F.col(ID) % 3 == 0), 2)
+    rows = view(spark, sf, "is_urgent").select(
+        ID, "is_urgent", third.otherwise(mostly(F.col("is_urgent"))).alias("default")
+    )
+    prepared = training.prepare(rows, rate_config("xgboost"))
+    fitted = training.fit_rows(prepared, prepared.train)
+    model = training.fit_model(prepared, "xgboost", RATES["xgboost"], prepared.train, fitted)
+    probs = [F.col("probs")[k].alias(f"p{k}") for k in range(3)]
+    scored = training.predictor(model)(prepared.test).select(ID, *probs)
+    return rounded(scored, "p0", "p1", "p2", digits=9)
+
+
 @query
 def t3_rates_out_of_fold(spark, sf):
     """Each row gets the rate of the other folds."""

@@ -671,6 +671,7 @@ def boost(
         )
         rows = own if rows is None else rows.unionByName(own)
     facts = rows.groupBy("part", "label").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.sum("weight").alias("weight"),
         F.max(F.coalesce("vector.size", F.size("vector.values"))).alias("width"),
     ).collect()
@@ -679,7 +680,10 @@ def boost(
         raise ValueError("Boosting needs rows in every part.")
     layouts = _layouts(rows, widths)
     path = scratch_path(spark, "blocks")
-    rows.mapInArrow(_packed(layouts, {p: len(params) for p in widths}, classes), _BLOCKS).write.parquet(path)
+    # Small inputs are not dealt thinner than half a block: a pass costs a fixed time per task.
+    tasks = max(1, 2 * sum(r["rows"] for r in facts) // BLOCK_ROWS)
+    packed = rows.coalesce(tasks).mapInArrow(_packed(layouts, {p: len(params) for p in widths}, classes), _BLOCKS)
+    packed.write.parquet(path)
 
     def start_of(part: int) -> np.ndarray:
         total = sum(r["weight"] for r in facts if r["part"] == part)
