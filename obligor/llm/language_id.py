@@ -188,9 +188,13 @@ def _picked(rows: DataFrame, most: int) -> DataFrame:
     """
     texts = rows.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("id").alias("id"))
     texts = pin(texts, "language-texts")
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # One number per language: the cut is a projection, so nothing is dealt by language before it.
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return texts.withColumn("place", F.lit(0))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 4.0 * most / r["n"]))])
     unit = F.col("hash") / F.lit(2.0**64) + 0.5
-    near = texts.join(sizes, "lang").where(unit <= F.lit(4.0 * most) / F.col("n"))
+    near = texts.where(unit <= share[F.col("lang")])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
     return near.withColumn("place", place).where(F.col("place") <= most).select("lang", "hash", "id", "place")
 
