@@ -150,7 +150,7 @@ def cut_points(summary: Summary, most: int = MAX_BINS) -> np.ndarray:
 _PIECES = "part int, column int, salt int, task long, numbers binary, counts binary"
 
 
-def _floats(data: bytes) -> np.ndarray:
+def floats(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<f8")
 
 
@@ -166,18 +166,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[int(part), column].add(values)
     task = TaskContext.get().partitionId()
     rows = [(p, c, task % _SALTS, task, *(a.astype("<f8").tobytes() for a in s.summary())) for (p, c), s in held.items()]
-    yield from _batch(rows, _PIECES)
+    yield from batch_of(rows, _PIECES)
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("task")
-    summary = merge([(_floats(v), _floats(c)) for v, c in zip(group["numbers"], group["counts"], strict=True)])
+    summary = merge([(floats(v), floats(c)) for v, c in zip(group["numbers"], group["counts"], strict=True)])
     first = group.iloc[:1].copy()
     first["numbers"], first["counts"] = [summary[0].astype("<f8").tobytes()], [summary[1].astype("<f8").tobytes()]
     return first
 
 
-def _batch(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+def batch_of(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     fields = [field.split() for field in schema.split(", ")]
     arrays = [pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)]
@@ -221,7 +221,7 @@ def _layouts(rows: DataFrame, widths: Mapping[int, int]) -> dict[int, Layout]:
         pieces = pieces.groupBy(*keys).applyInPandas(_merged, _PIECES)
     cuts: dict[int, dict[int, np.ndarray]] = {part: {} for part in widths}
     for row in pieces.select("part", "column", "numbers", "counts").collect():
-        cuts[row["part"]][row["column"]] = cut_points((_floats(row["numbers"]), _floats(row["counts"])))
+        cuts[row["part"]][row["column"]] = cut_points((floats(row["numbers"]), floats(row["counts"])))
     return {part: Layout(width, cuts[part]) for part, width in widths.items()}
 
 
@@ -246,10 +246,10 @@ def _packed(layouts: Mapping[int, Layout], counts: Mapping[int, int], classes: i
                 held[part].append(own)
                 sizes[part] += own.num_rows
                 if sizes[part] >= BLOCK_ROWS:
-                    yield from _batch([block(part, held.pop(part))], _BLOCKS)
+                    yield from batch_of([block(part, held.pop(part))], _BLOCKS)
                     sizes[part] = 0
         for part, batches_left in held.items():
-            yield from _batch([block(part, batches_left)], _BLOCKS)
+            yield from batch_of([block(part, batches_left)], _BLOCKS)
 
     def block(part: int, batches: list[pa.RecordBatch]) -> tuple:
         table = pa.Table.from_batches(batches).combine_chunks()
@@ -285,12 +285,12 @@ class Block:
     def __init__(self, row: Mapping[str, Any], layout: Layout, classes: int):
         self.part, self.rows, self.layout = row["part"], row["rows"], layout
         self.labels = np.frombuffer(row["labels"], "<i4")
-        self.weights = _floats(row["weights"])
+        self.weights = floats(row["weights"])
         self.keys = np.frombuffer(row["keys"], "<u8")
         self.entry_rows = np.frombuffer(row["entry_rows"], "<i4")
         self.entry_bins = np.frombuffer(row["entry_bins"], "<i4")
         self.ends = np.frombuffer(row["ends"], "<i8")
-        self.margins = _floats(row["margins"]).reshape(-1, classes, self.rows)
+        self.margins = floats(row["margins"]).reshape(-1, classes, self.rows)
         self._columns: dict[int, np.ndarray] = {}
 
     def column(self, at: int) -> np.ndarray:
@@ -461,7 +461,7 @@ def _summed(tasks: Sequence[Task], layouts: Mapping[int, Layout], classes: int,
             for chunk, (first, last) in enumerate(layout.chunks()):
                 some = sums[:, :, layout.offsets[first] : layout.offsets[last]]
                 data = np.concatenate([some, sums[:, :, -1:]], axis=2)
-                yield from _batch([(part, at, own, chunk, me, data.astype("<f8").tobytes())], _SUMS)
+                yield from batch_of([(part, at, own, chunk, me, data.astype("<f8").tobytes())], _SUMS)
 
     return run
 
@@ -529,7 +529,7 @@ class Pass:
                 return pd.DataFrame([(*key, data)], columns=[*keys, "cuts"])
 
             cuts = sums.groupBy(*keys).applyInPandas(chosen, _CUTS)
-            found = [(*(row[k] for k in keys), _floats(row["cuts"]).reshape(-1, _CUT)) for row in cuts.collect()]
+            found = [(*(row[k] for k in keys), floats(row["cuts"]).reshape(-1, _CUT)) for row in cuts.collect()]
         out: dict[tuple[int, int, int], np.ndarray] = {}
         for part, at, own, _, cuts in sorted(found, key=lambda row: row[:4]):
             known = out.setdefault((part, at, own), cuts)
@@ -544,7 +544,7 @@ class Pass:
         size = layout.offsets[last] - layout.offsets[first] + 1
         total = np.zeros(len(pieces[0]) // 8)
         for piece in pieces:
-            total = total + _floats(piece)
+            total = total + floats(piece)
         return best_cuts(total.reshape(2, -1, size), layout, first, last, self.columns[part, at, own])
 
 
@@ -734,7 +734,7 @@ def _rewritten(
                 if task.part == block.part:
                     margins[task.at] = task.margins(block) - task.start[:, None]
             row["margins"] = margins.astype("<f8").tobytes()
-            yield from _batch([tuple(row.values())], _BLOCKS)
+            yield from batch_of([tuple(row.values())], _BLOCKS)
 
     path = scratch_path(spark, "blocks")
     blocks.mapInArrow(run, _BLOCKS).write.parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Candidate order, scaling and the ranges parameters are drawn from.
 CANDIDATES = ("logistic_regression", "ridge_logistic_regression", "random_forest", "xgboost")
 SCALED = ("logistic_regression", "ridge_logistic_regression")
+LINEAR = SCALED
 BOOSTED = ("xgboost",)
 SEARCH_ITERATIONS = 8
 MAX_ITERATIONS = 2000
@@ -65,28 +66,12 @@ def sample_params(
     ]
 
 
-def build_estimator(
-    name: str, params: dict[str, Any], rows: int, num_classes: int = 2, seed: int = 42
-) -> Estimator:
-    """Classifier of ``pyspark.ml`` over ``features``, ``default`` and ``weight``.
-
-    ``rows`` is the sum of the training weights: C weighs the loss of all rows against
-    the penalty, whereas ``regParam`` applies to the mean loss.
-    """
-    common = {"featuresCol": "features", "labelCol": "default"}
-    if name in SCALED:
-        return LogisticRegression(
-            **common,
-            weightCol="weight",
-            elasticNetParam=0.0,
-            regParam=1.0 / (params["C"] * rows),
-            standardization=False,
-            maxIter=params.get("max_iter", MAX_ITERATIONS),
-            family="multinomial" if num_classes > 2 else "binomial",
-        )
+def build_estimator(name: str, params: dict[str, Any], seed: int = 42) -> Estimator:
+    """Classifier of ``pyspark.ml`` over ``features``, ``default`` and ``weight``."""
     if name == "random_forest":
         return RandomForestClassifier(
-            **common,
+            featuresCol="features",
+            labelCol="default",
             weightCol="weight",
             numTrees=params["n_estimators"],
             maxDepth=params["max_depth"] or DEEPEST,
