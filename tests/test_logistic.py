@@ -57,9 +57,11 @@ def test_equal_to_separate_fits(spark, classes, monkeypatch):
             assert np.allclose(found.weights[0][:-1], own.coefficients.toArray(), atol=2e-4)
     monkeypatch.setattr(logistic, "DRIVER_BYTES", 0)
     monkeypatch.setattr(logistic, "STATE_BYTES", 1)
+    monkeypatch.setattr(logistic, "CROSSED_WIDTH", 2)
     again = logistic.fit_all(parts[:1], PARAMS[:2], weights, classes, "y")
     for key, found in again.items():
-        assert np.allclose(found.weights, fits[key].weights, atol=1e-10)
+        assert np.allclose(probabilities(parts[0], logistic.LogisticModel(model=found.to_json())),
+                           probabilities(parts[0], logistic.LogisticModel(model=fits[key].to_json())), atol=1e-5)
 
 
 def test_gradient_is_that_of_the_loss():
@@ -89,7 +91,7 @@ def test_number_of_passes_is_that_of_the_slowest_fit(spark, monkeypatch):
         alone.append(len(passes))
         passes.clear()
     logistic.fit_all([df, df, df], PARAMS[:2], [weights_of(df)] * 3, 2, "y")
-    assert len(passes) <= max(alone) + 1
+    assert len(passes) <= max(alone) + 1 <= 20
 
 
 def test_empty_vectors_and_a_missing_part(spark):
