@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from obligor.functions.numeric import is_floating, known
 from obligor.operators.profile import CHUNK, SchemaProfile
 from obligor.operators.running import dense_index
-from obligor.operators.selection import column_quantiles
+from obligor.operators.selection import MAX_GROUPS, column_quantiles, quantiles
 from obligor.session import col, pin, small_table
 
 # Clipping quantiles and the skew from which a column is clipped.
@@ -251,6 +251,245 @@ def fit_encoder(
     return state
 
 
+# --- the encoders of all folds --------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Part:
+    """Central sums of some values, which add up to those of several parts."""
+
+    rows: int = 0
+    mean: float = 0.0
+    squares: float = 0.0
+    cubes: float = 0.0
+    low: float = math.inf
+    high: float = -math.inf
+
+    @staticmethod
+    def of(rows: int, mean: float, variance: float, skew: float | None, low: float, high: float) -> Part:
+        squares = variance * rows
+        undefined = skew is None or math.isnan(skew)
+        cubes = 0.0 if undefined else skew * squares**1.5 / math.sqrt(rows)
+        return Part(rows, mean, squares, cubes, low, high)
+
+    def __add__(self, other: Part) -> Part:
+        if not self.rows or not other.rows:
+            return self if self.rows else other
+        a, b = self.rows, other.rows
+        n, gap = a + b, other.mean - self.mean
+        return Part(
+            n,
+            self.mean + gap * b / n,
+            self.squares + other.squares + gap**2 * a * b / n,
+            self.cubes
+            + other.cubes
+            + gap**3 * a * b * (a - b) / n**2
+            + 3 * gap * (a * other.squares - b * self.squares) / n,
+            min(self.low, other.low),
+            max(self.high, other.high),
+        )
+
+    def moments(self) -> Moments:
+        """Equal values have no deviation, whatever rounding says."""
+        n = self.rows
+        if self.low == self.high or not self.squares:
+            return Moments(self.mean, 1.0, 0.0)
+        skew = math.sqrt(n) * self.cubes / self.squares**1.5
+        factor = math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else 0.0
+        return Moments(self.mean, math.sqrt(self.squares / n), abs(skew * factor))
+
+
+ALL_ROWS = "all"
+
+
+def _group(fold: int | None) -> str:
+    return ALL_ROWS if fold is None else str(fold)
+
+
+def _groups(fold_col: str, folds: Sequence[int]) -> Column:
+    """The groups that a row belongs to: all rows, and the rest of every other fold."""
+    others = [F.when(col(fold_col) != k, F.lit(_group(k))) for k in folds]
+    return F.array_compact(F.array(F.lit(ALL_ROWS), *others))
+
+
+def _grouped_values(df: DataFrame, columns: Sequence[str], fold_col: str, folds: Sequence[int]) -> DataFrame:
+    """(g, v): numeric columns with missing values, once for each group of the row."""
+    wide = df.select(
+        _groups(fold_col, folds).alias("_groups"), *[known(col(c).cast("double")).alias(c) for c in columns]
+    )
+    long = wide.unpivot(["_groups"], [col(c) for c in columns], "c", "v")
+    return long.select(F.explode("_groups").alias("group"), "c", "v").select(
+        F.concat_ws(":", "group", "c").alias("g"), "v"
+    )
+
+
+def _parts(df: DataFrame, columns: Sequence[str], fold_col: str) -> dict[tuple[int, str], tuple[Part, int]]:
+    """Central sums of the known values and the number of missing ones, per fold and column."""
+    result = {}
+    for at in range(0, len(columns), CHUNK):
+        part = list(columns)[at : at + CHUNK]
+        aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(part):
+            v = known(col(c).cast("double"))
+            for name, of in (("n", F.count), ("m", F.avg), ("v", F.var_pop), ("s", F.skewness), ("a", F.min), ("z", F.max)):
+                aggs.append(of(v).alias(f"{name}{i}"))
+        for row in df.groupBy(col(fold_col).alias("_fold")).agg(*aggs).collect():
+            for i, c in enumerate(part):
+                facts = [row[f"{name}{i}"] for name in "nmvsaz"]
+                held = Part.of(*facts) if facts[0] else Part()
+                result[row["_fold"], c] = (held, row["rows"] - facts[0])
+    return result
+
+
+def fit_encoders(
+    df: DataFrame,
+    profile: SchemaProfile,
+    orders: Mapping[str, Sequence[Any]],
+    fold_col: str,
+    folds: Sequence[int],
+    max_categories: int = MAX_CATEGORIES,
+) -> dict[int | None, EncoderState]:
+    """What ``fit_encoder`` learns from all rows (``None``) and from the rest of every fold.
+
+    All of them share their jobs: central sums and category counts are taken once per fold
+    and added up, and one search finds the ranks of all groups, so the number of jobs does not
+    depend on that of folds.
+    """
+    wanted: list[int | None] = [None, *folds]
+    states = {
+        k: EncoderState(
+            boolean=list(profile.boolean),
+            ordinal=list(profile.ordinal),
+            categorical=list(profile.categorical),
+            orders={c: [_text_value(v) for v in orders[c]] for c in profile.ordinal},
+        )
+        for k in wanted
+    }
+    _fit_numeric(df, profile.numeric, fold_col, folds, states)
+    _fit_categories(df, fold_col, folds, states, max_categories)
+    return states
+
+
+def _fit_numeric(
+    df: DataFrame, columns: Sequence[str], fold_col: str, folds: Sequence[int], states: dict[int | None, EncoderState]
+) -> None:
+    if not columns:
+        return
+    step = max(1, MAX_GROUPS // 10 // len(states))
+    chunks = [list(columns)[at : at + step] for at in range(0, len(columns), step)]
+    middles: dict[str, list[float]] = {}
+    for part in chunks:
+        values = _grouped_values(df, part, fold_col, folds).where("v is not null")
+        middles.update(quantiles(values, [0.5]))
+    parts = _parts(df, columns, fold_col)
+    found: dict[tuple[int | None, str], Moments] = {}
+    for k, state in states.items():
+        names = [(c, f"{_group(k)}:{c}") for c in columns]
+        state.fills = {c: middles[g][0] for c, g in names if g in middles}
+        state.numeric = list(state.fills)
+        for c, fill in state.fills.items():
+            total, missing = Part(), 0
+            for (fold, name), (part, gaps) in parts.items():
+                if name == c and fold != k:
+                    total, missing = total + part, missing + gaps
+            filled = total + Part(missing, fill, 0.0, 0.0, fill, fill)
+            found[k, c] = filled.moments()
+    heavy = [(k, c) for (k, c), m in found.items() if m.skew >= SKEW_THRESHOLD]
+    for (k, c), bounds in _fold_clips(df, heavy, fold_col, folds, states, step).items():
+        states[k].clips[c] = [bounds.low, bounds.high]
+    found.update(_clipped_moments(df, heavy, fold_col, states))
+    for k, state in states.items():
+        state.clips = {c: state.clips[c] for c in state.numeric if c in state.clips}
+        state.scales = {c: [found[k, c].mean, found[k, c].deviation] for c in state.numeric}
+
+
+def _fold_clips(
+    df: DataFrame,
+    heavy: Sequence[tuple[int | None, str]],
+    fold_col: str,
+    folds: Sequence[int],
+    states: Mapping[int | None, EncoderState],
+    step: int,
+) -> dict[tuple[int | None, str], Clip]:
+    """Clip bounds of the imputed values of the heavy-tailed columns of each group."""
+    columns = list(dict.fromkeys(c for _, c in heavy))
+    bounds: dict[tuple[int | None, str], Clip] = {}
+    for at in range(0, len(columns), step):
+        part = columns[at : at + step]
+        fills = [(f"{_group(k)}:{c}", states[k].fills[c]) for k, c in heavy if c in part]
+        # One row per group and column.
+        table = F.broadcast(small_table(df.sparkSession, fills, "g string, fill double"))
+        values = _grouped_values(df, part, fold_col, folds).join(table, "g")
+        cuts = quantiles(values.select("g", F.coalesce("v", "fill").alias("v")), [CLIP_LOW, CLIP_HIGH])
+        bounds.update({(k, c): Clip(*cuts[f"{_group(k)}:{c}"]) for k, c in heavy if c in part})
+    return bounds
+
+
+def _clipped_moments(
+    df: DataFrame, heavy: Sequence[tuple[int | None, str]], fold_col: str, states: Mapping[int | None, EncoderState]
+) -> dict[tuple[int | None, str], Moments]:
+    result = {}
+    for at in range(0, len(heavy), CHUNK):
+        part = heavy[at : at + CHUNK]
+        aggs = []
+        for i, (k, c) in enumerate(part):
+            value = clip_value(_filled(c, states[k].fills[c]), Clip(*states[k].clips[c]))
+            own = value if k is None else F.when(col(fold_col) != k, value)
+            aggs += [F.avg(own).alias(f"m{i}"), F.stddev_pop(own).alias(f"d{i}")]
+        row = df.agg(*aggs).first()
+        result.update({key: Moments(row[f"m{i}"], row[f"d{i}"] or 1.0, 0.0) for i, key in enumerate(part)})
+    return result
+
+
+def _fit_categories(
+    df: DataFrame,
+    fold_col: str,
+    folds: Sequence[int],
+    states: dict[int | None, EncoderState],
+    max_categories: int,
+) -> None:
+    first = states[None]
+    coded = list(dict.fromkeys([*first.boolean, *first.ordinal, *first.categorical]))
+    if not coded:
+        return
+    wide = df.select(col(fold_col).alias("_fold"), *[category_text(df, c).alias(c) for c in coded])
+    counts = pin(
+        wide.unpivot(["_fold"], [col(c) for c in coded], "column", "value")
+        .where("value is not null")
+        .groupBy("_fold", "column", "value")
+        .agg(F.count(F.lit(1)).alias("rows")),
+        "fold-categories",
+    )
+    numeric = [c for c in coded if isinstance(df.schema[c].dataType, T.NumericType)]
+    grouped = (
+        counts.select(F.explode(_groups("_fold", folds)).alias("group"), "column", "value", "rows")
+        .groupBy(F.concat_ws(":", "group", "column").alias("column"), "value")
+        .agg(F.sum("rows").alias("rows"))
+    )
+    names = [f"{_group(k)}:{c}" for k in states for c in numeric]
+    modes = {r["column"]: r for r in most_frequent(grouped, names).collect()}
+    listed = list(dict.fromkeys([*first.boolean, *first.categorical]))
+    for k, state in states.items():
+        own = {c: modes.get(f"{_group(k)}:{c}") for c in coded}
+        state.modes = {c: r["value"] for c, r in own.items() if r}
+        state.sizes = {c: r["categories"] if r else 0 for c, r in own.items()}
+        held = sum(state.sizes[c] for c in listed)
+        if held > max_categories:
+            raise ValueError(f"{held} categories; a model holds {max_categories} at most.")
+    lists: dict[int | None, dict[str, list[str]]] = {k: {c: [] for c in listed} for k in states}
+    if listed:
+        # A value is known to the rest of a fold if any other fold has it.
+        spread = counts.where(F.col("column").isin(*listed)).groupBy("column", "value").agg(
+            F.min("_fold").alias("low"), F.max("_fold").alias("high")
+        )
+        for row in spread.toLocalIterator():
+            for k, values in lists.items():
+                if k is None or row["low"] != k or row["high"] != k:
+                    values[row["column"]].append(row["value"])
+    for k, state in states.items():
+        state.values = {c: sorted(v, key=sort_key(df, c)) for c, v in lists[k].items()}
+
+
 def numeric_value(state: EncoderState, name: str, scaled: bool) -> Column:
     value = _filled(name, state.fills[name])
     if name in state.clips:
@@ -368,18 +607,20 @@ def encoded_columns(state: EncoderState) -> list[str]:
 def vector_stages(spark, state: EncoderState) -> list:
     """Sparse one-hot vectors and the assembled ``features`` vector.
 
-    The encoder is fitted on one row holding the number of categories of each column;
-    that code is also the unknown one and is the slot that gets dropped.
+    The number of categories of each column comes with the names of a row that stands for the
+    table, so nothing is scanned; that code is also the unknown one and is the slot that gets dropped.
     """
     stages: list = []
     inputs = encoded_columns(state)
     if state.categorical:
         names = [f"cat__{c}" for c in state.categorical]
         hot = [f"hot__{c}" for c in state.categorical]
-        largest = small_table(
-        spark,
-        [tuple(float(state.sizes[c]) for c in state.categorical)],
-            T.StructType([T.StructField(n, T.DoubleType()) for n in names]),
+        kinds = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+        largest = small_table(spark, [tuple(float(state.sizes[c]) for c in state.categorical)], kinds).select(
+            *[
+                col(n).alias(n, metadata={"ml_attr": {"type": "nominal", "num_vals": state.sizes[c] + 1}})
+                for n, c in zip(names, state.categorical, strict=True)
+            ]
         )
         stages.append(OneHotEncoder(inputCols=names, outputCols=hot, dropLast=True).fit(largest))
         inputs = [n for n in inputs if not n.startswith("cat__")] + hot
