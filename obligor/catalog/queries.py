@@ -840,10 +840,6 @@ def config(*candidates: str, **options) -> training.TrainConfig:
     return training.TrainConfig(id_col=ID, candidates=candidates, as_of=AS_OF, **options)
 
 
-# Boosting rounds where a query fits many boosted models.
-SHORT_ROUNDS = 20
-
-
 def drawn(name: str) -> dict:
     """The first parameter set of the random search."""
     return config(name).params(name)[0]
@@ -908,7 +904,7 @@ def m6_random_search(spark, sf):
 @query
 def g18_honest_threshold(spark, sf):
     """Cutoff learned out of fold, applied to the test rows as it is."""
-    prepared, states = _fold_state(spark, sf, "ridge_logistic_regression", iterations=2)
+    prepared, states = _fold_state(spark, sf, "ridge_logistic_regression")
     metrics, _, scores = training.run_candidate(prepared, "ridge_logistic_regression", states)
     flat = scores.select("default", F.col("probs")[1].alias("pd"))
     return thresholds.threshold_metrics(flat, "default", "pd", metrics["threshold"])
@@ -935,13 +931,8 @@ def _experiment(spark, sf, *candidates, progress=None, **options):
 
 @query
 def m10_train_experiment(spark, sf):
-    """All candidates compared, one drawn set each; the long metrics table.
-
-    Boosting stops after ``SHORT_ROUNDS``: its rounds are jobs that follow one another.
-    """
-    sets = {c: [drawn(c)] for c in training.CANDIDATES}
-    sets["xgboost"][0]["n_estimators"] = SHORT_ROUNDS
-    result = _experiment(spark, sf, *training.CANDIDATES, space=sets)
+    """All candidates compared, one drawn set each; the long metrics table."""
+    result = _experiment(spark, sf, *training.CANDIDATES, iterations=1)
     return sinks.metrics_frame(spark, result.comparison).withColumn(
         "champion", F.lit(result.champion)
     )
@@ -956,7 +947,6 @@ def m11_progress(spark, sf):
         sf,
         "logistic_regression",
         "ridge_logistic_regression",
-        iterations=1,
         progress=lambda done, total, seconds: steps.append(
             (done, total, training.seconds_left(done, total, seconds) > 0)
         ),
