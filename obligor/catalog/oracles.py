@@ -263,7 +263,7 @@ ORACLES["p12_top_missing"] = on_applicants(
 FROM (SELECT * FROM typed ORDER BY missing_rate DESC, column_name LIMIT 20) WHERE missing_rate > 0""",
     *PROFILED,
 )
-ORACLES["p9_target_candidates"] = on_applicants(
+ORACLES["p9_previewed"] = ORACLES["p9_target_candidates"] = on_applicants(
     """SELECT column_name, CAST(len(v) AS BIGINT) AS classes,
        CASE WHEN v = ['0', '1'] THEN 'already 0/1 (assumes 1 = positive/default outcome)'
             WHEN len(v) = 2 THEN '''' || v[1] || ''' / ''' || v[2] || ''' — you''ll choose which is positive'
@@ -891,37 +891,6 @@ ORACLES["s6_bundle_round_trip"] = on_applicants(
 # --- explanations -------------------------------------------------------------------
 
 _COMPARED = ("loan_amount", "income", "age", "late_lines", "payment_lines", "credit_limit")
-IMPORTANCE = (
-    "importance AS ("
-    + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(abs(avg({c}) FILTER (WHERE y = 1)"
-        f" - avg({c}) FILTER (WHERE y = 0)) / avg({c}), 9) AS importance_mean FROM a"
-        for c in _COMPARED
-    )
-    + ")"
-)
-ORACLES["x4_top_importance"] = on_applicants(
-    f"""SELECT feature, {r6('importance_mean', 'importance_mean')}
-FROM importance ORDER BY importance.importance_mean DESC, feature LIMIT 4""",
-    IMPORTANCE,
-)
-ORACLES["x5_feature_report"] = on_applicants(
-    f"""SELECT section, position, column_name AS name, NULL::DOUBLE AS value FROM report
-WHERE section IN ('original', 'derived', 'dropped')
-UNION ALL
-SELECT 'missing', CAST(row_number() OVER (ORDER BY missing_rate DESC, column_name) - 1 AS INTEGER),
-       column_name, round(missing_rate, 6)
-FROM facts WHERE spot < {len(_INPUTS)} AND missing_rate > 0
-UNION ALL
-SELECT 'encoding', CAST(row_number() OVER (ORDER BY kind) - 1 AS INTEGER), kind, columns::DOUBLE FROM kinds
-UNION ALL
-SELECT 'importance', CAST(row_number() OVER (ORDER BY importance_mean DESC, feature) - 1 AS INTEGER),
-       feature, round(importance_mean, 6) FROM importance""",
-    *REPORT,
-    ENCODING_COUNTS,
-    IMPORTANCE,
-)
-
 DEPENDENCE = """
 grids AS (
   SELECT 'loan_amount' AS feature,
@@ -1059,6 +1028,11 @@ FROM rank_metrics""",
     *OUT_OF_FOLD,
     *curve("oof", "y", "p", "fold"),
 )
+ORACLES["m10_analyzed"] = on_applicants(
+    f"""SELECT 'random_forest' AS model, {r6('(SELECT avg((y - p) * (y - p)) FROM oof)', 'cv_test_mse', 9)}
+UNION ALL SELECT 'xgboost', {r6('(SELECT avg((y - q) * (y - q)) FROM oof)', 'm', 9)}""",
+    *OUT_OF_FOLD,
+)
 ORACLES["m11_rates_progress"] = (
     "SELECT CAST(done AS INTEGER) AS done, CAST(2 AS INTEGER) AS total, done < 2 AS time_left"
     " FROM range(1, 3) t(done)"
@@ -1097,9 +1071,8 @@ _MAPS = ", ".join(
     f"({i}, {step}::BIGINT, {shift}::BIGINT)"
     for i, (step, shift) in enumerate(islice(candidate_maps(42), 60))
 )
-ORACLES["x1_rule_importance"] = on_applicants(
-    f"""SELECT feature, {r6('avg(base - roc_auc)', 'importance_mean')}, {r6('stddev_pop(base - roc_auc)', 'importance_std')}
-FROM rank_metrics, (SELECT roc_auc AS base FROM rank_metrics WHERE feature = '') WHERE feature <> '' GROUP BY feature""",
+# Permutation importance of the closed-form model.
+PERMUTED = (
     f"""numbered AS (SELECT a.*, row_number() OVER (ORDER BY {KEY}, application_id) - 1 AS i, count(*) OVER () AS n FROM a)""",
     f"""maps AS (
   SELECT row_number() OVER (ORDER BY pos) AS r, step, shift FROM (VALUES {_MAPS}) m(pos, step, shift)
@@ -1114,6 +1087,34 @@ FROM rank_metrics, (SELECT roc_auc AS base FROM rank_metrics WHERE feature = '')
   UNION ALL SELECT 'age', r, y, 0.1::DOUBLE + xl / 1000000 + 0.05::DOUBLE * xt * za / 80 FROM paired
   UNION ALL SELECT '', 0, y, 0.1::DOUBLE + loan_amount / 1000000 + 0.05::DOUBLE * late_lines * age / 80 FROM a)""",
     *curve("scored", "y", "p", "feature, r"),
+    """importance AS (
+  SELECT feature, avg(base - roc_auc) AS importance_mean, stddev_pop(base - roc_auc) AS importance_std
+  FROM rank_metrics, (SELECT roc_auc AS base FROM rank_metrics WHERE feature = '') WHERE feature <> '' GROUP BY feature)""",
+)
+ORACLES["x1_rule_importance"] = on_applicants(
+    f"SELECT feature, {r6('importance_mean', 'importance_mean')}, {r6('importance_std', 'importance_std')} FROM importance",
+    *PERMUTED,
+)
+ORACLES["x4_top_importance"] = on_applicants(
+    f"""SELECT feature, {r6('importance_mean', 'importance_mean')}
+FROM importance ORDER BY importance.importance_mean DESC, feature LIMIT 2""",
+    *PERMUTED,
+)
+ORACLES["x5_feature_report"] = on_applicants(
+    f"""SELECT section, position, column_name AS name, NULL::DOUBLE AS value FROM report
+WHERE section IN ('original', 'derived', 'dropped')
+UNION ALL
+SELECT 'missing', CAST(row_number() OVER (ORDER BY missing_rate DESC, column_name) - 1 AS INTEGER),
+       column_name, round(missing_rate, 6)
+FROM facts WHERE spot < {len(_INPUTS)} AND missing_rate > 0
+UNION ALL
+SELECT 'encoding', CAST(row_number() OVER (ORDER BY kind) - 1 AS INTEGER), kind, columns::DOUBLE FROM kinds
+UNION ALL
+SELECT 'importance', CAST(row_number() OVER (ORDER BY importance_mean DESC, feature) - 1 AS INTEGER),
+       feature, round(importance_mean, 6) FROM importance""",
+    *REPORT,
+    ENCODING_COUNTS,
+    *PERMUTED,
 )
 ORACLES["x3_rule_total"] = on_applicants(
     f"SELECT application_id, {r6('p - avg(p) OVER ()', 'total')} FROM picked",

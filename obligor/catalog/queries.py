@@ -26,7 +26,7 @@ from obligor.operators import (
     weights,
     woe,
 )
-from obligor.plans import reporting, scoring, training
+from obligor.plans import analyze, reporting, scoring, training
 from obligor.plans.applicants import ID, applicants, class_weights_by_id, features_only, table
 from obligor.session import pin, scratch_path, small_table
 from obligor.sources import bundles, policy, readers, sinks
@@ -1179,6 +1179,23 @@ def m10_rates_experiment(spark, sf):
     return rounded(frame, "cv_roc_auc_mean", "cv_test_mse", digits=9)
 
 
+@query
+def m10_analyzed(spark, sf):
+    """The whole way from a text target to compared models: errors out of fold."""
+    rows = rate_rows(spark, sf, "is_urgent")
+    named = rows.withColumn("outcome", F.when(F.col("default") == 1, "bad").otherwise("good")).drop("default")
+    settings = rate_config("random_forest", "xgboost")
+    result = analyze.analyze(pin(named, "named"), "outcome", settings, positive="bad", folds=5)
+    return rounded(result.leaderboard.select("model", "cv_test_mse"), "cv_test_mse", digits=9)
+
+
+@query
+def p9_previewed(spark, sf):
+    """Target candidates that the preview of the whole table shows."""
+    found = analyze.preview(profiled(spark, sf), ID).candidates
+    return found.withColumnRenamed("column", "column_name")
+
+
 @query
 def m11_rates_progress(spark, sf):
     """One call per candidate; nothing is left after the last one."""
@@ -1258,13 +1275,16 @@ def d4_rates_streamed(spark, sf):
     return rounded(scored, "probability_default", digits=9)
 
 
-@query
-def x1_rule_importance(spark, sf):
+def _rule_importance(spark, sf):
     """Permutation importance of the closed-form model, rows paired by plain arithmetic."""
     a = view(spark, sf, "y", *RULE_FEATURES)
     key = splitting.portable_key(ID, SEED)
-    out = explain.permutation_importance(a, rule_model, "y", list(RULE_FEATURES), ID, key=key)
-    return rounded(out, "importance_mean", "importance_std")
+    return explain.permutation_importance(a, rule_model, "y", list(RULE_FEATURES), ID, key=key)
+
+
+@query
+def x1_rule_importance(spark, sf):
+    return rounded(_rule_importance(spark, sf), "importance_mean", "importance_std")
 
 
 @query
@@ -1387,27 +1407,17 @@ def x3_shapley_summary(spark, sf):
     return explain.shapley_summary(training.encoded_shapley(bundle.model, prepared.test, ID))
 
 
-def _mean_by_grade(spark, sf):
-    """A simple importance: how far each feature's mean differs between outcomes."""
-    a = applicants(spark, sf)
-    numeric = ("loan_amount", "income", "age", "late_lines", "payment_lines", "credit_limit")
-    wide = a.select("y", *[F.col(c).cast("double").alias(c) for c in numeric])
-    long = wide.unpivot(["y"], list(numeric), "feature", "value")
-    bad, good = (F.avg(F.when(F.col("y") == k, F.col("value"))) for k in (1, 0))
-    gap = F.round(F.abs(bad - good) / F.avg("value"), 9)
-    return long.groupBy("feature").agg(gap.alias("importance_mean"))
-
-
 @query
 def x4_top_importance(spark, sf):
-    return rounded(explain.top_importance(_mean_by_grade(spark, sf), 4), "importance_mean")
+    top = explain.top_importance(_rule_importance(spark, sf), 2)
+    return rounded(top.drop("importance_std"), "importance_mean")
 
 
 @query
 def x5_feature_report(spark, sf):
     df = features_only(applicants(spark, sf))
     missing = profile.top_missing(df, [c for c in df.columns if c != ID])
-    out = reporting.feature_report(_report(spark, sf), missing, _mean_by_grade(spark, sf))
+    out = reporting.feature_report(_report(spark, sf), missing, _rule_importance(spark, sf))
     return rounded(out, "value")
 
 

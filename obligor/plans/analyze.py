@@ -39,7 +39,7 @@ from obligor.plans.training import (
     TrainConfig,
     train_experiment,
 )
-from obligor.session import col
+from obligor.session import col, small_table
 from obligor.sources.sinks import metrics_frame
 
 
@@ -102,6 +102,8 @@ def analyze(
     classes = experiment.prepared.num_classes
     metrics = metrics_frame(spark, experiment.comparison)
     importance = experiment.importance
+    if importance is None:
+        importance = small_table(spark, [], "feature string, importance_mean double, importance_std double")
     raw = experiment.prepared.train.select(*[col(c) for c in experiment.prepared.features])
     report = feature_report(report_frame(spark, experiment.report), top_missing(raw), importance)
     scores = experiment.test_scores
@@ -123,7 +125,8 @@ def analyze(
     else:
         labelled = scores.withColumn("predicted", top_class(F.col("probs")))
         tables = {"confusion_matrix": confusion_matrix(labelled, TARGET, "predicted")}
-    tables["shapley"] = experiment.shapley
+    if experiment.shapley is not None:
+        tables["shapley"] = experiment.shapley
     if experiment.dependence is not None:
         tables["partial_dependence"] = experiment.dependence
     return Analysis(

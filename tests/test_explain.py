@@ -2,6 +2,8 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from obligor.operators import explain
@@ -91,3 +93,41 @@ def test_summary_orders_by_size(rows):
     out = explain.shapley_summary(values, 2).collect()
     assert [r["feature"] for r in out] == ["a", "b"]
     assert values.select("id").distinct().count() == 10
+
+
+def with_features(df, names):
+    return df.withColumn("features", array_to_vector(F.array(*names)))
+
+
+def test_sparse_walks_give_the_dense_values(rows):
+    sample = rows.where("id < 12").withColumn("c", (F.col("id") % 3 == 0).cast("double"))
+
+    def of_vector(df):
+        slots = vector_to_array("features")
+        return predict(df.withColumns({c: slots[k] for k, c in enumerate(FEATURES)}))
+
+    dense = explain.shapley_values(sample, predict, FEATURES, "id", seed=3)
+    sparse = explain.shapley_of_vectors(with_features(sample, FEATURES), of_vector, FEATURES, "id", seed=3)
+    want = {(r["id"], r["feature"]): r["shapley"] for r in dense.collect()}
+    got = {(r["id"], r["feature"]): r["shapley"] for r in sparse.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_walks_do_not_follow_the_number_of_categories(spark):
+    width, n = 2500, 30
+    rows = [(i, Vectors.sparse(width, [(0, float(i)), (1 + i * 80, 1.0)])) for i in range(n)]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    seen = []
+
+    def of_vector(df):
+        points = pin(df)
+        seen.append(points.count())
+        first = F.get(F.unwrap_udt("features")["values"], 0) / 100
+        return points.withColumn("probs", F.array(1 - first, first))
+
+    names = [f"c{k}" for k in range(width)]
+    out = explain.shapley_of_vectors(df, of_vector, names, "id")
+    sums = {r["id"]: r["s"] for r in out.groupBy("id").agg(F.sum("shapley").alias("s")).collect()}
+    assert out.count() == n * width and seen[0] <= 8 * n * n * 4
+    assert len(sums) == n
