@@ -890,7 +890,6 @@ ORACLES["s6_bundle_round_trip"] = on_applicants(
 
 # --- explanations -------------------------------------------------------------------
 
-_COMPARED = ("loan_amount", "income", "age", "late_lines", "payment_lines", "credit_limit")
 DEPENDENCE = """
 grids AS (
   SELECT 'loan_amount' AS feature,
