@@ -2,10 +2,12 @@
 
 Sorting a table to read a handful of ranks, or ``percentile``, which keeps every
 distinct value in one buffer, does not survive a large input. Here each wanted rank
-is bracketed by equal-width histograms: one narrow scan counts the values per bin,
-the bin that holds the rank becomes the next bracket, and so on until few rows are
-left, which are then counted by value. Scans are filtered and combined map-side, so
-one value held by a third of all rows costs one group.
+is bracketed: a mergeable quantile sketch names two values around it, one narrow scan counts
+the rows below and between them, and so on until few rows are left, which are then
+counted by value. A bracket's rows follow the ranks and not the width of the values, so a column
+that spans many powers of ten takes no more scans. Where a sketch misses a rank, equal-width bins
+cut its bracket instead. Scans are filtered and combined map-side, so one value held by a third
+of all rows costs one group.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from obligor.functions.numeric import known
 from obligor.session import col, small_table
 
 BINS = 512
+#: Size of a sketch, and how far beside a rank its values are taken, as a share of the rows.
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 0.002
+_SALTS = 64
 EXACT_ROWS = 500_000
 # Only guards the driver against a group column that holds values.
 MAX_GROUPS = 10_000
@@ -119,7 +125,8 @@ def order_statistics(
         narrow = [b for b in rest if b not in wide]
         if not wide:
             break
-        brackets = narrow + _refine(spark, values, wide, bins)
+        closer, missed = _sketched(spark, values, wide)
+        brackets = narrow + closer + (_refine(spark, values, missed, bins) if missed else [])
     if narrow:
         found.update(_count_by_value(spark, values, narrow))
     return found
@@ -170,6 +177,77 @@ def _holding(
     )
 
 
+def _sketched(
+    spark: SparkSession, values: DataFrame, brackets: Sequence[_Bracket]
+) -> tuple[list[_Bracket], list[_Bracket]]:
+    """Brackets around each rank by sketched values, and those in which a rank was missed.
+
+    Sketches of a bracket meet in two steps, so no task receives one from every input split.
+    """
+    shares = sorted(
+        {
+            min(max((rank - b.below + 0.5) / b.rows + side * SKETCH_ERROR, 0.0), 1.0)
+            for b in brackets
+            for rank in b.ranks
+            for side in (-1, 1)
+        }
+    )
+    sketches = (
+        _bracketed(spark, values, brackets)
+        .groupBy("b", (F.spark_partition_id() % _SALTS).alias("salt"))
+        .agg(F.kll_sketch_agg_double(F.col("v").cast("double"), F.lit(SKETCH_SIZE)).alias("s"))
+        .groupBy("b")
+        .agg(F.kll_merge_agg_double("s").alias("s"))
+    )
+    at = F.array(*[F.lit(share) for share in shares])
+    taken = sketches.select("b", F.kll_sketch_get_quantile_double("s", at).alias("q")).collect()
+    found = {r["b"]: dict(zip(shares, r["q"], strict=True)) for r in taken}
+    # Values taken around neighbouring ranks are one piece, so pieces are disjoint.
+    pieces: list[tuple[int, int, float, float]] = []
+    asked: list[list[int]] = []
+    for i, b in enumerate(brackets):
+        for rank in b.ranks:
+            share = (rank - b.below + 0.5) / b.rows
+            low, high = (found[i][min(max(share + side * SKETCH_ERROR, 0.0), 1.0)] for side in (-1, 1))
+            if pieces and pieces[-1][0] == i and low <= pieces[-1][3]:
+                pieces[-1] = (i, len(asked) - 1, pieces[-1][2], max(high, pieces[-1][3]))
+                asked[-1].append(rank)
+            else:
+                pieces.append((i, len(asked), low, high))
+                asked.append([rank])
+    # At most one row per wanted rank.
+    table = small_table(spark, pieces, "b int, piece int, low double, high double")
+    inside = _bracketed(spark, values, brackets).select("b", "v")
+    v = F.col("v").cast("double")
+    between = (v >= F.col("low")) & (v <= F.col("high"))
+    counted = (
+        inside.join(F.broadcast(table), "b")
+        .where(v <= F.col("high"))
+        .groupBy("b", "piece")
+        .agg(
+            F.count_if(v < F.col("low")).alias("under"),
+            F.count_if(between).alias("n"),
+            F.min(F.when(between, F.col("v"))).alias("low"),
+            F.max(F.when(between, F.col("v"))).alias("high"),
+        )
+    )
+    closer, reached = [], set()
+    for r in counted.collect():
+        b = brackets[r["b"]]
+        below = b.below + r["under"]
+        held = tuple(rank for rank in asked[r["piece"]] if below <= rank < below + r["n"])
+        # A bracket that does not shrink is left to the bins.
+        if held and r["n"] < b.rows:
+            closer.append(_Bracket(b.group, r["low"], r["high"], below, r["n"], held))
+            reached.update((r["b"], rank) for rank in held)
+    missed = []
+    for i, b in enumerate(brackets):
+        left = tuple(rank for rank in b.ranks if (i, rank) not in reached)
+        if left:
+            missed.append(_Bracket(b.group, b.low, b.high, b.below, b.rows, left))
+    return closer, missed
+
+
 def _refine(
     spark: SparkSession, values: DataFrame, brackets: Sequence[_Bracket], bins: int
 ) -> list[_Bracket]:

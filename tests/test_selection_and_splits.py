@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -221,3 +222,26 @@ def test_ranks_refuse_nan(spark):
     with pytest.raises(ValueError, match="NaN"):
         selection.order_statistics(df, {"g": [0]})
     assert selection.column_quantiles(df, ["v"], [0.5]) == {"v": [1.0]}
+
+
+def test_wide_spans_take_no_more_scans(spark, monkeypatch):
+    """Values over fifteen powers of ten: one sketch and one count leave few rows."""
+    rng = random.Random(9)
+    numbers = [10 ** rng.uniform(0, 15) for _ in range(40_000)] + [7.0] * 20_000
+    df = pin(values_of(spark, {"a": numbers}))
+    sketched, binned = [], []
+    own = selection._sketched
+    monkeypatch.setattr(selection, "_sketched", lambda *a: sketched.append(1) or own(*a))
+    monkeypatch.setattr(selection, "_refine", lambda *a: binned.append(1))
+    ranks = [10, 20_000, 30_000, 30_001, 59_000]
+    hits = selection.order_statistics(df, {"a": ranks}, exact_rows=1000)
+    want = sorted(numbers)
+    assert [hits["a", r].value for r in ranks] == [want[r] for r in ranks]
+    assert len(sketched) == 1 and not binned
+
+
+def test_a_missed_rank_is_found_by_bins(spark, monkeypatch):
+    numbers = [float(i * i % 9973) for i in range(5000)]
+    monkeypatch.setattr(selection, "SKETCH_ERROR", 0.0)
+    hits = selection.order_statistics(pin(values_of(spark, {"a": numbers})), {"a": [0, 2500, 4999]}, exact_rows=20)
+    assert [hits["a", r].value for r in (0, 2500, 4999)] == [sorted(numbers)[r] for r in (0, 2500, 4999)]
