@@ -2,21 +2,26 @@
 
 A text is modelled as its tokens: lower-cased words with a blank between them and a line
 feed for the end. Every byte is eight binary choices. For each of the ``ORDERS`` + 1
-contexts (the last 0 to 5 bytes) a hashed slot of (context, bits so far) counts zeros and
+contexts (the last 0 to 6 bytes) a slot of (context, bits so far) counts zeros and
 ones; each count pair is a log odds. Two gates, the longest context with a count and the
 place in the word, each with the bits so far, pick sets of weights; the sum of the log
-odds, weighted by both sets, is the mixed prediction. It is refined by a table, adapted to how often the bit came true for a like
-prediction after like bits, and both are averaged. The bits' probabilities multiply to a
-proper distribution over texts; their sum of logarithms is the score.
-
-All training texts are counted: a window is the longest context and the byte after it, and
-each distinct window is one row with its count, which grows with the corpus. Weights are
-learnt online over all distinct windows, batch after batch, each predicted before it is
-learnt from and with its own occurrence taken out of the counts; the parts of the corpus
-learn side by side and their weights are averaged, ``ROUNDS`` times. The hashed counts,
-one byte per zero and one, take 2 ** ``SLOT_BITS`` slots per order whatever the corpus:
-that is what is broadcast. A window's probability is a fixed number once learning is
-over, so a worker remembers windows that it has scored.
+odds, weighted by both sets, is the mixed prediction. It is refined by a table, adapted to
+how often the bit came true for a like prediction after like bits, and both are averaged.
+The bits' probabilities multiply to a proper distribution over texts; their sum of
+logarithms is the score.
+
+A window is the longest context and the byte after it. Documents are packed into blocks;
+a block lists each distinct window and word once, dealt into buckets by a hash of the last
+three bytes of the context (of the word). So all that longer contexts have in common meets
+in one bucket, whose slots are exact and as many as its windows need; only contexts of at
+most ``SHARED`` bytes span buckets, and their slots are as many as there are such contexts,
+whatever the corpus: that is what is broadcast. Weights are learnt online over the distinct
+windows of each bucket, batch after batch, each predicted before it is learnt from and with
+its own occurrence taken out of the counts; buckets learn side by side and their weights
+are averaged, ``ROUNDS`` times. Then each distinct window is scored once and its score goes
+back to the blocks that hold it. Buckets follow the bytes of the table, never a session
+setting or an input split, and what is summed across tasks is whole numbers (or multiples of
+2 ** -16, exact up to 2 ** 37): a score is a function of the rows alone.
 
 The base score takes words as they are, from exact counts over the whole corpus.
 
@@ -29,7 +34,8 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,14 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obligor.llm import blocks
 from obligor.llm.blocks import planes, unplaned
 from obligor.llm.words import texts_of, words_of
 from obligor.session import pin
 
-ORDERS = 5
-#: Slots of the longer contexts; 2 bytes each.
-SLOT_BITS = 22
+ORDERS = 6
+#: Contexts up to this many bytes are counted across buckets.
+SHARED = 2
 ROUNDS = 2
 #: Learning rate of the first round; it falls with each. Steps follow Adagrad.
 RATE = 0.02
@@ -52,12 +57,16 @@ RATE = 0.02
 PRIOR = 0.4
 #: Windows of one learning step, and of one scoring step.
 _STEP, _SCORED = 1024, 1 << 15
-#: Bytes of text scored at a time, and windows merged before they are sent.
-_SCORED_BYTES, _HELD = 400_000, 1_200_000
-#: Distinct words of a block: rows of a few megabytes, which the JVM holds as one buffer each.
-_BLOCK_TERMS = 100_000
-#: Windows that a worker remembers: 12 bytes each.
-_MEMORY_BITS = 20
+#: Bytes of text after which a block is closed, and bytes whose windows are listed at a time.
+BLOCK_BYTES, _PART_BYTES = 16_000_000, 2_000_000
+#: Bytes of the table for each bucket, and the smallest number of buckets.
+BUCKET_BYTES, _BUCKETS = 16_000_000, 16
+#: Places in which a block looks up its windows before it searches.
+_PLACE_BITS = 22
+#: Steps of a window's score, in each unit of log10.
+_UNIT = 1 << 20
+#: Steps to which weights are rounded before they are added up.
+_EXACT = 1 << 16
 _PAD = b"\n" * ORDERS
 _CHUNK_BITS = 16
 _BINS, _REACH = 33, 8.0
@@ -72,14 +81,17 @@ def canonical(text: bytes) -> bytes:
 
 
 def window_parts(
-    texts: Iterator[bytes], part_bytes: int = 2_000_000
+    texts: list[bytes], part_bytes: int = _PART_BYTES
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of the texts and the number of the text each belongs to, in bounded parts."""
+    """Windows of canonical texts and the number of the text each belongs to, in bounded parts.
+
+    A window holds the bytes before, the last one highest, and the byte to come lowest.
+    """
     held: list[bytes] = []
     owners: list[int] = []
     size = 0
     for i, text in enumerate(texts):
-        whole = _PAD + canonical(text)
+        whole = _PAD + text
         for at in range(0, len(whole) - ORDERS, part_bytes):
             held.append(whole[at : at + part_bytes + ORDERS])
             owners.append(i)
@@ -94,26 +106,28 @@ def window_parts(
 def _windows(pieces: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(pieces), np.uint8)
     lengths = np.array([len(piece) for piece in pieces])
-    keys = np.zeros(data.size - ORDERS, np.uint64)
-    for i in range(ORDERS + 1):
+    n = data.size - ORDERS
+    keys = np.zeros(n, np.uint64)
+    for back in [*range(1, ORDERS + 1), 0]:
         keys <<= np.uint64(8)
-        keys |= data[i : data.size - ORDERS + i]
+        keys |= data[ORDERS - back : ORDERS - back + n]
     # The last bytes of a piece are no windows of their own: those would cross into the next.
     whole = np.ones(data.size, bool)
     ends = np.cumsum(lengths)
     whole[(ends[:, None] - 1 - np.arange(ORDERS)).ravel()] = False
-    return keys[whole[: keys.size]], np.repeat(np.array(owners), lengths - ORDERS)
+    return keys[whole[:n]], np.repeat(np.array(owners), lengths - ORDERS)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins among ordered ones."""
+    return np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
-    if counts is None:
-        keys = np.sort(keys)
-        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        return keys[starts], np.diff(np.append(starts, keys.size))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    starts = _starts(keys)
     return keys[starts], np.add.reduceat(counts, starts) if starts.size else counts
 
 
@@ -123,87 +137,163 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def count_windows(docs: DataFrame) -> DataFrame:
-    """(bucket, keys, counts): the distinct windows of (text) rows, written to the shared folder.
+def _rising(keys: np.ndarray) -> bytes:
+    """Ordered keys as their differences, which compress well."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data, 8)).astype(np.uint64)
+
 
-    A bucket holds whole contexts of three bytes, so the sums of longer ones meet in it.
+def listed(texts: list[bytes], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of canonical texts in order, and how often texts to learn from hold them."""
+    held = []
+    for keys, owner in window_parts(texts):
+        marked = np.sort(keys << np.uint64(1) | learnt[owner].astype(np.uint64))
+        keys = marked >> np.uint64(1)
+        starts = _starts(keys)
+        held.append((keys[starts], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts)))
+    return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """(block, doc_ids, texts, learnt, bytes, ends): canonical texts in blocks, written to the shared folder.
+
+    ``rows`` holds doc_id, text and learnt, whether a row is learnt from.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def send(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        context = keys >> np.uint64(8) & np.uint64(0xFFFFFF)
-        bucket = (_mixed(context) >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for part in np.split(order, cuts):
-            if part.size:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[part[0]])], pa.int32()),
-                        pa.array([planes(keys[part], 8)], pa.binary()),
-                        pa.array([planes(counts[part], 8)], pa.binary()),
-                    ],
-                    ["bucket", "keys", "counts"],
-                )
+    schema = "block long, doc_ids array<long>, texts array<binary>, learnt array<boolean>, bytes long, ends long"
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
         size = 0
+
+        def close() -> pa.RecordBatch:
+            doc_ids, texts, learnt = (list(x) for x in zip(*held, strict=True))
+            row = (number, doc_ids, texts, learnt, size, sum(learnt))
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
         for batch in batches:
-            for keys, _ in window_parts(texts_of(batch.column("text"))):
-                held.append(_summed(keys))
-                size += held[-1][0].size
-                if size > _HELD:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = held[0][0].size
-                    if size > _HELD // 2:
-                        yield from send(*held[0])
-                        held, size = [], 0
+            columns = batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("learnt").to_pylist()
+            for doc_id, text, learnt in zip(*columns, strict=True):
+                held.append((doc_id, canonical(text), learnt))
+                size += len(held[-1][1])
+                if size >= BLOCK_BYTES:
+                    yield close()
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from send(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield close()
+
+    return pin(rows.select("doc_id", "text", "learnt").mapInArrow(run, schema), "texts")
+
+
+def _terms(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of canonical texts as they come up, their buckets, and their order by bucket."""
+    terms = list(dict.fromkeys(word for text in texts for word in text.split()))
+    bucket = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % buckets
+    return terms, bucket, np.argsort(bucket, kind="stable")
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Windows with the same last three bytes of context share a bucket."""
+    return (_mixed(keys >> np.uint64(8 * (ORDERS - 2))) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def bucketed(packed: DataFrame, buckets: int) -> DataFrame:
+    """One row per bucket: its distinct windows and their counts, the blocks that hold any of it,
+    the places of their windows among the bucket's, how often each block's words occur in the corpus,
+    and the number of words and distinct words to learn from. Written to the shared folder.
+    """
+    sent = "block long, bucket int, keys binary, counts binary, terms binary, lengths binary, weights binary"
+    names = [part.split()[0] for part in sent.split(", ")]
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                number, texts, learnt = (batch.column(c)[at].as_py() for c in ("block", "texts", "learnt"))
+                rows = [(number, *row) for row in _bucket_rows(texts, np.array(learnt), buckets)]
+                for start in range(0, len(rows), 64):
+                    columns = zip(*rows[start : start + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
+                    )
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unplaned(x, 8) for x in table.column("keys").to_pylist()]).astype(np.uint64)
-        counts = np.concatenate([unplaned(x, 8) for x in table.column("counts").to_pylist()])
-        keys, counts = _summed(keys, counts)
-        return pa.table(
-            {
-                "bucket": table.column("bucket")[:1].cast(pa.int32()),
-                "keys": pa.array([planes(keys, 8)], pa.binary()),
-                "counts": pa.array([planes(counts, 8)], pa.binary()),
-            }
-        )
+        parts = table.sort_by("block").to_pydict()
+        windows = [_risen(k) for k in parts["keys"]]
+        counts = np.concatenate([unplaned(n) for n in parts["counts"]])
+        keys, total = _summed(np.concatenate(windows), counts)
+        number: dict[bytes, int] = {}
+        words = []
+        for blob, lengths in zip(parts["terms"], parts["lengths"], strict=True):
+            ends = np.cumsum(unplaned(lengths)).tolist()
+            own = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            words.append(np.array([number.setdefault(term, len(number)) for term in own], np.int64))
+        mass = np.zeros(len(number), np.int64)
+        for place, weight in zip(words, parts["weights"], strict=True):
+            mass[place] += unplaned(weight, 8)
+        places = [planes(np.diff(np.searchsorted(keys, own), prepend=0)) for own in windows]
+        row = {
+            "bucket": (parts["bucket"][0], pa.int32()),
+            "keys": (_rising(keys), pa.binary()),
+            "counts": (planes(total, 8), pa.binary()),
+            "blocks": (parts["block"], pa.list_(pa.int64())),
+            "places": (places, pa.list_(pa.binary())),
+            "words": ([planes(mass[own], 8) for own in words], pa.list_(pa.binary())),
+            "used": (int((mass > 0).sum()), pa.int64()),
+            "mass": (int(mass.sum()), pa.int64()),
+        }
+        return pa.table({name: pa.array([value], kind) for name, (value, kind) in row.items()})
 
-    schema = "bucket int, keys binary, counts binary"
-    sent = docs.select("text").mapInArrow(run, schema)
-    return pin(sent.groupBy("bucket").applyInArrow(merge, schema), "windows")
+    schema = (
+        "bucket int, keys binary, counts binary, blocks array<long>, places array<binary>,"
+        " words array<binary>, used long, mass long"
+    )
+    rows = packed.select("block", "texts", "learnt").mapInArrow(send, sent)
+    return pin(rows.groupBy("bucket").applyInArrow(merge, schema), "windows")
 
 
-def _bits(order: int) -> int:
-    return min(SLOT_BITS, 8 * order + 10)
+def _bucket_rows(texts: list[bytes], learnt: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, windows, their counts, words, their lengths, their counts) of a block."""
+    keys, counts = listed(texts, learnt)
+    of = _bucket(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+    terms, term_of, term_order = _terms(texts, buckets)
+    term_cuts = np.searchsorted(term_of[term_order], np.arange(buckets + 1))
+    seen = Counter(word for text, own in zip(texts, learnt.tolist(), strict=True) if own for word in text.split())
+    for bucket in range(buckets):
+        mine = order[cuts[bucket] : cuts[bucket + 1]]
+        own = [terms[i] for i in term_order[term_cuts[bucket] : term_cuts[bucket + 1]].tolist()]
+        if mine.size or own:
+            lengths, weights = np.array([[len(t), seen[t]] for t in own], np.int64).reshape(-1, 2).T
+            yield (
+                bucket, _rising(keys[mine]), planes(counts[mine]), b"".join(own), planes(lengths), planes(weights, 8),
+            )
 
 
-def _contexts(keys: np.ndarray) -> list[np.ndarray]:
-    """Hash of each context of the windows, shortest first."""
-    before = keys >> np.uint64(8)
-    return [
-        _mixed((before & np.uint64((1 << 8 * order) - 1)) + np.uint64(order << 56))
-        for order in range(ORDERS + 1)
-    ]
+def _context(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys >> np.uint64(8 * (ORDERS + 1 - order))
 
 
 def _letters(keys: np.ndarray) -> np.ndarray:
     """Bytes of the current word before the one to come, up to ``ORDERS``."""
     out = np.full(keys.size, ORDERS)
     for back in range(ORDERS, 0, -1):
-        byte = keys >> np.uint64(8 * back) & np.uint64(255)
+        byte = _context(keys, back) & np.uint64(255)
         out[(byte == 32) | (byte == 10)] = back - 1
     return out
 
 
-def _slot(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    mixed = (context ^ node.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - _bits(order))).astype(np.int64)
+def _slot(keys: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
+    """Slot of a short context and the bits so far: one for each there can be."""
+    return (_context(keys, order) << np.uint64(8)).astype(np.int64) | node
 
 
 def _node(byte: np.ndarray, bit: int) -> np.ndarray:
@@ -217,6 +307,10 @@ def _codes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 16, counts, np.minimum(steps, 255)).astype(np.uint8)
 
 
+def _pair(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _codes(zeros).astype(np.uint16) << 8 | _codes(ones)
+
+
 _DECODED = np.where(np.arange(256) <= 16, np.arange(256), 16 * 2 ** ((np.arange(256) - 16) / 8))
 #: Log odds of a slot, by zeros << 8 | ones.
 _ODDS = (
@@ -225,22 +319,19 @@ _ODDS = (
 
 
 def count_tables(windows: DataFrame) -> list[np.ndarray]:
-    """Hashed counts of each order, as zeros << 8 | ones in one-byte codes."""
+    """Counts of the contexts of at most ``SHARED`` bytes, as zeros << 8 | ones in one-byte codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                keys, counts = unplaned(k, 8).astype(np.uint64), unplaned(n, 8)
+                keys, counts = _risen(k), unplaned(n, 8)
                 byte = (keys & np.uint64(255)).astype(np.int64)
-                for order, context in enumerate(_contexts(keys)):
+                for order in range(SHARED + 1):
                     slots = np.concatenate(
-                        [
-                            _slot(context, _node(byte, bit), order) * 2 + (byte >> (7 - bit) & 1)
-                            for bit in range(8)
-                        ]
+                        [_slot(keys, _node(byte, bit), order) * 2 + (byte >> (7 - bit) & 1) for bit in range(8)]
                     )
-                    slots, sums = _summed(slots.astype(np.uint64), np.tile(counts, 8))
-                    chunk = (slots >> np.uint64(_CHUNK_BITS + 1)).astype(np.int64)
+                    slots, sums = _summed(slots, np.tile(counts, 8))
+                    chunk = slots >> (_CHUNK_BITS + 1)
                     cuts = np.flatnonzero(np.diff(chunk)) + 1
                     for part in np.split(np.arange(slots.size), cuts):
                         if part.size:
@@ -248,7 +339,7 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
                                 [
                                     pa.array([order], pa.int32()),
                                     pa.array([int(chunk[part[0]])], pa.int32()),
-                                    pa.array([planes(slots[part].astype(np.int64))], pa.binary()),
+                                    pa.array([planes(slots[part])], pa.binary()),
                                     pa.array([planes(sums[part], 8)], pa.binary()),
                                 ],
                                 ["context", "chunk", "slots", "sums"],
@@ -260,12 +351,11 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
         total = np.zeros(width, np.int64)
         for slots, sums in zip(*(table.column(c).to_pylist() for c in ("slots", "sums")), strict=True):
             total[unplaned(slots) % width] += unplaned(sums, 8)
-        codes = _codes(total).astype(np.uint16)
         return pa.table(
             {
                 "context": table.column("context")[:1].cast(pa.int32()),
                 "chunk": table.column("chunk")[:1].cast(pa.int32()),
-                "codes": pa.array([(codes[0::2] << 8 | codes[1::2]).tobytes()], pa.binary()),
+                "codes": pa.array([_pair(total[0::2], total[1::2]).tobytes()], pa.binary()),
             }
         )
 
@@ -274,9 +364,9 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
         .mapInArrow(run, "context int, chunk int, slots binary, sums binary")
         .groupBy("context", "chunk")
         .applyInArrow(merge, "context int, chunk int, codes binary")
-        .collect()  # 2 bytes for each of at most 2 ** SLOT_BITS slots an order
+        .collect()  # 2 bytes for each of at most 2 ** (8 * SHARED + 8) slots
     )
-    tables = [np.zeros(max(1 << _bits(order), 1 << _CHUNK_BITS), np.uint16) for order in range(ORDERS + 1)]
+    tables = [np.zeros(max(1 << 8 * order + 8, 1 << _CHUNK_BITS), np.uint16) for order in range(SHARED + 1)]
     for row in rows:
         codes = np.frombuffer(row["codes"], np.uint16)
         at = row["chunk"] << _CHUNK_BITS
@@ -284,8 +374,25 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
     return tables
 
 
+def long_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Codes of the longer contexts of a bucket's windows, by (order, bit, window); exact, none shared."""
+    out = np.empty((ORDERS - SHARED, 8, keys.size), np.uint16)
+    byte = keys & np.uint64(255)
+    for order in range(SHARED + 1, ORDERS + 1):
+        value = (_context(keys, order) << np.uint64(8) | byte).astype(np.int64)
+        by = np.argsort(value, kind="stable")
+        value, n = value[by], counts[by]
+        for bit in range(8):
+            starts = _starts(value >> (8 - bit))
+            ones = np.add.reduceat(n * (value >> (7 - bit) & 1), starts) if starts.size else starts
+            both = np.add.reduceat(n, starts) if starts.size else starts
+            sizes = np.diff(np.append(starts, value.size))
+            out[order - SHARED - 1, bit, by] = np.repeat(_pair(both - ones, ones), sizes)
+    return out
+
+
 class Mixer:
-    """Counts, gated weights and the refining table."""
+    """Counts of short contexts, gated weights and the refining table."""
 
     def __init__(self, tables: list[np.ndarray]):
         self.tables = tables
@@ -301,17 +408,21 @@ class Mixer:
         ones = 1 / (1 + np.exp(-centre))
         self.seen = np.stack([np.tile(1 - ones, (_NODES, 1)), np.tile(ones, (_NODES, 1))]) * 20
 
-    def bit(self, keys, contexts, bit: int, alone: bool):
+    def bit(self, keys: np.ndarray, longer: np.ndarray, bit: int, alone: bool):
         """Log odds per order, both gates, bits so far and the bit itself of every window.
 
-        ``alone`` takes the window's own occurrence out of the counts.
+        ``longer`` are the codes of its longer contexts; ``alone`` takes the window's own
+        occurrence out of the counts.
         """
         byte = (keys & np.uint64(255)).astype(np.int64)
         node, came = _node(byte, bit), byte >> (7 - bit) & 1
         odds = np.empty((ORDERS + 1, keys.size), np.float32)
         longest = np.zeros(keys.size, np.int64)
-        for order, context in enumerate(contexts):
-            code = self.tables[order][_slot(context, node, order)]
+        for order in range(ORDERS + 1):
+            if order <= SHARED:
+                code = self.tables[order][_slot(keys, node, order)]
+            else:
+                code = longer[order - SHARED - 1, bit]
             if alone:
                 zeros, ones = code >> 8, code & 255
                 zeros = zeros - ((came == 0) & (zeros > 0) & (zeros <= 16))
@@ -337,29 +448,29 @@ class Mixer:
         refined = ones / (zeros + ones)
         return np.clip((1 / (1 + np.exp(-mixed)) + refined) / 2, _CERTAIN, 1 - _CERTAIN)
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
+    def score(self, keys: np.ndarray, longer: np.ndarray) -> np.ndarray:
         """log10 of the probability of each window's last byte after the others."""
         out = np.zeros(keys.size)
         for start in range(0, keys.size, _SCORED):
-            part = keys[start : start + _SCORED]
-            contexts = _contexts(part)
+            part = slice(start, start + _SCORED)
             for bit in range(8):
-                odds, gates, node, came = self.bit(part, contexts, bit, alone=False)
+                odds, gates, node, came = self.bit(keys[part], longer[:, :, part], bit, alone=False)
                 one = self.chance(self.predict(odds, gates), node)
-                out[start : start + _SCORED] += np.log10(np.where(came == 1, one, 1 - one))
+                out[part] += np.log10(np.where(came == 1, one, 1 - one))
         return out
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, rate: float, state: np.ndarray) -> tuple:
-        """One online pass over windows; ``state`` holds the squared slopes so far.
+    def learn(self, keys: np.ndarray, counts: np.ndarray, longer: np.ndarray, rate: float) -> tuple:
+        """One online pass over windows.
 
         Returns the occurrences by gate, and zeros and ones by (bits so far, cell).
         """
+        state = np.full(self.weights.shape, 1e-8)
         seen, visits = np.zeros_like(self.seen), np.zeros(2 * _GATES)
         for start in range(0, keys.size, _STEP):
-            part, n = keys[start : start + _STEP], counts[start : start + _STEP].astype(np.float64)
-            contexts = _contexts(part)
+            step = slice(start, start + _STEP)
+            n = counts[step].astype(np.float64)
             for bit in range(8):
-                odds, gates, node, came = self.bit(part, contexts, bit, alone=True)
+                odds, gates, node, came = self.bit(keys[step], longer[:, :, step], bit, alone=True)
                 mixed = self.predict(odds, gates)
                 error = (came - 1 / (1 + np.exp(-mixed))) * n / n.sum()
                 for gate in gates:
@@ -375,29 +486,31 @@ class Mixer:
 
 
 def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
-    """Weights learnt in parts of the corpus side by side and averaged, round after round."""
-    spark = windows.sparkSession
-    shared = spark.sparkContext.broadcast(tables)
+    """Weights learnt bucket by bucket side by side and averaged, round after round."""
+    shared = windows.sparkSession.sparkContext.broadcast(tables)
     mixer = Mixer(tables)
     for number in range(ROUNDS):
         weights, rate = mixer.weights, RATE / (1 + number)
 
         def run(batches, weights=weights, rate=rate) -> Iterator[pa.RecordBatch]:
-            own = Mixer(shared.value)
-            own.weights, state = weights.copy(), np.full(weights.shape, 1e-8)
-            visits, seen = np.zeros(2 * _GATES), np.zeros_like(own.seen)
+            values = np.zeros(weights.size + 2 * _GATES + mixer_cells)
             for batch in batches:
                 for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                    keys, counts = unplaned(k, 8).astype(np.uint64), unplaned(n, 8)
+                    keys, counts = _risen(k), unplaned(n, 8)
+                    keys, counts = keys[counts > 0], counts[counts > 0]
                     # Neighbours in key order are alike: a fixed shuffle mixes them.
-                    order = np.argsort(_mixed(keys))
-                    more = own.learn(keys[order], counts[order], rate, state)
-                    visits, seen = visits + more[0], seen + more[1]
-            values = np.concatenate([(own.weights * visits[:, None]).ravel(), visits, seen.ravel()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(values.size)), pa.array(values)], ["place", "value"]
-            )
-
+                    order = np.argsort(_mixed(keys), kind="stable")
+                    own = Mixer(shared.value)
+                    own.weights = weights.copy()
+                    longer = long_counts(keys, counts)[:, :, order]
+                    visits, seen = own.learn(keys[order], counts[order], longer, rate)
+                    # Rounded, so that sums do not depend on their order.
+                    weighed = np.rint(own.weights * visits[:, None] * _EXACT) / _EXACT
+                    values += np.concatenate([weighed.ravel(), visits, seen.ravel()])
+            some = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(values[some])], ["place", "value"])
+
+        mixer_cells = mixer.seen.size
         rows = (
             windows.select("keys", "counts")
             .mapInArrow(run, "place long, value double")
@@ -405,11 +518,11 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
             .agg(F.sum("value").alias("value"))
             .collect()  # one number per weight and cell
         )
-        values = np.zeros(weights.size + 2 * _GATES + mixer.seen.size)
+        values = np.zeros(weights.size + 2 * _GATES + mixer_cells)
         for place, value in rows:
             values[place] = value
         sums, visits, seen = np.split(values, [weights.size, weights.size + 2 * _GATES])
-        # A gate's weights count by how often a part came to it.
+        # A gate's weights count by how often a bucket came to it.
         mean = sums.reshape(weights.shape) / np.maximum(visits, 1)[:, None]
         mixer.weights = np.where(visits[:, None] > 0, mean, weights)
     shared.unpersist()
@@ -417,46 +530,52 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
     return mixer
 
 
-class Scorer:
-    """Scores texts; remembers the windows it has seen, one per hashed place."""
-
-    def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        # No window has its top bit set.
-        self.keys = np.full(1 << _MEMORY_BITS, 1 << 63, np.uint64)
-        self.scores = np.zeros(1 << _MEMORY_BITS, np.float32)
-
-    def windows(self, keys: np.ndarray) -> np.ndarray:
-        place = (_mixed(keys) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
-        missed = np.flatnonzero(self.keys[place] != keys)
-        out = self.scores[place].astype(np.float64)
-        if missed.size:
-            new, _ = _summed(keys[missed])
-            scores = self.mixer.score(new).astype(np.float32)
-            at = (_mixed(new) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
-            self.keys[at], self.scores[at] = new, scores
-            out[missed] = self.scores[place[missed]]
-            # New windows that share a place: only one of them is remembered.
-            lost = missed[self.keys[place[missed]] != keys[missed]]
-            out[lost] = scores[np.searchsorted(new, keys[lost])]
-        return out
+def judged(windows: DataFrame, mixer: Mixer) -> DataFrame:
+    """(block, bucket, keys, scores, words): each block's windows with their scores, in whole steps below
+    zero, and the corpus counts of its words. A window is scored once, whatever number of blocks hold it.
+    """
+    shared = windows.sparkSession.sparkContext.broadcast((mixer.tables, mixer.weights, mixer.seen))
+    names, types = ["block", "bucket", "keys", "scores", "words"], [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() for name in ("bucket", "keys", "counts", "blocks", "places", "words")}
+                keys, counts = _risen(row["keys"]), unplaned(row["counts"], 8)
+                own = Mixer(shared.value[0])
+                _, own.weights, own.seen = shared.value
+                steps = np.rint(own.score(keys, long_counts(keys, counts)) * -_UNIT).astype(np.int64)
+                out = []
+                for block, places, words in zip(row["blocks"], row["places"], row["words"], strict=True):
+                    place = np.cumsum(unplaned(places))
+                    out.append((block, row["bucket"], _rising(keys[place]), planes(steps[place]), words))
+                for start in range(0, len(out), 64):
+                    columns = zip(*out[start : start + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return windows.select("bucket", "keys", "counts", "blocks", "places", "words").mapInArrow(
+        run, "block long, bucket int, keys binary, scores binary, words binary"
+    )
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for keys, owner in window_parts(texts, _SCORED_BYTES):
-            out += np.bincount(owner, self.windows(keys), minlength=len(texts))
-        return out
 
+class Lookup:
+    """Scores of a block's windows: one place per hash, and a search for those that lost theirs."""
 
-_scorers: dict[int, Scorer] = {}
+    def __init__(self, keys: np.ndarray, steps: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.steps = keys[order], steps[order]
+        self.place = np.zeros(1 << _PLACE_BITS, np.int32)
+        self.place[self._at(self.keys)] = np.arange(keys.size)
 
+    @staticmethod
+    def _at(keys: np.ndarray) -> np.ndarray:
+        return (_mixed(keys) >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)
 
-def _scorer(number: int, make: Callable[[], Mixer]) -> Scorer:
-    """The scorer of this process, kept from task to task."""
-    if number not in _scorers:
-        _scorers.clear()
-        _scorers[number] = Scorer(make())
-    return _scorers[number]
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        found = self.place[self._at(keys)]
+        lost = np.flatnonzero(self.keys[found] != keys)
+        found[lost] = np.searchsorted(self.keys, keys[lost])
+        return self.steps[found]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -466,57 +585,66 @@ def remainder(doc_id: int | None) -> int:
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = df.sparkSession
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
+
+    ``bits_per_byte`` is the score over the bytes of the text as the model reads it.
+    """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
-    windows = count_windows(rows.where(fold != 2))
-    mixer = learn(windows, count_tables(windows))
-    shared = spark.sparkContext.broadcast((mixer.tables, mixer.weights, mixer.seen))
-    number = id(shared)
-
-    def make() -> Mixer:
-        mixer = Mixer(shared.value[0])
-        _, mixer.weights, mixer.seen = shared.value
-        return mixer
-
-    def reader() -> Callable[[list, list[bytes]], list[blocks.Document]]:
-        scorer = _scorer(number, make)
-
-        def read(doc_ids: list, texts: list[bytes]) -> list[blocks.Document]:
-            scores = scorer.texts(texts).view(np.int64).tolist()
-            out = []
-            for doc_id, text, bits in zip(doc_ids, texts, scores, strict=True):
-                words, left = words_of(text), remainder(doc_id)
-                out.append(([len(words) + 1, int(left == 2), bits], words, int(left not in (-1, 2))))
-            return out
-
-        return read
-
-    packed = blocks.pack(rows, reader, _BLOCK_TERMS)
-    judged = pin(blocks.judge(packed, lambda terms, weights: weights.astype(np.int64)), "words")
-    totals = judged.agg(F.sum("used").alias("used"), F.sum("mass").alias("mass")).first()
-    ends = rows.where(fold != 2).count()
+    packed = pack(rows.withColumn("learnt", F.coalesce(fold != 2, F.lit(False))))
+    size = packed.agg(F.sum("bytes").alias("bytes"), F.sum("ends").alias("ends")).first()
+    buckets = max(_BUCKETS, -(-(size["bytes"] or 0) // BUCKET_BYTES))
+    windows = bucketed(packed, buckets)
+    values = judged(windows, learn(windows, count_tables(windows)))
+    totals = windows.agg(F.sum("used").alias("used"), F.sum("mass").alias("mass")).first()
+    ends = size["ends"] or 0
     train_tokens = (totals["mass"] or 0) + ends
     distinct = (totals["used"] or 0) + (ends > 0)
+    whole, end = np.log10(train_tokens + distinct + 1.0), np.log10(ends + 1.0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        doc_ids, texts = (left.column(c)[0].as_py() for c in ("doc_ids", "texts"))
+        parts = right.sort_by("bucket").to_pydict()
+        lookup = Lookup(
+            np.concatenate([_risen(k) for k in parts["keys"]]),
+            np.concatenate([unplaned(s) for s in parts["scores"]]),
+        )
+        steps = np.zeros(len(texts))
+        for keys, owner in window_parts(texts):
+            steps += np.bincount(owner, lookup.of(keys), len(texts))
+        terms, _, order = _terms(texts, buckets)
+        counts = np.zeros(len(terms), np.int64)
+        counts[order] = np.concatenate([unplaned(w, 8) for w in parts["words"]])
+        number = dict(zip(terms, range(len(terms)), strict=True))
+        logs, known = np.log10(counts + 1.0), counts > 0
+        base, n_tokens, n_known = [], [], []
+        for text in texts:
+            at = np.array([number[word] for word in text.split()], np.int64)
+            n_tokens.append(at.size + 1)
+            n_known.append(int(known[at].sum()) + (ends > 0))
+            base.append(logs[at].sum() + end - (at.size + 1) * whole)
+        total = steps / -_UNIT
+        sizes = np.array([len(text) for text in texts])
+        return pa.table(
+            {
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "held_out": pa.array([remainder(i) == 2 for i in doc_ids], pa.bool_()),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array([train_tokens] * len(texts), pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(total, pa.float64()),
+                "bits_per_byte": pa.array(total * -np.log2(10) / sizes, pa.float64()),
+            }
+        )
 
-    def result(facts, document, counts, values):
-        docs = len(facts)
-        known = np.bincount(document, counts * (values > 0), minlength=docs).astype(np.int64)
-        logs = np.bincount(document, counts * np.log10(values + 1.0), minlength=docs)
-        whole = np.log10(train_tokens + distinct + 1.0)
-        return {
-            "held_out": facts[:, 1] == 1,
-            "n_tokens": facts[:, 0],
-            "n_known": known + (ends > 0),
-            "train_tokens": np.full(docs, train_tokens),
-            "base_score": logs + np.log10(ends + 1.0) - facts[:, 0] * whole,
-            "score": np.ascontiguousarray(facts[:, 2]).view(np.float64),
-        }
-
-    return blocks.summed(
-        packed,
-        judged,
-        result,
-        "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    return (
+        packed.select("block", "doc_ids", "texts")
+        .groupBy("block")
+        .cogroup(values.groupBy("block"))
+        .applyInArrow(
+            run,
+            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
+            " base_score double, score double, bits_per_byte double",
+        )
     )

@@ -14,7 +14,6 @@ from obligor.llm import (
     decontamination,
     filter_audit,
     language_id,
-    language_id,
     licenses,
     lm_scoring,
     neighbours,

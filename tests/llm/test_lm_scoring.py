@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from obligor.llm import lm_scoring
 from obligor.llm.queries import op2_lm_score
@@ -61,42 +62,142 @@ def test_nothing_to_learn_from(spark):
     assert row.score < -5
 
 
+def window_counts(texts):
+    """By number of the text: bytes before, the last one first, and the byte to come."""
+    out = []
+    for text in texts:
+        whole = b"\n" * lm_scoring.ORDERS + text
+        ends = range(lm_scoring.ORDERS, len(whole))
+        out.append(Counter((whole[at - lm_scoring.ORDERS : at][::-1], whole[at]) for at in ends))
+    return out
+
+
+def opened(key):
+    data = int(key).to_bytes(lm_scoring.ORDERS + 1, "big")
+    return data[:-1], data[-1]
+
+
 def test_windows_do_not_cross_texts_and_long_texts_are_cut_whole():
-    texts = [b"Ab  c", b"", b"x" * 50]
-    want = Counter()
-    for i, text in enumerate(texts):
-        whole = b"\n" * lm_scoring.ORDERS + b" ".join(text.lower().split()) + b"\n"
-        for at in range(len(whole) - lm_scoring.ORDERS):
-            want[i, int.from_bytes(whole[at : at + lm_scoring.ORDERS + 1], "big")] += 1
+    texts = [lm_scoring.canonical(text) for text in (b"Ab  c", b"", b"x" * 50)]
+    want = Counter({(i, w): n for i, own in enumerate(window_counts(texts)) for w, n in own.items()})
     for size in (7, 1000):
         got = Counter()
         for keys, owners in lm_scoring.window_parts(texts, size):
-            got.update(zip(owners.tolist(), keys.tolist(), strict=True))
+            got.update((i, opened(k)) for i, k in zip(owners.tolist(), keys, strict=True))
         assert got == want
 
 
-def test_chances_of_all_bytes_sum_to_one(spark, odd):
-    windows = lm_scoring.count_windows(odd.select("text").where("text is not null"))
-    mixer = lm_scoring.learn(windows, lm_scoring.count_tables(windows))
-    for context in (0x0A0A0A0A0A, 0x6263206465):
-        keys = np.array([context << 8 | byte for byte in range(256)], np.uint64)
-        assert (10 ** mixer.score(keys)).sum() == pytest.approx(1)
-    keys = np.arange(5000, dtype=np.uint64) * np.uint64(977)
-    scorer = lm_scoring.Scorer(mixer)
-    assert scorer.windows(keys) == pytest.approx(mixer.score(keys), rel=1e-6)
-    assert scorer.windows(keys) == pytest.approx(mixer.score(keys), rel=1e-6)
+def packed(df):
+    return lm_scoring.pack(df.withColumn("learnt", F.expr("doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 7 <> 2")))
 
 
-def test_window_counts_are_exact(spark, odd_rows):
-    df = spark.createDataFrame([(t,) for _, t in odd_rows if t], "text string").repartition(3)
+def test_window_counts_are_exact(odd, odd_rows):
     got = Counter()
-    for row in lm_scoring.count_windows(df).collect():
-        keys, counts = lm_scoring.unplaned(row["keys"], 8), lm_scoring.unplaned(row["counts"], 8)
-        got.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-    want = Counter()
-    for keys, _ in lm_scoring.window_parts([t.encode() for _, t in odd_rows if t]):
-        want.update(keys.astype(np.int64).tolist())
-    assert got == want
+    for row in lm_scoring.bucketed(packed(odd.repartition(3)), 5).collect():
+        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+        got.update({opened(k): n for k, n in zip(keys, counts.tolist(), strict=True)})
+    texts = [lm_scoring.canonical((t or "").encode()) for i, t in odd_rows if fold(i) not in (None, 2)]
+    assert +got == sum(window_counts(texts), Counter())
+
+
+def counted(code):
+    """Zeros and ones that a code stands for, exact up to 16."""
+    return int(code) >> 8, int(code) & 255
+
+
+def test_counts_of_contexts_by_brute_force(spark, odd, odd_rows):
+    windows = lm_scoring.bucketed(packed(odd), 5)
+    tables = lm_scoring.count_tables(windows)
+    texts = [lm_scoring.canonical((t or "").encode()) for i, t in odd_rows if fold(i) not in (None, 2)]
+    seen = Counter()
+    for (before, byte), n in sum(window_counts(texts), Counter()).items():
+        for order in range(lm_scoring.ORDERS + 1):
+            for bit in range(8):
+                seen[before[:order], (256 | byte) >> (8 - bit), byte >> (7 - bit) & 1] += n
+    for row in windows.collect():
+        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+        longer = lm_scoring.long_counts(keys, counts)
+        for at in range(0, keys.size, 7):
+            before, byte = opened(keys[at])
+            for order in range(lm_scoring.ORDERS + 1):
+                for bit in range(8):
+                    node = (256 | byte) >> (8 - bit)
+                    if order > lm_scoring.SHARED:
+                        got = longer[order - lm_scoring.SHARED - 1, bit, at]
+                    else:
+                        slot = lm_scoring._slot(keys[at : at + 1], np.array([node]), order)
+                        got = tables[order][slot][0]
+                    want = [seen[before[:order], node, came] for came in (0, 1)]
+                    assert [min(n, 17) for n in counted(got)] == [min(n, 17) for n in want]
+
+
+def plain_score(mixer, longer, key, at):
+    """The model's rule for one window, bit by bit, without numpy's vectors."""
+    before, byte = opened(key)
+    letters = next((j for j, b in enumerate(before) if b in (32, 10)), lm_scoring.ORDERS)
+    total = 0.0
+    for bit in range(8):
+        node, came, longest, odds = (256 | byte) >> (8 - bit), byte >> (7 - bit) & 1, 0, []
+        for order in range(lm_scoring.ORDERS + 1):
+            if order > lm_scoring.SHARED:
+                code = int(longer[order - lm_scoring.SHARED - 1, bit, at])
+            else:
+                context = int.from_bytes(before[:order], "big") if order else 0
+                code = int(mixer.tables[order][context << 8 | node])
+            zeros, ones = (n if n <= 16 else 16 * 2 ** ((n - 16) / 8) for n in counted(code))
+            odds.append(math.log(ones + lm_scoring.PRIOR) - math.log(zeros + lm_scoring.PRIOR))
+            longest = order if code else longest
+        first = mixer.weights[longest * 256 + node]
+        second = mixer.weights[(lm_scoring.ORDERS + 1) * 256 + letters * 256 + node]
+        mixed = sum(o * (a + b) for o, a, b in zip(odds, first, second, strict=True))
+        mixed = max(-16.0, min(16.0, mixed))
+        cell = round((max(-8.0, min(8.0, mixed)) + 8) * 2)
+        refined = mixer.seen[1][node, cell] / (mixer.seen[0][node, cell] + mixer.seen[1][node, cell])
+        one = max(1e-6, min(1 - 1e-6, (1 / (1 + math.exp(-mixed)) + refined) / 2))
+        total += math.log10(one if came else 1 - one)
+    return total
+
+
+def test_scores_by_brute_force_and_chances_sum_to_one(spark, odd):
+    windows = lm_scoring.bucketed(packed(odd), 5)
+    mixer = lm_scoring.learn(windows, lm_scoring.count_tables(windows))
+    row = max(windows.collect(), key=lambda row: len(row["keys"]))
+    keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+    longer = lm_scoring.long_counts(keys, counts)
+    got = mixer.score(keys, longer)
+    for at in range(0, keys.size, max(1, keys.size // 50)):
+        assert got[at] == pytest.approx(plain_score(mixer, longer, keys[at], at), abs=1e-4)
+    for key in keys[:: max(1, keys.size // 3)]:
+        context = key >> np.uint64(8) << np.uint64(8)
+        every = context | np.arange(256, dtype=np.uint64)
+        both = np.union1d(keys, every)
+        total = np.zeros(both.size, np.int64)
+        total[np.searchsorted(both, keys)] = counts
+        scores = mixer.score(both, lm_scoring.long_counts(both, total))
+        assert (10 ** scores[np.searchsorted(both, every)]).sum() == pytest.approx(1)
+
+
+def test_lookup_finds_every_window():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 300_000).astype(np.uint64))
+    lookup = lm_scoring.Lookup(keys[::-1], np.arange(keys.size)[::-1])
+    assert (lookup.of(keys) == np.arange(keys.size)).all()
+
+
+def test_scores_do_not_depend_on_partitions_or_blocks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    results = []
+    try:
+        for partitions, inputs, size in ((4, 1, 16_000_000), (16, 7, 30_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", size)
+            rows = lm_scoring.score(docs.repartition(inputs)).collect()
+            results.append({row.doc_id: row.score for row in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held[0])
+        spark.conf.set("spark.sql.adaptive.enabled", held[1])
+    assert results[0] == results[1]
 
 
 def test_query_learns_the_language(spark, sf_dir):
