@@ -37,6 +37,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +59,13 @@ PRIOR = 0.4
 #: Windows of one learning step, and of one scoring step.
 _STEP, _SCORED = 1024, 1 << 15
 #: Bytes of text after which a block is closed, and bytes whose windows are listed at a time.
-BLOCK_BYTES, _PART_BYTES = 16_000_000, 2_000_000
+BLOCK_BYTES, _PART_BYTES = 8_000_000, 1_000_000
 #: Bytes of the table for each bucket, and the smallest number of buckets.
 BUCKET_BYTES, _BUCKETS = 16_000_000, 16
 #: Places in which a block looks up its windows before it searches.
 _PLACE_BITS = 22
 #: Steps of a window's score, in each unit of log10.
-_UNIT = 1 << 20
+_UNIT = 1 << 14
 #: Steps to which weights are rounded before they are added up.
 _EXACT = 1 << 16
 _PAD = b"\n" * ORDERS
@@ -194,7 +195,7 @@ def pack(rows: DataFrame) -> DataFrame:
 
 def _terms(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of canonical texts as they come up, their buckets, and their order by bucket."""
-    terms = list(dict.fromkeys(word for text in texts for word in text.split()))
+    terms = list(dict.fromkeys(chain.from_iterable(map(bytes.split, texts))))
     bucket = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % buckets
     return terms, bucket, np.argsort(bucket, kind="stable")
 
@@ -267,7 +268,7 @@ def _bucket_rows(texts: list[bytes], learnt: np.ndarray, buckets: int) -> Iterat
     cuts = np.searchsorted(of[order], np.arange(buckets + 1))
     terms, term_of, term_order = _terms(texts, buckets)
     term_cuts = np.searchsorted(term_of[term_order], np.arange(buckets + 1))
-    seen = Counter(word for text, own in zip(texts, learnt.tolist(), strict=True) if own for word in text.split())
+    seen = Counter(chain.from_iterable(map(bytes.split, compress(texts, learnt))))
     for bucket in range(buckets):
         mine = order[cuts[bucket] : cuts[bucket + 1]]
         own = [terms[i] for i in term_order[term_cuts[bucket] : term_cuts[bucket + 1]].tolist()]
@@ -312,10 +313,21 @@ def _pair(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 _DECODED = np.where(np.arange(256) <= 16, np.arange(256), 16 * 2 ** ((np.arange(256) - 16) / 8))
-#: Log odds of a slot, by zeros << 8 | ones.
-_ODDS = (
-    np.log(_DECODED[np.arange(65536) & 255] + PRIOR) - np.log(_DECODED[np.arange(65536) >> 8] + PRIOR)
-).astype(np.float32)
+
+
+def _without(came: int) -> np.ndarray:
+    """The codes of all slots, less one occurrence of a bit where its count is exact."""
+    zeros, ones = np.arange(65536) >> 8, np.arange(65536) & 255
+    own = ones if came else zeros
+    own -= (own > 0) & (own <= 16)
+    return zeros << 8 | ones
+
+
+#: Codes of all slots: without an own zero, without an own one, whole.
+_SEEN = np.concatenate([_without(0), _without(1), np.arange(65536)])
+_ODDS = (np.log(_DECODED[_SEEN & 255] + PRIOR) - np.log(_DECODED[_SEEN >> 8] + PRIOR)).astype(np.float32)
+_KNOWN = (_SEEN > 0).astype(np.int8)
+_ORDER = np.arange(ORDERS + 1, dtype=np.int8)[:, None]
 
 
 def count_tables(windows: DataFrame) -> list[np.ndarray]:
@@ -408,7 +420,7 @@ class Mixer:
         ones = 1 / (1 + np.exp(-centre))
         self.seen = np.stack([np.tile(1 - ones, (_NODES, 1)), np.tile(ones, (_NODES, 1))]) * 20
 
-    def bit(self, keys: np.ndarray, longer: np.ndarray, bit: int, alone: bool):
+    def bit(self, keys: np.ndarray, letters: np.ndarray, longer: np.ndarray, bit: int, alone: bool):
         """Log odds per order, both gates, bits so far and the bit itself of every window.
 
         ``longer`` are the codes of its longer contexts; ``alone`` takes the window's own
@@ -416,22 +428,13 @@ class Mixer:
         """
         byte = (keys & np.uint64(255)).astype(np.int64)
         node, came = _node(byte, bit), byte >> (7 - bit) & 1
-        odds = np.empty((ORDERS + 1, keys.size), np.float32)
-        longest = np.zeros(keys.size, np.int64)
-        for order in range(ORDERS + 1):
-            if order <= SHARED:
-                code = self.tables[order][_slot(keys, node, order)]
-            else:
-                code = longer[order - SHARED - 1, bit]
-            if alone:
-                zeros, ones = code >> 8, code & 255
-                zeros = zeros - ((came == 0) & (zeros > 0) & (zeros <= 16))
-                ones = ones - ((came == 1) & (ones > 0) & (ones <= 16))
-                code = zeros << 8 | ones
-            odds[order] = _ODDS[code]
-            longest[code > 0] = order
-        gates = longest * _NODES + node, _GATES + _letters(keys) * _NODES + node
-        return odds, gates, node, came
+        codes = np.empty((ORDERS + 1, keys.size), np.int32)
+        for order in range(SHARED + 1):
+            codes[order] = self.tables[order][_slot(keys, node, order)]
+        codes[SHARED + 1 :] = longer[:, bit]
+        codes += (came if alone else 2) << 16
+        longest = (_KNOWN[codes] * _ORDER).max(0)
+        return _ODDS[codes], (longest.astype(np.int64) * _NODES + node, _GATES + letters * _NODES + node), node, came
 
     def predict(self, odds: np.ndarray, gates: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         weights = self.weights[gates[0]] + self.weights[gates[1]]
@@ -453,8 +456,9 @@ class Mixer:
         out = np.zeros(keys.size)
         for start in range(0, keys.size, _SCORED):
             part = slice(start, start + _SCORED)
+            letters = _letters(keys[part])
             for bit in range(8):
-                odds, gates, node, came = self.bit(keys[part], longer[:, :, part], bit, alone=False)
+                odds, gates, node, came = self.bit(keys[part], letters, longer[:, :, part], bit, alone=False)
                 one = self.chance(self.predict(odds, gates), node)
                 out[part] += np.log10(np.where(came == 1, one, 1 - one))
         return out
@@ -464,25 +468,32 @@ class Mixer:
 
         Returns the occurrences by gate, and zeros and ones by (bits so far, cell).
         """
-        state = np.full(self.weights.shape, 1e-8)
-        seen, visits = np.zeros_like(self.seen), np.zeros(2 * _GATES)
+        shape = (2, ORDERS + 1, _NODES)
+        weights = self.weights.reshape(*shape, ORDERS + 1)
+        state = np.full(weights.shape, 1e-8)
+        seen, visits = np.zeros(self.seen.size), np.zeros(shape)
         for start in range(0, keys.size, _STEP):
             step = slice(start, start + _STEP)
-            n = counts[step].astype(np.float64)
+            n, letters = counts[step].astype(np.float64), _letters(keys[step])
             for bit in range(8):
-                odds, gates, node, came = self.bit(keys[step], longer[:, :, step], bit, alone=True)
+                odds, gates, node, came = self.bit(keys[step], letters, longer[:, :, step], bit, alone=True)
                 mixed = self.predict(odds, gates)
                 error = (came - 1 / (1 + np.exp(-mixed))) * n / n.sum()
-                for gate in gates:
-                    mass = np.bincount(gate, n, 2 * _GATES)
-                    used = np.flatnonzero(mass)
-                    visits += mass
-                    for order in range(ORDERS + 1):
-                        slope = np.bincount(gate, error * odds[order], 2 * _GATES)[used]
-                        state[used, order] += slope * slope
-                        self.weights[used, order] += rate * slope / np.sqrt(state[used, order])
-                np.add.at(seen, (came, node, self.cell(mixed)), n)
-        return visits, seen
+                slopes = (error * odds).T.ravel()
+                # Of each gate's nodes, those with as many bits so far.
+                nodes = 1 << bit
+                for half, gate in enumerate(gates):
+                    own = (gate - half * _GATES) // _NODES * nodes + node - nodes
+                    size = (ORDERS + 1) * nodes
+                    visits[half, :, nodes : 2 * nodes] += np.bincount(own, n, size).reshape(-1, nodes)
+                    places = (own[:, None] * (ORDERS + 1) + np.arange(ORDERS + 1)).ravel()
+                    slope = np.bincount(places, slopes, size * (ORDERS + 1)).reshape(-1, nodes, ORDERS + 1)
+                    held = state[half, :, nodes : 2 * nodes]
+                    held += slope * slope
+                    weights[half, :, nodes : 2 * nodes] += rate * slope / np.sqrt(held)
+                cells = (came * _NODES + node) * _BINS + self.cell(mixed)
+                seen += np.bincount(cells, n, seen.size)
+        return visits.ravel(), seen.reshape(self.seen.shape)
 
 
 def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
@@ -617,20 +628,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         counts[order] = np.concatenate([unplaned(w, 8) for w in parts["words"]])
         number = dict(zip(terms, range(len(terms)), strict=True))
         logs, known = np.log10(counts + 1.0), counts > 0
-        base, n_tokens, n_known = [], [], []
-        for text in texts:
-            at = np.array([number[word] for word in text.split()], np.int64)
-            n_tokens.append(at.size + 1)
-            n_known.append(int(known[at].sum()) + (ends > 0))
-            base.append(logs[at].sum() + end - (at.size + 1) * whole)
+        base, n_tokens, n_known = np.empty((3, len(texts)))
+        for i, text in enumerate(texts):
+            words = text.split()
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            n_tokens[i] = at.size + 1
+            n_known[i] = known[at].sum() + (ends > 0)
+            base[i] = logs[at].sum() + end - n_tokens[i] * whole
         total = steps / -_UNIT
         sizes = np.array([len(text) for text in texts])
         return pa.table(
             {
                 "doc_id": pa.array(doc_ids, pa.int64()),
                 "held_out": pa.array([remainder(i) == 2 for i in doc_ids], pa.bool_()),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
+                "n_tokens": pa.array(n_tokens.astype(np.int64)),
+                "n_known": pa.array(n_known.astype(np.int64)),
                 "train_tokens": pa.array([train_tokens] * len(texts), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(total, pa.float64()),
