@@ -41,6 +41,7 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,13 +139,30 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def _tight(data: bytes) -> bytes:
+    """Compressed, so that rows stay small in the JVM as well."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _loose(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    return _tight(planes(values, 8))
+
+
+def _from_numbers(data: bytes) -> np.ndarray:
+    return unplaned(_loose(data), 8)
+
+
 def _rising(keys: np.ndarray) -> bytes:
     """Ordered keys as their differences, which compress well."""
-    return planes(np.diff(keys, prepend=np.uint64(0)), 8)
+    return _numbers(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
 def _risen(data: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(data, 8)).astype(np.uint64)
+    return np.cumsum(_from_numbers(data)).astype(np.uint64)
 
 
 def listed(texts: list[bytes], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +177,11 @@ def listed(texts: list[bytes], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """(block, doc_ids, texts, learnt, bytes, ends): canonical texts in blocks, written to the shared folder.
+    """(block, doc_ids, texts, learnt, bytes, ends): canonical texts in blocks, each line one, in the shared folder.
 
     ``rows`` holds doc_id, text and learnt, whether a row is learnt from.
     """
-    schema = "block long, doc_ids array<long>, texts array<binary>, learnt array<boolean>, bytes long, ends long"
+    schema = "block long, doc_ids array<long>, texts binary, learnt array<boolean>, bytes long, ends long"
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +193,8 @@ def pack(rows: DataFrame) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             doc_ids, texts, learnt = (list(x) for x in zip(*held, strict=True))
-            row = (number, doc_ids, texts, learnt, size, sum(learnt))
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.int64(), pa.int64()]
+            row = (number, doc_ids, _tight(b"".join(texts)), learnt, size, sum(learnt))
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.bool_()), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
@@ -218,6 +236,7 @@ def bucketed(packed: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 number, texts, learnt = (batch.column(c)[at].as_py() for c in ("block", "texts", "learnt"))
+                texts = _loose(texts).splitlines(keepends=True)
                 rows = [(number, *row) for row in _bucket_rows(texts, np.array(learnt), buckets)]
                 for start in range(0, len(rows), 64):
                     columns = zip(*rows[start : start + 64], strict=True)
@@ -228,25 +247,25 @@ def bucketed(packed: DataFrame, buckets: int) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         parts = table.sort_by("block").to_pydict()
         windows = [_risen(k) for k in parts["keys"]]
-        counts = np.concatenate([unplaned(n) for n in parts["counts"]])
+        counts = np.concatenate([_from_numbers(n) for n in parts["counts"]])
         keys, total = _summed(np.concatenate(windows), counts)
         number: dict[bytes, int] = {}
         words = []
         for blob, lengths in zip(parts["terms"], parts["lengths"], strict=True):
-            ends = np.cumsum(unplaned(lengths)).tolist()
+            blob, ends = _loose(blob), np.cumsum(_from_numbers(lengths)).tolist()
             own = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             words.append(np.array([number.setdefault(term, len(number)) for term in own], np.int64))
         mass = np.zeros(len(number), np.int64)
         for place, weight in zip(words, parts["weights"], strict=True):
-            mass[place] += unplaned(weight, 8)
-        places = [planes(np.diff(np.searchsorted(keys, own), prepend=0)) for own in windows]
+            mass[place] += _from_numbers(weight)
+        places = [_rising(np.searchsorted(keys, own)) for own in windows]
         row = {
             "bucket": (parts["bucket"][0], pa.int32()),
             "keys": (_rising(keys), pa.binary()),
-            "counts": (planes(total, 8), pa.binary()),
+            "counts": (_numbers(total), pa.binary()),
             "blocks": (parts["block"], pa.list_(pa.int64())),
             "places": (places, pa.list_(pa.binary())),
-            "words": ([planes(mass[own], 8) for own in words], pa.list_(pa.binary())),
+            "words": ([_numbers(mass[own]) for own in words], pa.list_(pa.binary())),
             "used": (int((mass > 0).sum()), pa.int64()),
             "mass": (int(mass.sum()), pa.int64()),
         }
@@ -275,7 +294,7 @@ def _bucket_rows(texts: list[bytes], learnt: np.ndarray, buckets: int) -> Iterat
         if mine.size or own:
             lengths, weights = np.array([[len(t), seen[t]] for t in own], np.int64).reshape(-1, 2).T
             yield (
-                bucket, _rising(keys[mine]), planes(counts[mine]), b"".join(own), planes(lengths), planes(weights, 8),
+                bucket, _rising(keys[mine]), _numbers(counts[mine]), _tight(b"".join(own)), _numbers(lengths), _numbers(weights),
             )
 
 
@@ -336,7 +355,7 @@ def count_tables(windows: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                keys, counts = _risen(k), unplaned(n, 8)
+                keys, counts = _risen(k), _from_numbers(n)
                 byte = (keys & np.uint64(255)).astype(np.int64)
                 for order in range(SHARED + 1):
                     slots = np.concatenate(
@@ -507,7 +526,7 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
             values = np.zeros(weights.size + 2 * _GATES + mixer_cells)
             for batch in batches:
                 for k, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts")), strict=True):
-                    keys, counts = _risen(k), unplaned(n, 8)
+                    keys, counts = _risen(k), _from_numbers(n)
                     keys, counts = keys[counts > 0], counts[counts > 0]
                     # Neighbours in key order are alike: a fixed shuffle mixes them.
                     order = np.argsort(_mixed(keys), kind="stable")
@@ -552,14 +571,14 @@ def judged(windows: DataFrame, mixer: Mixer) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_py() for name in ("bucket", "keys", "counts", "blocks", "places", "words")}
-                keys, counts = _risen(row["keys"]), unplaned(row["counts"], 8)
+                keys, counts = _risen(row["keys"]), _from_numbers(row["counts"])
                 own = Mixer(shared.value[0])
                 _, own.weights, own.seen = shared.value
                 steps = np.rint(own.score(keys, long_counts(keys, counts)) * -_UNIT).astype(np.int64)
                 out = []
                 for block, places, words in zip(row["blocks"], row["places"], row["words"], strict=True):
-                    place = np.cumsum(unplaned(places))
-                    out.append((block, row["bucket"], _rising(keys[place]), planes(steps[place]), words))
+                    place = _risen(places)
+                    out.append((block, row["bucket"], _rising(keys[place]), _numbers(steps[place]), words))
                 for start in range(0, len(out), 64):
                     columns = zip(*out[start : start + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -615,17 +634,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, texts = (left.column(c)[0].as_py() for c in ("doc_ids", "texts"))
+        texts = _loose(texts).splitlines(keepends=True)
         parts = right.sort_by("bucket").to_pydict()
         lookup = Lookup(
             np.concatenate([_risen(k) for k in parts["keys"]]),
-            np.concatenate([unplaned(s) for s in parts["scores"]]),
+            np.concatenate([_from_numbers(s) for s in parts["scores"]]),
         )
         steps = np.zeros(len(texts))
         for keys, owner in window_parts(texts):
             steps += np.bincount(owner, lookup.of(keys), len(texts))
         terms, _, order = _terms(texts, buckets)
         counts = np.zeros(len(terms), np.int64)
-        counts[order] = np.concatenate([unplaned(w, 8) for w in parts["words"]])
+        counts[order] = np.concatenate([_from_numbers(w) for w in parts["words"]])
         number = dict(zip(terms, range(len(terms)), strict=True))
         logs, known = np.log10(counts + 1.0), counts > 0
         base, n_tokens, n_known = np.empty((3, len(texts)))

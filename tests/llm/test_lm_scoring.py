@@ -94,7 +94,7 @@ def packed(df):
 def test_window_counts_are_exact(odd, odd_rows):
     got = Counter()
     for row in lm_scoring.bucketed(packed(odd.repartition(3)), 5).collect():
-        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring._from_numbers(row["counts"])
         got.update({opened(k): n for k, n in zip(keys, counts.tolist(), strict=True)})
     texts = [lm_scoring.canonical((t or "").encode()) for i, t in odd_rows if fold(i) not in (None, 2)]
     assert +got == sum(window_counts(texts), Counter())
@@ -115,7 +115,7 @@ def test_counts_of_contexts_by_brute_force(spark, odd, odd_rows):
             for bit in range(8):
                 seen[before[:order], (256 | byte) >> (8 - bit), byte >> (7 - bit) & 1] += n
     for row in windows.collect():
-        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+        keys, counts = lm_scoring._risen(row["keys"]), lm_scoring._from_numbers(row["counts"])
         longer = lm_scoring.long_counts(keys, counts)
         for at in range(0, keys.size, 7):
             before, byte = opened(keys[at])
@@ -162,7 +162,7 @@ def test_scores_by_brute_force_and_chances_sum_to_one(spark, odd):
     windows = lm_scoring.bucketed(packed(odd), 5)
     mixer = lm_scoring.learn(windows, lm_scoring.count_tables(windows))
     row = max(windows.collect(), key=lambda row: len(row["keys"]))
-    keys, counts = lm_scoring._risen(row["keys"]), lm_scoring.unplaned(row["counts"], 8)
+    keys, counts = lm_scoring._risen(row["keys"]), lm_scoring._from_numbers(row["counts"])
     longer = lm_scoring.long_counts(keys, counts)
     got = mixer.score(keys, longer)
     for at in range(0, keys.size, max(1, keys.size // 50)):
