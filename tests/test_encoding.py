@@ -124,3 +124,31 @@ def test_woe(spark, tmp_path):
         return np.log(((g + 0.5) / good) / ((b + 0.5) / bad))
 
     assert got == pytest.approx([weight(2, 0), weight(0, 1), weight(1, 0), 0.0])
+
+
+def test_woe_lookup_equals_join(spark, monkeypatch):
+    rows = [
+        (i, None if i % 2 else f"v{i % 7}", "nan" if i % 5 == 0 else f"w{i % 3}", None if i % 11 else float(i), i % 3 % 2)
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c double, y int").repartition(4)
+    columns = ["a", "b", "c"]
+    table = woe.woe_table(df, columns, "y")
+    asked = df.union(spark.createDataFrame([(300, "new", None, 0.5, 0)], df.schema))
+
+    def weighed():
+        out = woe.apply_woe(asked, table, columns)
+        assert out.columns == asked.columns
+        return out
+
+    looked_up = weighed()
+    plan = looked_up._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(woe, "LISTED", 0)
+    want = {(r["column"], r["value"]): r["woe"] for r in table.collect()}
+    for result in (looked_up.collect(), weighed().collect()):
+        got = {r["id"]: r for r in result}
+        assert len(result) == 301 and tuple(got[300])[1:4] == (0.0, want["b", "nan"], 0.0)
+        for i, a, b, c, _ in rows:
+            texts = [str(v) if v is not None else "nan" for v in (a, b, c)]
+            assert tuple(got[i])[1:4] == pytest.approx([want[k] for k in zip(columns, texts, strict=True)])
