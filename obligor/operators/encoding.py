@@ -2,7 +2,9 @@
 
 Statistics are gathered by a few distributed passes and then applied as literals, so
 transforming is a projection. Categories are looked up in a hash map that the fitted state
-carries, whatever their number up to ``MAX_CATEGORIES``.
+carries while all lists together have at most ``MAX_CATEGORIES`` values. The longest lists
+beyond that stay in a table of codes which is joined: their frequent values are still
+looked up in place, so no value makes a hot key.
 """
 
 from __future__ import annotations
@@ -18,8 +20,15 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import (
+    DefaultParamsReader,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +36,21 @@ from obligor.functions.numeric import is_floating, known
 from obligor.operators.profile import CHUNK, SchemaProfile
 from obligor.operators.running import dense_index
 from obligor.operators.selection import MAX_GROUPS, column_quantiles, quantiles
-from obligor.session import col, pin, small_table
+from obligor.session import col, pin, scratch_path, small_table
 
 # Clipping quantiles and the skew from which a column is clipped.
 CLIP_LOW = 0.01
 CLIP_HIGH = 0.99
 SKEW_THRESHOLD = 3.0
 UNKNOWN = -1
-# Categories of all columns that a model may hold; a column of free text is no category.
+# Categories of all columns that a model holds as lists; longer lists stay in a table.
 MAX_CATEGORIES = 1_000_000
+# A value of a long list held by one row in this many is looked up in place of a join.
+HOT_PARTS = 256
+# Rows that need no join are dealt over this many keys that match nothing.
+DEALT = 1024
+# Folder of the code table inside a saved encoder.
+CODES = "codes"
 
 
 # --- numeric statistics -------------------------------------------------------------
@@ -196,6 +211,16 @@ class EncoderState:
     values: dict[str, list[str]] = field(default_factory=dict)
     orders: dict[str, list[str]] = field(default_factory=dict)
     sizes: dict[str, int] = field(default_factory=dict)
+    #: Codes of the frequent values of each column whose list is in the table ``codes``.
+    hot: dict[str, dict[str, int]] = field(default_factory=dict)
+    codes: str = ""
+
+    def code_table(self) -> DataFrame:
+        """(value, code, column) of the long lists, a folder per column."""
+        return SparkSession.active().read.schema("value string, code int, column string").parquet(self.codes)
+
+    def code_rows(self, name: str) -> DataFrame:
+        return self.code_table().where(F.col("column") == name).select("value", "code")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -239,18 +264,63 @@ def fit_encoder(
         modes = {r["column"]: r for r in most_frequent(counts, numeric).collect()}
         state.modes = {c: r["value"] for c, r in modes.items()}
         state.sizes = {c: modes[c]["categories"] if c in modes else 0 for c in coded}
-        listed = list(dict.fromkeys([*state.boolean, *state.categorical]))
-        held = sum(state.sizes[c] for c in listed)
-        if held > max_categories:
-            raise ValueError(f"{held} categories; a model holds {max_categories} at most.")
+        long = _long_lists(state, max_categories)
+        _store_codes(counts.withColumn("group", F.lit(ALL_ROWS)), long, numeric, {ALL_ROWS: state})
+        listed = [c for c in dict.fromkeys([*state.boolean, *state.categorical]) if c not in long]
         lists: dict[str, list[str]] = {c: [] for c in listed}
         if listed:
             for row in counts.where(F.col("column").isin(*listed)).toLocalIterator():
                 lists[row["column"]].append(row["value"])
-        state.values = {c: sorted(v, key=sort_key(df, c)) for c, v in lists.items()}
+        state.values.update({c: sorted(v, key=sort_key(df, c)) for c, v in lists.items()})
     return state
 
 
+def _long_lists(state: EncoderState, max_categories: int) -> list[str]:
+    """The one-hot columns whose lists go to the table: the longest, until the rest fits."""
+    room = max_categories - sum(state.sizes[c] for c in state.boolean)
+    long = []
+    for name in sorted(state.categorical, key=lambda c: (state.sizes[c], c)):
+        room -= state.sizes[name]
+        if room < 0:
+            long.append(name)
+    return long
+
+
+def _store_codes(
+    counts: DataFrame, long: Sequence[str], numeric: Sequence[str], states: Mapping[str, EncoderState]
+) -> None:
+    """Write the codes of long lists, numbered in value order within each group and column.
+
+    ``counts`` has (group, column, value, rows). Numbering is one range shuffle for all groups;
+    a frequent value is one of at most ``HOT_PARTS`` per group and column, or the mode.
+    """
+    if not long:
+        return
+    spark = counts.sparkSession
+    number = F.when(F.col("column").isin(*numeric), F.col("value").try_cast("double"))
+    wanted = counts.where(F.col("column").isin(*long)).select(
+        "group", "column", number.alias("number"), "value", "rows"
+    )
+    numbered = dense_index(wanted, [F.col(c) for c in ("group", "column", "number", "value")], "at")
+    # One row per group and column.
+    starts = numbered.groupBy("group", "column").agg(F.min("at").alias("start"), F.sum("rows").alias("all"))
+    coded = numbered.join(F.broadcast(starts), ["group", "column"]).select(
+        "group", "column", "value", (F.col("at") - F.col("start")).cast("int").alias("code"), "rows", "all"
+    )
+    path = scratch_path(spark, "codes")
+    coded.write.partitionBy("group", "column").parquet(path)
+    stored = spark.read.schema(coded.schema).parquet(path)
+    modes = [(g, c, state.modes[c]) for g, state in states.items() for c in long if c in state.modes]
+    mode = F.broadcast(small_table(spark, modes, "group string, column string, mode string"))
+    frequent = (F.col("rows") * HOT_PARTS >= F.col("all")) | (F.col("value") == F.col("mode"))
+    for group, state in states.items():
+        state.codes = f"{path}/group={group}"
+        state.hot = {c: {} for c in long}
+        state.values.update({c: [] for c in long})
+    for row in stored.join(mode, ["group", "column"]).where(frequent).collect():
+        states[row["group"]].hot[row["column"]][row["value"]] = row["code"]
+
+
 # --- the encoders of all folds --------------------------------------------------------
 
 
@@ -468,14 +538,19 @@ def _fit_categories(
     )
     names = [f"{_group(k)}:{c}" for k in states for c in numeric]
     modes = {r["column"]: r for r in most_frequent(grouped, names).collect()}
-    listed = list(dict.fromkeys([*first.boolean, *first.categorical]))
     for k, state in states.items():
         own = {c: modes.get(f"{_group(k)}:{c}") for c in coded}
         state.modes = {c: r["value"] for c, r in own.items() if r}
         state.sizes = {c: r["categories"] if r else 0 for c, r in own.items()}
-        held = sum(state.sizes[c] for c in listed)
-        if held > max_categories:
-            raise ValueError(f"{held} categories; a model holds {max_categories} at most.")
+    # The lists of all rows are the longest, so what fits there fits everywhere.
+    long = _long_lists(first, max_categories)
+    by_group = (
+        counts.select(F.explode(_groups("_fold", folds)).alias("group"), "column", "value", "rows")
+        .groupBy("group", "column", "value")
+        .agg(F.sum("rows").alias("rows"))
+    )
+    _store_codes(by_group, long, numeric, {_group(k): state for k, state in states.items()})
+    listed = [c for c in dict.fromkeys([*first.boolean, *first.categorical]) if c not in long]
     lists: dict[int | None, dict[str, list[str]]] = {k: {c: [] for c in listed} for k in states}
     if listed:
         # A value is known to the rest of a fold if any other fold has it.
@@ -487,7 +562,7 @@ def _fit_categories(
                 if k is None or row["low"] != k or row["high"] != k:
                     values[row["column"]].append(row["value"])
     for k, state in states.items():
-        state.values = {c: sorted(v, key=sort_key(df, c)) for c, v in lists[k].items()}
+        state.values.update({c: sorted(v, key=sort_key(df, c)) for c, v in lists[k].items()})
 
 
 def numeric_value(state: EncoderState, name: str, scaled: bool) -> Column:
@@ -534,26 +609,62 @@ def encode(df: DataFrame, state: EncoderState, scaled: bool) -> DataFrame:
         _filled_text(df, state, c).alias(text) for c, text in zip(state.categorical, texts, strict=True)
     ]
     encoded = df.select(*out)
-    return _indexer(state).transform(encoded).drop(*texts) if texts else encoded
-
-
-@lru_cache(maxsize=8)
-def _indexer_of(labels: tuple[tuple[str, tuple[str, ...]], ...]) -> StringIndexerModel:
-    """Hash lookup of the position in each list; anything else gets the list's length."""
-    return StringIndexerModel.from_arrays_of_labels(
-        [list(values) for _, values in labels],
-        inputCols=[f"_text_of_cat__{c}" for c, _ in labels],
-        outputCols=[f"cat__{c}" for c, _ in labels],
-        handleInvalid="keep",
+    if not texts:
+        return encoded
+    placed = encoded
+    for name in state.categorical:
+        if name in state.hot:
+            placed = _joined_code(placed, state, name, df)
+        else:
+            placed = _indexer(f"_text_of_cat__{name}", f"cat__{name}", tuple(state.values[name])).transform(placed)
+    # Joins put their columns last: back to the order of the branches.
+    return placed.select(*[col(c) for c in encoded.columns if c not in texts], *[col(f"cat__{c}") for c in state.categorical])
+
+
+def _joined_code(encoded: DataFrame, state: EncoderState, name: str, df: DataFrame) -> DataFrame:
+    """``cat__x`` of a long list: the code of a frequent value in place, any other by a join.
+
+    Rows with a frequent value, which those imputed by the mode are, meet no row of the table:
+    they are dealt over many keys by a hash of the row, which a repeated task reproduces.
+    """
+    size = state.sizes[name]
+    hot = state.hot[name]
+    text, place, found, deal, value, code, zero = (
+        f"_{part}_of_cat__{name}" for part in ("text", "place", "found", "deal", "value", "code", "zero")
+    )
+    nothing = F.lit(0).cast("long")
+    in_place = F.get(F.array(*[F.lit(hot[v]) for v in sorted(hot)]).cast("array<int>"), col(place).cast("int"))
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    dealt = 1 + F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(DEALT))
+    indexed = _indexer(text, place, tuple(sorted(hot))).transform(encoded)
+    asked = indexed.withColumn(found, in_place).withColumn(
+        deal, F.when(col(found).isNull() & col(text).isNotNull(), nothing).otherwise(dealt)
     )
+    coded = F.lit(None).cast("int")
+    if size:
+        codes = state.code_rows(name).select(
+            F.col("value").alias(value), F.col("code").alias(code), nothing.alias(zero)
+        )
+        asked = asked.join(codes, (col(text) == col(value)) & (col(deal) == col(zero)), "left")
+        coded = col(code)
+    kind = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+    best = F.coalesce(col(found), coded, F.lit(size)).cast("double")
+    return asked.select("*", best.alias(f"cat__{name}", metadata=kind)).drop(found, deal, value, code, zero, place)
+
 
+@lru_cache(maxsize=64)
+def _indexer(source: str, target: str, labels: tuple[str, ...]) -> StringIndexerModel:
+    """Hash lookup of the position in a list; anything else gets the list's length.
 
-def _indexer(state: EncoderState) -> StringIndexerModel:
-    return _indexer_of(tuple((c, tuple(state.values[c])) for c in state.categorical))
+    One column each: a model of several pads their lists to the longest one with nulls.
+    """
+    return StringIndexerModel.from_labels(list(labels), inputCol=source, outputCol=target, handleInvalid="keep")
 
 
 def one_hot_columns(df: DataFrame, state: EncoderState, name: str) -> list[Column]:
     """0/1 columns of a categorical; unknown values are all zeros."""
+    if name in state.hot:
+        raise ValueError(f"'{name}' has {state.sizes[name]} categories: too many for a column each.")
     value = _filled_text(df, state, name)
     return [(value == v).cast("int").alias(f"{name}_{v}") for v in state.values[name]]
 
@@ -575,8 +686,11 @@ class TableEncoder(Estimator):
         return TableEncoderModel(state=state.to_json(), scaled=self.scaled)
 
 
-class TableEncoderModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Append the encoded columns, using fitted statistics only."""
+class TableEncoderModel(Model, MLReadable, MLWritable):
+    """Append the encoded columns, using fitted statistics only.
+
+    Saving copies the codes of long lists into the model, so it needs no other folder.
+    """
 
     state = Param(Params._dummy(), "state", "fitted statistics as JSON", TypeConverters.toString)
     scaled = Param(Params._dummy(), "scaled", "standardise numerics", TypeConverters.toBoolean)
@@ -594,6 +708,31 @@ class TableEncoderModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return encode(dataset, self.fitted, self.getOrDefault(self.scaled))
 
+    def write(self) -> MLWriter:
+        return _EncoderWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EncoderReader(cls)
+
+
+class _EncoderWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        state = self.instance.fitted
+        if any(state.sizes[c] for c in state.hot):
+            state.code_table().write.partitionBy("column").parquet(f"{path}/{CODES}")
+
+
+class _EncoderReader(DefaultParamsReader):
+    def load(self, path: str) -> TableEncoderModel:
+        model = super().load(path)
+        state = model.fitted
+        if state.hot:
+            state.codes = f"{path}/{CODES}"
+            model._set(state=state.to_json())
+        return model
+
 
 def encoded_columns(state: EncoderState) -> list[str]:
     return [

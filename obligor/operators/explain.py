@@ -291,13 +291,14 @@ def shapley_of_vectors(
 
     The same values as ``shapley_values`` of the slots as columns: a switch of a slot that is
     equal in both rows changes nothing, so a walk only steps through those that differ.
-    Its length follows the filled slots of two rows, not the number of categories.
+    Its length follows the filled slots of two rows, not the number of categories. Slots
+    with an empty name are not reported.
     """
     spark = df.sparkSession
     reach_workers(spark)
     # The sample is a few rows, and the background of each of them.
     sample = df.select(col(id_col).alias("id"), F.unwrap_udt("features").alias("v")).orderBy("id").collect()
-    held = [_filled_slots(r["v"]) for r in sample]
+    held = [filled_slots(r["v"]) for r in sample]
     ids = spark.createDataFrame(
         [(i, r["id"]) for i, r in enumerate(sample)],
         T.StructType([T.StructField("_row", T.IntegerType()), T.StructField(id_col, df.schema[id_col].dataType)]),
@@ -321,7 +322,7 @@ def shapley_of_vectors(
     ).where("s.k >= 0")
     total = shares.groupBy("_row", F.col("s.k").alias("k")).agg((F.sum("s.p") / (len(sample) * len(places))).alias("value"))
     every = ids.select("_row", col(id_col), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
-    label = spark.createDataFrame(list(enumerate(names)), "k int, feature string")
+    label = spark.createDataFrame([(k, name) for k, name in enumerate(names) if name], "k int, feature string")
     return (
         every.join(total, ["_row", "k"], "left")
         .join(label, "k")
@@ -329,7 +330,8 @@ def shapley_of_vectors(
     )
 
 
-def _filled_slots(vector: Row) -> dict[int, float]:
+def filled_slots(vector: Row) -> dict[int, float]:
+    """The values of an unwrapped vector that are not zero, by slot."""
     places = vector["indices"] if vector["indices"] is not None else range(len(vector["values"]))
     return {k: v for k, v in zip(places, vector["values"], strict=True) if v}
 

@@ -43,8 +43,21 @@ def test_equal_to_one_fit_per_fold(spark, rows):
         for name in ("fills", "clips", "scales"):
             close(getattr(state, name), getattr(alone, name))
     assert "fold_one" not in states[1].numeric and "only in fold 0" not in states[0].values["kind"]
-    with pytest.raises(ValueError, match="categories"):
-        encoding.fit_encoders(rows, profile, orders, "fold", [0, 1, 2], max_categories=2)
+
+
+def test_long_lists_of_all_folds(spark, rows):
+    """Lists that go to the table give the same codes as lists in the model, fold by fold."""
+    profile, orders = profile_schema(rows.drop("fold"), "row_id")
+    assert "kind" in profile.categorical
+    listed = encoding.fit_encoders(rows, profile, orders, "fold", [0, 1, 2])
+    stored = encoding.fit_encoders(rows, profile, orders, "fold", [0, 1, 2], max_categories=2)
+    for fold, state in stored.items():
+        assert "kind" in state.hot and not state.values["kind"]
+        assert (state.sizes, state.modes, state.boolean) == (listed[fold].sizes, listed[fold].modes, listed[fold].boolean)
+        want = encoding.encode(rows, listed[fold], False)
+        got = encoding.encode(rows, state, False)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_jobs_do_not_grow_with_the_folds(spark, rows):

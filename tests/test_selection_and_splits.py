@@ -209,14 +209,6 @@ def test_long_category_lists_need_no_join(spark):
         assert row["cat__city"] == order.get(row["city"], 2500)
 
 
-def test_too_many_categories_are_refused(spark):
-    from obligor.operators.profile import SchemaProfile
-
-    df = spark.range(50).select(F.col("id").cast("string").alias("city"))
-    with pytest.raises(ValueError, match="50 categories"):
-        encoding.fit_encoder(df, SchemaProfile(categorical=["city"]), {}, max_categories=49)
-
-
 def test_ranks_refuse_nan(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", float("nan"))], "g string, v double")
     with pytest.raises(ValueError, match="NaN"):
