@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -141,3 +142,41 @@ def test_sampled_share():
     keys = np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64)
     first, second = (boosting.sampled(keys, 0.7, 42, turn) for turn in (0, 1))
     assert abs(first.mean() - 0.7) < 0.01 and abs((first & second).mean() - 0.49) < 0.01
+
+
+def test_filled_columns_take_two_bytes_a_row(spark, monkeypatch):
+    """Whole columns give the trees that entries give, in a fraction of their bytes."""
+    df = frame(spark, rows_of(8, 400, 2))
+    sizes, found = [], []
+    written = boosting.batch_of
+
+    def counted(rows, schema):
+        if schema == boosting._BLOCKS:
+            sizes.append(sum(len(v) for v in rows[0][5:9]) / rows[0][1])
+        return written(rows, schema)
+
+    for share in (boosting.DENSE_SHARE, 2.0):
+        monkeypatch.setattr(boosting, "DENSE_SHARE", share)
+        found.append({at: m.to_json() for at, m in fit(df, 2).items()})
+    assert found[0] == found[1]
+    monkeypatch.setattr(boosting, "batch_of", counted)
+    monkeypatch.setattr(boosting, "DENSE_SHARE", 0.25)
+    vector = df.select(F.unwrap_udt("features").alias("vector")).toArrow()["vector"].combine_chunks()
+    fields = {n: pa.array([v] * len(vector), t) for n, v, t in (("part", 0, pa.int32()), ("label", 0, pa.int32()), ("weight", 1.0, pa.float64()), ("key", 1, pa.int64()))}
+    batch = pa.RecordBatch.from_pydict({**fields, "vector": vector if isinstance(vector, pa.Array) else vector.chunk(0)})
+    layout = boosting.Layout(5, {0: np.array([-2.0, 0.0, 1.5]), 1: np.arange(11.0), 3: np.array([0.0]), 4: np.array([0.0, 5.0])})
+    list(boosting._packed({0: layout}, {0: 1}, 1)([batch]))
+    # Three of five columns are filled; the old entries took eight bytes for each filled value, over sixteen a row.
+    assert sizes and max(sizes) < 10
+
+
+def test_a_walk_over_cuts_ends_where_levels_end(monkeypatch):
+    rng = np.random.default_rng(4)
+    tree, columns = boosting.Tree(), rng.integers(0, 9, (3, 500))
+    opened = [0]
+    for depth in range(3):
+        opened = [c for node in opened for c in tree.split(node, int(rng.integers(3)), int(rng.integers(9)), 0.0, (1.0, 2.0))]
+        tree.depth = depth + 1
+    near = tree.place(lambda c: columns[c], tree.cut, 500)
+    monkeypatch.setattr(boosting, "FEW_CUTS", 0)
+    assert (near == tree.place(lambda c: columns[c], tree.cut, 500)).all()
