@@ -102,3 +102,29 @@ def test_empty_vectors_and_a_missing_part(spark):
     assert got[0] == pytest.approx(got[1]) and got[2][1] > got[0][1]
     with pytest.raises(ValueError):
         logistic.fit_all([df, df.where("id < 0")], [{"C": 1.0}], [[{0: 1.0, 1: 1.0}]] * 2, 2, "y")
+
+
+def test_two_classes_take_few_passes_and_the_curvature_is_that_of_the_loss(spark, monkeypatch):
+    """Newton's steps: related columns and very different scales cost no extra passes."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        x = [rng.gauss(0, 1), rng.gauss(0, 30), float(rng.random() < 0.3)]
+        x += [x[0] + 0.05 * rng.gauss(0, 1), 1.0 - x[2], rng.random() ** 8]
+        rows.append((i, Vectors.dense(x), int(x[0] + 0.05 * x[1] + 3 * x[5] + rng.gauss(0, 0.6) > 0.8)))
+    df = spark.createDataFrame(rows, ["id", "features", "y"]).repartition(3)
+    passes = []
+    gathered = logistic._gathered
+    monkeypatch.setattr(logistic, "_gathered", lambda *a: passes.append(1) or gathered(*a))
+    logistic.fit_all([df], [{"C": 50.0}], [[dict.fromkeys((0, 1), 1.0)]], 2, "y")
+    assert len(passes) <= 11
+    x, labels, of_class = np.random.default_rng(5).normal(size=(30, 3)), np.arange(30) % 2, np.array([1.0, 2.0])
+    row, column = np.repeat(np.arange(30), 3), np.tile(np.arange(3), 30)
+    point = np.array([[0.3, -0.2, 0.5, 0.1]])
+    found = logistic.judged_whole(point, labels, x, of_class, True)
+    assert np.allclose(found[:5], logistic.judged(point, labels, row, column, x.ravel(), of_class))
+    for at in range(4):
+        step = np.zeros((1, 4))
+        step[0, at] = 1e-5
+        near = [logistic.judged_whole(point + d * step, labels, x, of_class, False)[1:] for d in (1, -1)]
+        assert np.allclose(found[5:].reshape(4, 4)[at], (near[0] - near[1]) / 2e-5, rtol=1e-4, atol=1e-6)
