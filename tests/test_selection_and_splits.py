@@ -237,3 +237,39 @@ def test_a_missed_rank_is_found_by_bins(spark, monkeypatch):
     monkeypatch.setattr(selection, "SKETCH_ERROR", 0.0)
     hits = selection.order_statistics(pin(values_of(spark, {"a": numbers})), {"a": [0, 2500, 4999]}, exact_rows=20)
     assert [hits["a", r].value for r in (0, 2500, 4999)] == [sorted(numbers)[r] for r in (0, 2500, 4999)]
+
+
+@pytest.mark.parametrize("exact_rows", [5, 60, 10**6])
+def test_quantiles_of_all_folds_from_rows_as_they_are(spark, exact_rows, monkeypatch):
+    """Each pass reads a row once for all columns and folds; nothing is spread out but the brackets."""
+    rng = random.Random(exact_rows)
+    rows = [
+        (
+            i % 4,
+            rng.choice([None, float("nan"), rng.lognormvariate(0, 4), rng.gauss(0, 1), rng.gauss(0, 1)]),
+            rng.choice([None, 3, 3, 3, 4, 9]),
+            rng.choice([-0.0, 0.0, 1.5]),
+            None,
+        )
+        for i in range(900)
+    ]
+    df = spark.createDataFrame(rows, "fold int, a double, b int, c double, d double").repartition(3)
+    names, points = ["a", "b", "c", "d"], [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    groups = [(k, c) for k in (None, 0, 1, 2, 3) for c in names]
+    fills = {(k, c): v for k in (None, 1) for c, v in (("a", 0.25), ("b", 3.0))}
+    spread = []
+    explode = selection.F.explode
+    monkeypatch.setattr(selection.F, "explode", lambda x: spread.append(x) or explode(x))
+    plain = selection.fold_quantiles(df, groups, points, "fold", exact_rows=exact_rows)
+    assert len(spread) <= 3  # only after the brackets are known, for twenty of them at a time
+    imputed = selection.fold_quantiles(df, list(fills), points, "fold", fills, exact_rows)
+    for found, filled in ((plain, {}), (imputed, fills)):
+        for k, c in groups if not filled else filled:
+            at = 1 + names.index(c)
+            held = [r[at] for r in rows if k is None or r[0] != k]
+            known = [filled.get((k, c)) if v is None or v != v else float(v) for v in held]
+            known = [v for v in known if v is not None]
+            if known:
+                assert np.allclose(found[k, c], np.quantile(known, points), rtol=1e-12, atol=1e-12), (k, c)
+            else:
+                assert (k, c) not in found
