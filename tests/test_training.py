@@ -240,3 +240,12 @@ def test_binary_analysis_tables(spark):
     with pytest.raises(ValueError, match="no value"):
         gaps = binary_rows(spark).withColumn("outcome", F.when(F.col("row_id") > 3, F.col("outcome")))
         analyze.analyze(pin(gaps), "outcome", config(), positive="bad", folds=2)
+
+
+def test_a_forest_reads_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(training, "FOREST_ROWS", 50)
+    whole = spark.range(1000).coalesce(2)
+    dealt = training._dealt(whole, 1000)
+    sizes = [len(part) for part in dealt.rdd.glom().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
+    assert training._dealt(whole, 80) is whole
