@@ -180,3 +180,54 @@ def test_a_walk_over_cuts_ends_where_levels_end(monkeypatch):
     near = tree.place(lambda c: columns[c], tree.cut, 500)
     monkeypatch.setattr(boosting, "FEW_CUTS", 0)
     assert (near == tree.place(lambda c: columns[c], tree.cut, 500)).all()
+
+
+def test_blocks_are_read_once_and_lost_ones_again_with_the_same_trees(spark, monkeypatch):
+    df = frame(spark, rows_of(5, 200, 2))
+    want = {at: m.to_json() for at, m in fit(df.coalesce(1), 2).items()}
+    made, reads, real = [], [], boosting.Stored.at
+    seen = spark.sparkContext.accumulator(0)
+
+    def at(spark, path):
+        blocks = real(spark, path)
+
+        def counted(rows):
+            for row in rows:
+                seen.add(1)
+                yield row
+
+        blocks.kept = blocks.kept.mapPartitions(counted).persist()
+        made.append(blocks)
+        return blocks
+
+    monkeypatch.setattr(boosting.Stored, "at", at)
+    assert {at: m.to_json() for at, m in fit(df.coalesce(1), 2).items()} == want
+    assert len(made) == 1 and seen.value == 1  # one block, read by the first pass only
+    monkeypatch.setattr(boosting, "REWRITE_ROUNDS", 1)
+    cuts = boosting.Pass.cuts
+
+    def lost(self, blocks):
+        blocks.kept.unpersist()
+        reads.append(blocks.renewed)
+        return cuts(self, blocks)
+
+    monkeypatch.setattr(boosting.Pass, "cuts", lost)
+    monkeypatch.setattr(boosting, "WRITTEN", 2)
+    again = fit(df.coalesce(1), 2)
+    assert max(reads) == 1 and len(made) > 2
+    for key, model in again.items():
+        assert np.allclose(predicted(spark, df, model), predicted(spark, df, boosting.Boosted.from_json(want[key])), atol=1e-12)
+
+
+def test_columns_that_a_tree_may_not_use_are_not_summed():
+    cuts = {0: np.arange(4.0), 1: np.arange(4.0)}
+    layout = boosting.Layout(2, cuts)
+    codes = np.array([[0, 1, 2, 3], [3, 2, 1, 0]], "<u2")
+    row = {"part": 0, "rows": 4, "labels": b"", "weights": b"", "keys": b"", "dense": np.array([0, 1], "<i4").tobytes(),
+           "codes": codes.tobytes(), "entry_rows": b"", "entry_bins": b"", "ends": np.zeros(2, "<i8").tobytes(), "margins": b""}
+    block = boosting.Block(row, layout, 1)
+    slot, ones = np.zeros(4, np.int64), np.ones(4)
+    both = block.histogram(slot, 1, (ones,), np.array([True, True]))
+    first = block.histogram(slot, 1, (ones,), np.array([True, False]))
+    assert (first[:, :, :5] == both[:, :, :5]).all() and (first[:, :, -1] == 4).all()
+    assert both[:, :, 5:10].any() and not first[:, :, 5:10].any()
