@@ -34,10 +34,10 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +61,13 @@ PRIOR = 0.4
 _STEP, _SCORED = 1024, 1 << 15
 #: Bytes of text after which a block is closed, and bytes whose windows are listed at a time.
 BLOCK_BYTES, _PART_BYTES = 8_000_000, 1_000_000
+#: Windows that a block sorts at a time.
+_SORTED = 9_000_000
 #: Bytes of the table for each bucket, and the smallest number of buckets.
 BUCKET_BYTES, _BUCKETS = 16_000_000, 16
-#: Places in which a block looks up its windows before it searches.
-_PLACE_BITS = 22
+#: Places in which a block looks up its windows, and those that lost theirs, before it searches.
+_PLACE_BITS, _SECOND_BITS = 22, 20
+_SPREAD, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: Steps of a window's score, in each unit of log10.
 _UNIT = 1 << 14
 #: Steps to which weights are rounded before they are added up.
@@ -167,13 +170,32 @@ def _risen(data: bytes) -> np.ndarray:
 
 def listed(texts: list[bytes], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of canonical texts in order, and how often texts to learn from hold them."""
-    held = []
+    learnt = learnt.astype(np.uint64)
+    held, marked, size = [], [], 0
     for keys, owner in window_parts(texts):
-        marked = np.sort(keys << np.uint64(1) | learnt[owner].astype(np.uint64))
-        keys = marked >> np.uint64(1)
-        starts = _starts(keys)
-        held.append((keys[starts], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts)))
-    return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        keys <<= np.uint64(1)
+        keys |= learnt[owner]
+        marked.append(keys)
+        size += keys.size
+        # One sort of a whole block is faster than parts that are merged; longer texts stay bounded.
+        if size >= _SORTED:
+            held.append(_marked(marked))
+            marked, size = [], 0
+    if marked:
+        held.append(_marked(marked))
+    return held[0] if len(held) == 1 else _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _marked(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order and how often each is marked by its lowest bit; empties ``parts``."""
+    windows = np.concatenate(parts)
+    parts.clear()
+    windows.sort()
+    starts = np.flatnonzero((windows[1:] ^ windows[:-1]) > 1) + 1
+    starts = np.concatenate([[0], starts])
+    keys = windows[starts] >> np.uint64(1)
+    windows &= np.uint64(1)
+    return keys, np.add.reduceat(windows, starts).astype(np.int64)
 
 
 def pack(rows: DataFrame) -> DataFrame:
@@ -211,11 +233,10 @@ def pack(rows: DataFrame) -> DataFrame:
     return pin(rows.select("doc_id", "text", "learnt").mapInArrow(run, schema), "texts")
 
 
-def _terms(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of canonical texts as they come up, their buckets, and their order by bucket."""
-    terms = list(dict.fromkeys(chain.from_iterable(map(bytes.split, texts))))
+def _by_bucket(terms: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, and the order of the words by bucket."""
     bucket = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % buckets
-    return terms, bucket, np.argsort(bucket, kind="stable")
+    return bucket, np.argsort(bucket, kind="stable")
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -285,9 +306,13 @@ def _bucket_rows(texts: list[bytes], learnt: np.ndarray, buckets: int) -> Iterat
     of = _bucket(keys, buckets)
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-    terms, term_of, term_order = _terms(texts, buckets)
+    # Words in the order they come up, as the texts' own numbers of them are in ``score``.
+    seen = Counter(chain.from_iterable(map(bytes.split, texts)))
+    terms = list(seen)
+    term_of, term_order = _by_bucket(terms, buckets)
     term_cuts = np.searchsorted(term_of[term_order], np.arange(buckets + 1))
-    seen = Counter(chain.from_iterable(map(bytes.split, compress(texts, learnt))))
+    # Few texts are not learnt from.
+    seen.subtract(chain.from_iterable(map(bytes.split, compress(texts, ~learnt))))
     for bucket in range(buckets):
         mine = order[cuts[bucket] : cuts[bucket + 1]]
         own = [terms[i] for i in term_order[term_cuts[bucket] : term_cuts[bucket + 1]].tolist()]
@@ -411,7 +436,7 @@ def long_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     byte = keys & np.uint64(255)
     for order in range(SHARED + 1, ORDERS + 1):
         value = (_context(keys, order) << np.uint64(8) | byte).astype(np.int64)
-        by = np.argsort(value, kind="stable")
+        by = np.argsort(value)
         value, n = value[by], counts[by]
         for bit in range(8):
             starts = _starts(value >> (8 - bit))
@@ -529,7 +554,7 @@ def learn(windows: DataFrame, tables: list[np.ndarray]) -> Mixer:
                     keys, counts = _risen(k), _from_numbers(n)
                     keys, counts = keys[counts > 0], counts[counts > 0]
                     # Neighbours in key order are alike: a fixed shuffle mixes them.
-                    order = np.argsort(_mixed(keys), kind="stable")
+                    order = np.argsort(_mixed(keys))
                     own = Mixer(shared.value)
                     own.weights = weights.copy()
                     longer = long_counts(keys, counts)[:, :, order]
@@ -589,22 +614,33 @@ def judged(windows: DataFrame, mixer: Mixer) -> DataFrame:
 
 
 class Lookup:
-    """Scores of a block's windows: one place per hash, and a search for those that lost theirs."""
+    """Scores of a block's windows: one place per hash, another for those that lost it, and a search for the rest."""
 
     def __init__(self, keys: np.ndarray, steps: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.steps = keys[order], steps[order]
-        self.place = np.zeros(1 << _PLACE_BITS, np.int32)
-        self.place[self._at(self.keys)] = np.arange(keys.size)
+        self.first = self._places(np.arange(keys.size), _SPREAD, _PLACE_BITS)
+        lost = np.flatnonzero(self.first[self._at(self.keys, _SPREAD, _PLACE_BITS)] != np.arange(keys.size))
+        self.second = self._places(lost, _SECOND, _SECOND_BITS)
+
+    def _places(self, own: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+        place = np.zeros(1 << bits, np.int32)
+        place[self._at(self.keys[own], factor, bits)] = own
+        return place
 
     @staticmethod
-    def _at(keys: np.ndarray) -> np.ndarray:
-        return (_mixed(keys) >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)
+    def _at(keys: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+        at = keys * factor
+        at >>= np.uint64(64 - bits)
+        return at.view(np.int64)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        found = self.place[self._at(keys)]
+        found = self.first[self._at(keys, _SPREAD, _PLACE_BITS)]
         lost = np.flatnonzero(self.keys[found] != keys)
-        found[lost] = np.searchsorted(self.keys, keys[lost])
+        own = keys[lost]
+        found[lost] = again = self.second[self._at(own, _SECOND, _SECOND_BITS)]
+        rest = np.flatnonzero(self.keys[again] != own)
+        found[lost[rest]] = np.searchsorted(self.keys, own[rest])
         return self.steps[found]
 
 
@@ -643,15 +679,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         steps = np.zeros(len(texts))
         for keys, owner in window_parts(texts):
             steps += np.bincount(owner, lookup.of(keys), len(texts))
-        terms, _, order = _terms(texts, buckets)
-        counts = np.zeros(len(terms), np.int64)
-        counts[order] = np.concatenate([_from_numbers(w) for w in parts["words"]])
-        number = dict(zip(terms, range(len(terms)), strict=True))
+        # Words are numbered as they come up.
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        words = [list(map(number.__getitem__, text.split())) for text in texts]
+        counts = np.zeros(len(number), np.int64)
+        counts[_by_bucket(list(number), buckets)[1]] = np.concatenate([_from_numbers(w) for w in parts["words"]])
         logs, known = np.log10(counts + 1.0), counts > 0
         base, n_tokens, n_known = np.empty((3, len(texts)))
-        for i, text in enumerate(texts):
-            words = text.split()
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        for i, own in enumerate(words):
+            at = np.array(own, np.int64)
             n_tokens[i] = at.size + 1
             n_known[i] = known[at].sum() + (ends > 0)
             base[i] = logs[at].sum() + end - n_tokens[i] * whole

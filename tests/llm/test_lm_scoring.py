@@ -208,3 +208,34 @@ def test_query_learns_the_language(spark, sf_dir):
     bits = -math.log2(10) * sum(row.score for row in held)
     size = {row.doc_id: len(lm_scoring.canonical(row.text.encode())) for row in docs}
     assert bits / sum(size[row.doc_id] for row in held) < 3.2
+
+
+def test_few_windows_are_searched_and_all_are_found(monkeypatch):
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 56, 300_000).astype(np.uint64))
+    steps = np.arange(keys.size) * 3
+    searched, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(np.size(v)) or real(a, v, *rest))
+    monkeypatch.setattr(lm_scoring, "_PLACE_BITS", 20)
+    monkeypatch.setattr(lm_scoring, "_SECOND_BITS", 18, raising=False)
+    order = np.random.default_rng(4).permutation(keys.size)
+    lookup = lm_scoring.Lookup(keys[order], steps[order])
+    assert (lookup.of(keys) == steps).all()
+    assert sum(searched) < 0.02 * keys.size
+    # Places that are far too few still leave every window its own score.
+    monkeypatch.setattr(lm_scoring, "_PLACE_BITS", 3)
+    monkeypatch.setattr(lm_scoring, "_SECOND_BITS", 2, raising=False)
+    assert (lm_scoring.Lookup(keys, steps).of(keys[::-1]) == steps[::-1]).all()
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_windows_are_listed_alike_however_many_are_sorted_at_a_time(monkeypatch, most):
+    monkeypatch.setattr(lm_scoring, "_SORTED", most)
+    texts = [lm_scoring.canonical(t) for t in (b"one two one two", b"", b"two three", b"one two")]
+    learnt = np.array([True, False, False, True])
+    want: dict = {}
+    for text, own in zip(texts, learnt, strict=True):
+        for key in lm_scoring._windows([lm_scoring._PAD + text], [0])[0].tolist():
+            want[key] = want.get(key, 0) + int(own)
+    keys, counts = lm_scoring.listed(texts, learnt)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+    assert (np.diff(keys.astype(np.int64)) > 0).all()
