@@ -91,3 +91,50 @@ def test_all_sets_of_a_fold_are_scored_from_one_encoding(prepared, states):
     assert oof.groupBy("param_set").count().orderBy("param_set").collect() == [(0, 288), (1, 288)]
     assert not any(f.stored for f in states.values())
     assert oof.groupBy("param_set", "row_id").count().where("count > 1").count() == 0
+
+
+TREES = {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.8, "colsample": 1.0}
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_boosted_trees_of_shared_rows_are_those_of_vectors(prepared, states, monkeypatch, classes):
+    """Without vectors on disk, which grow with the folds."""
+    train = prepared.train
+    if classes == 3:
+        train = train.withColumn("default", F.when(F.col("visits") > 3, 2).otherwise(F.col("default")))
+    sizes = {r["default"]: r["count"] for r in train.groupBy("default").count().collect()}
+    of = training.Prepared(**{**vars(prepared), "train": train, "sizes": sizes})
+    fitted = [f for f in training.fit_states(of).values()]
+    parts = [train if f.key is None else train.where(F.col("fold") != f.key) for f in fitted]
+    new = training.shared_fits(of, "xgboost", [TREES], parts, fitted)
+    assert not any(f.stored for f in fitted)
+    monkeypatch.setattr(training, "_shared_rows", lambda *a: None)
+    old = training.shared_fits(of, "xgboost", [TREES], parts, fitted)
+    for at, stages in old.items():
+        rows = fitted[at[0]].vectors("fitted", parts[at[0]], False, "row_id")
+        a, b = (
+            [r["p"] for r in PipelineModel(s).transform(rows).orderBy("row_id").select(F.col("probs")[1].alias("p")).collect()]
+            for s in (stages, new[at])
+        )
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_large_forests_are_fitted_one_by_one_and_leave_no_vectors(prepared, states, monkeypatch):
+    name, sets = "random_forest", [{"n_estimators": 3, "max_depth": 3, "min_samples_leaf": 2, "class_weight": None}]
+    monkeypatch.setattr(training, "FOREST_BYTES", 1)
+    running, most = [0], [0]
+    real = training.fit_classifier
+
+    def counted(*a):
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            return real(*a)
+        finally:
+            running[0] -= 1
+
+    monkeypatch.setattr(training, "fit_classifier", counted)
+    oof, whole = training._searched(prepared, name, sets, states, True)
+    assert most == [1] and whole and oof.count() == 288
+    assert not any(f.stored for f in states.values())
+    assert training._forests_at_once([{"n_estimators": 200}], 10**9) == 1
