@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from obligor.operators import logistic, shared_rows
+from obligor import session
+from obligor.operators import logistic, packing, shared_rows
 from obligor.operators.encoding import encode
 from obligor.plans import training
 
@@ -69,6 +70,8 @@ def test_shared_fits_are_those_of_vectors_and_write_none(prepared, states, monke
     monkeypatch.setattr(shared_rows, "LOTS", 2)
     fitted[0].rows.drop()
     warm = training.shared_fits(prepared, "logistic_regression", PARAMS, parts, fitted)
+    known = session._scratch_paths[prepared.train.sparkSession.sparkContext.applicationId]
+    assert not any("few-rows" in path for path in known)
     for at, stages in old.items():
         assert np.allclose(new[at][0].fitted.weights, stages[0].fitted.weights, atol=1e-5)
         assert np.allclose(warm[at][0].fitted.weights, stages[0].fitted.weights, atol=1e-5)
@@ -138,3 +141,11 @@ def test_large_forests_are_fitted_one_by_one_and_leave_no_vectors(prepared, stat
     assert most == [1] and whole and oof.count() == 288
     assert not any(f.stored for f in states.values())
     assert training._forests_at_once([{"n_estimators": 200}], 10**9) == 1
+
+
+def test_scores_that_are_missing_are_left_out_where_scores_are_packed(spark):
+    names = "_f int, _r int, _class int, hit boolean, score double"
+    rows = [(0, 0, 0, True, 0.9), (0, 0, 0, False, 0.1), (0, 0, 0, True, None), (0, 0, 0, False, None), (0, 0, 0, True, 0.05)]
+    found = packing.packed_auc(spark.createDataFrame(rows, names), {}).first()
+    assert (found["roc_auc"], found["positives"]) == (0.5, 2)
+    assert packing.packed_auc(spark.createDataFrame(rows[2:4], names), {}).count() == 0
